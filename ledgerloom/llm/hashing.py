@@ -24,9 +24,10 @@ def _powers(base: int) -> np.ndarray:
 
 
 class WordHasher:
-    """Words are runs of bytes that are no separators; A-Z count as a-z."""
+    """Words are runs of bytes that are no separators; A-Z count as a-z. Of each, the first ``longest`` bytes count."""
 
-    def __init__(self, separators: bytes):
+    def __init__(self, separators: bytes, longest: int | None = None):
+        self.longest = longest
         self.is_word = np.ones(256, bool)
         self.is_word[list(separators)] = False
         lower = np.arange(256)
@@ -44,6 +45,8 @@ class WordHasher:
         first[inside] = word[inside]
         last[inside - 1] = word[inside - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+        if self.longest:
+            ends = np.minimum(ends, starts + self.longest - 1)
         if len(data) <= _WINDOW:
             sums = np.cumsum(self.values[data] * self.up[: len(data)], dtype=np.uint64)
             hashes = (sums[ends] - np.where(starts > 0, sums[starts - 1], np.uint64(0))) * self.down[starts]
@@ -52,7 +55,7 @@ class WordHasher:
             for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 for j in range(a, b + 1, _WINDOW):
                     part = data[j : min(b + 1, j + _WINDOW)]
-                    hashes[i] += (self.values[part] * self.up[: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(_BASE, j - a, 1 << 64))
+                    hashes[i : i + 1] += (self.values[part] * self.up[: len(part)]).sum(keepdims=True) * np.uint64(pow(_BASE, j - a, 1 << 64))
         return mix(hashes ^ ((ends - starts + 1).astype(np.uint64) * _WORDS)), starts
 
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, packing, sharding, token_counts, token_store, url_filter
+from . import decontamination, exact_dedup, jaccard_join, packing, sharding, token_counts, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -29,6 +29,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +55,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op6_decontamination, op7_token_counts, op8_url_filter, op10_token_store)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_token_counts, op8_url_filter, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -164,3 +164,30 @@ def test_mined_rules_equal_counts(spark):
     best = {i: max((s for c, s in sure.items() if c <= own), default=None) for i, own in tokens.items()}
     mined = url_filter.mine_rules(urls, labels, 0.05, 0.6)
     assert mined and {r.page_id: r.confidence for r in url_filter.filter_urls(pages, labels, (), 0.05, 0.6).collect()} == pytest.approx(best)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    from ledgerloom.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert len(got) > 500 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    right = [r.predicted == r.toxic for r in got]
+    assert sum(right) / len(right) > 0.97
+    assert sum(r.predicted for r in got if not r.toxic) < 0.01 * len(got)
+
+
+def test_toxicity_of_odd_rows(spark, copies):
+    from ledgerloom.llm import toxicity
+
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(40)] + [(None, 1, "")], "doc_id long, toxic int, text string")
+    model = toxicity.train(copies, labels, sample=10)
+    for docs in (copies, copies.limit(0)):
+        got = toxicity.score_toxicity(docs, model).collect()
+        assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.collect())
+        kept = toxicity.drop_toxic(docs, model)
+        assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
+    one = toxicity.train(copies, labels.where("toxic = 1"))
+    assert {r.score for r in toxicity.score_toxicity(copies, one).collect()} == {1.0}
+    assert {r.score for r in toxicity.score_toxicity(copies, toxicity.train(copies, labels.limit(0))).collect()} == {0.0}
