@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds decoded at a time.
@@ -49,3 +49,42 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             start, size = i, 0
         size += n
     yield batch.slice(start)
+
+
+#: Words of 64 bits in a filter of fingerprints: what is broadcast never exceeds this many rows.
+FILTER_WORDS = 1 << 20
+_WORD = f"fingerprint & {FILTER_WORDS - 1}L"
+_SHIFT = f"cast(shiftrightunsigned(fingerprint, {FILTER_WORDS.bit_length() - 1}) & 63 as int)"
+
+
+def fingerprint() -> Column:
+    return F.xxhash64("text").alias("fingerprint")
+
+
+def fingerprint_filter(fingerprints: DataFrame) -> DataFrame:
+    """A Bloom filter of one hash as a table: a word for each value of the lowest bits, in it a bit for the next six."""
+    return fingerprints.groupBy(F.expr(_WORD).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {_SHIFT}))").alias("bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` with ``maybe``: whether their ``fingerprint`` passes the filter (with ``how`` "inner": only those)."""
+    joined = rows.join(F.broadcast(bits), F.expr(_WORD) == F.col("word"), how)
+    maybe = F.coalesce(F.expr(f"shiftrightunsigned(bits, {_SHIFT}) & 1") == 1, F.lit(False))
+    joined = joined.withColumn("maybe", maybe).drop("word", "bits")
+    return joined.where("maybe").drop("maybe") if how == "inner" else joined
+
+
+def keep_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` without rows that a decision drops. ``classes`` (doc_id, fingerprint, stay) names rows by doc_id and text, with how many of
+    these stay; rows not named stay. Only texts that pass a filter of bounded size are shuffled; other columns are kept as they are."""
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    inner = inner.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("fingerprint"))
+    split = marked(inner, fingerprint_filter(classes.select("fingerprint")))
+    named = classes.select(F.col("doc_id").alias("named_id"), F.col("fingerprint").alias("named"), "stay")
+    judged = split.where("maybe").join(named, (F.col("fingerprint") == F.col("named")) & F.col("doc_id").eqNullSafe(F.col("named_id")), "left")
+    out = split.where("not maybe").select("row.*").unionByName(judged.where("stay is null").select("row.*"))
+    if not classes.where("stay > 0").isEmpty():  # of rows that repeat doc_id and text, some stay
+        order = Window.partitionBy("doc_id", "fingerprint").orderBy(F.lit(0))
+        some = judged.where("stay > 0").withColumn("number", F.row_number().over(order)).where("number <= stay")
+        out = out.unionByName(some.select("row.*"))
+    return out

@@ -24,13 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import fingerprint, fingerprint_filter, id_and_text, keep_rows, materialize
+from .common import marked as matching
 
 SENT = "block long, owner int, place int, position int, local boolean, doc_id long, digest string, fingerprint long, message binary"
 _SENT = [x.split()[0] for x in SENT.split(", ")]
 _HEAD = struct.Struct("<QIII")
-#: Words of 64 bits in the filter of suspects' fingerprints: what is broadcast never exceeds this many rows.
-FILTER_WORDS = 1 << 20
 
 
 def golomb_encode(values: np.ndarray, span: int) -> bytes:
@@ -96,7 +95,7 @@ def exchange(docs: DataFrame, owner_bits: int, block_rows: int) -> DataFrame:
         if rows:
             yield sent()
 
-    prints = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("fingerprint"))
+    prints = docs.select("doc_id", F.sha2("text", 256).alias("digest"), fingerprint())
     return materialize(prints.mapInArrow(send, SENT), "sent")
 
 
@@ -119,9 +118,8 @@ def answers(messages: DataFrame) -> DataFrame:
     return messages.groupBy("owner").applyInArrow(own, "block long, owner int, bitmap binary")
 
 
-def exact_duplicates(docs: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = id_and_text(docs)
+def _groups(docs: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """All rows, with whether they are suspects, and the groups of equal texts (digest, n, winner)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = exchange(docs, (partitions - 1).bit_length(), block_rows)
     bitmaps = answers(sent.where("position is null").select("block", "owner", "message"))
@@ -130,20 +128,20 @@ def exact_duplicates(docs: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
     marked = materialize(marked.select("doc_id", "digest", "fingerprint", F.struct("block", "position").alias("row"), (F.col("local") | F.coalesce(bit == 1, F.lit(False))).alias("suspect")), "marked")
     suspects = marked.where("suspect")
 
-    # The filter: a word for each value of the lowest bits, in it a bit for the next six.
-    word = lambda c: F.expr(f"{c} & {FILTER_WORDS - 1}L")
-    shift = f"cast(shiftrightunsigned(fingerprint, {FILTER_WORDS.bit_length() - 1}) & 63 as int)"
-    bits = suspects.groupBy(word("fingerprint").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {shift}))").alias("bits"))
-    texts = docs.select("text", F.xxhash64("text").alias("fingerprint"))
-    passed = texts.join(F.broadcast(bits), word("fingerprint") == F.col("word")).where(F.expr(f"shiftrightunsigned(bits, {shift}) & 1") == 1)
+    passed = matching(docs.select("text", fingerprint()), fingerprint_filter(suspects.select("fingerprint")), "inner")
     # Byte by byte: equal digests stand for equal texts only as far as one text was found for each.
     equal = passed.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("texts"))
     winners = suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("winner")).where("n > 1").join(equal, "digest")
     one = F.expr("assert_true(texts = 1, 'two texts with one digest')")
     winners = materialize(winners.where(one.isNull()).select("digest", "n", "winner"), "groups")
 
-    joined = suspects.join(winners, "digest", "left")
-    copies = joined.select(
+    return marked, winners
+
+
+def exact_duplicates(docs: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    marked, winners = _groups(id_and_text(docs), block_rows)
+    copies = marked.where("suspect").join(winners, "digest", "left").select(
         "doc_id",
         F.when(F.col("winner").isNull(), F.col("doc_id")).otherwise(F.col("winner.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -154,6 +152,15 @@ def exact_duplicates(docs: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
     return single.unionByName(copies)
 
 
+def without_copies(docs: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each text, that with the largest doc_id."""
+    marked, winners = _groups(id_and_text(docs), block_rows)
+    rows = marked.where("suspect").select("doc_id", "fingerprint", "digest").join(winners, "digest")
+    stays = F.col("doc_id").eqNullSafe(F.col("winner.doc_id"))
+    classes = rows.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max(stays.cast("int")).alias("stay")).where("stay < n")
+    return keep_rows(docs, materialize(classes.drop("n"), "classes"))
+
+
 SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

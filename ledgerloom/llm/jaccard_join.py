@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, slices
+from .common import fingerprint, fingerprint_filter, id_and_text, keep_rows, marked, materialize, slices
 from .hashing import WordHasher, mix, runs
 
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -46,8 +47,6 @@ BUCKET_ENTRIES = 1_500_000
 HOT = 1 << 16
 TILE = 2048
 LEAF = 384
-#: Words of the filter that the candidates' texts pass; bounds what is broadcast.
-FILTER_WORDS = 1 << 20
 _SLICE = 2 << 20
 
 _hasher: list[WordHasher] = []
@@ -126,6 +125,28 @@ def sketch_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 ENTRY = np.dtype([("shingle", "<u8"), ("node", "<u8"), ("size", "<u4"), ("place", "<u4")])
+
+
+def pack_entries(entries: np.ndarray) -> bytes:
+    """A message: gaps of ascending shingles, places, and numbers into a table of the sets."""
+    entries = entries[np.argsort(entries["shingle"], kind="stable")]
+    _, first, number = np.unique(entries["node"], return_index=True, return_inverse=True)
+    sets = entries[first]
+    arrays = (np.diff(entries["shingle"], prepend=np.uint64(0)), entries["place"], number.astype("<u4"), sets["node"], sets["size"])
+    return np.array([len(entries), len(sets)], "<u8").tobytes() + zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+
+
+def unpack_entries(message: bytes) -> np.ndarray:
+    n, m = np.frombuffer(message, "<u8", 2).tolist()
+    raw, out = zstandard.decompress(message[16:]), np.zeros(n, ENTRY)
+    number = np.frombuffer(raw, "<u4", n, 12 * n)
+    out["shingle"] = np.cumsum(np.frombuffer(raw, "<u8", n), dtype=np.uint64)
+    out["place"] = np.frombuffer(raw, "<u4", n, 8 * n)
+    out["node"] = np.frombuffer(raw, "<u8", m, 16 * n)[number]
+    out["size"] = np.frombuffer(raw, "<u4", m, 16 * n + 8 * m)[number]
+    return out
+
+
 SENT = "kind int, doc_id long, fingerprint long, node long, n long, bucket int, entries binary"
 _SENT = [(x.split()[0], x.split()[1]) for x in SENT.split(", ")]
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -152,7 +173,7 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int) -> D
             bucket = ((entries["shingle"] >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             known, firsts = np.unique(bucket[order], return_index=True)
-            return rows(1, len(known), bucket=pa.array(known.astype(np.int32)), entries=pa.array([x.tobytes() for x in np.split(entries[order], firsts[1:])], pa.binary()))
+            return rows(1, len(known), bucket=pa.array(known.astype(np.int32)), entries=pa.array([pack_entries(x) for x in np.split(entries[order], firsts[1:])], pa.binary()))
 
         for whole in batches:
             for batch in slices(whole, limit=_SLICE):
@@ -183,7 +204,7 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int) -> D
         if held:
             yield messages()
 
-    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("fingerprint")).mapInArrow(run, SENT), "entries")
+    return materialize(docs.select("doc_id", "text", fingerprint()).mapInArrow(run, SENT), "entries")
 
 
 def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,22 +220,33 @@ def owner_pairs(entries: np.ndarray) -> np.ndarray:
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
     entries = entries[keep]
-    starts = np.flatnonzero(np.concatenate([[True], entries["shingle"][1:] != entries["shingle"][:-1]])) if len(entries) else np.zeros(0, np.int64)
+    if not len(entries):
+        return np.zeros((0, 2), np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], entries["shingle"][1:] != entries["shingle"][:-1]]))
     sizes = np.diff(np.append(starts, len(entries)))
-    two = starts[sizes == 2]
-    two = two[may_link(entries[two], entries[two + 1])]
-    more = np.flatnonzero(np.repeat(sizes, sizes) > 2)
-    pivots = entries["node"][np.repeat(starts, sizes)]  # nodes ascend in a list
-    at = np.concatenate([two + 1, more])
-    pairs = np.stack([pivots[at], entries["node"][at]], 1)
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    found = [np.zeros((0, 2), np.uint64)]
+    for k in np.unique(sizes[sizes > 1]).tolist():
+        own = starts[sizes == k]
+        for part in np.array_split(own, max(1, len(own) * k * k // 2_000_000)) if k <= 1500 else own[:, None]:
+            lists = entries[part[:, None] + np.arange(k)]
+            keep = np.ones(lists.shape, bool)
+            if k <= 1500:  # two linked sets have room for it at their first common shingle
+                room = may_link(lists[:, :, None], lists[:, None, :])
+                room[:, np.arange(k), np.arange(k)] = False
+                keep = room.any(2)
+            first = np.argmax(keep, 1)  # nodes ascend in a list
+            row, column = np.nonzero(keep)
+            other = column != first[row]
+            pivots = lists["node"][np.arange(len(lists)), first]
+            found.append(np.stack([pivots[row[other]], lists["node"][row[other], column[other]]], 1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def region_pairs(sent: DataFrame) -> DataFrame:
     """Distinct (pivot, node), the pivot itself left out."""
 
     def own(table: pa.Table) -> pa.Table:
-        pairs = owner_pairs(np.concatenate([np.frombuffer(x, ENTRY) for x in table["entries"].to_pylist()]))
+        pairs = owner_pairs(np.concatenate([unpack_entries(x) for x in table["entries"].to_pylist()]))
         return pa.table({"pivot": signed(pairs[:, 0]), "node": signed(pairs[:, 1])})
 
     cold = sent.where("kind = 1").select("bucket", "entries").groupBy("bucket").applyInArrow(own, "pivot long, node long")
@@ -224,23 +256,26 @@ def region_pairs(sent: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, sent: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the given nodes, made again from one text of each."""
+    """(node, shingles) of the given nodes, made again from one text of each; a node may come from several tasks."""
     chosen = sent.where("kind = 0").select("node", "fingerprint").join(nodes, "node").groupBy("node").agg(F.min("fingerprint").alias("fingerprint"))
-    word = f"fingerprint & {FILTER_WORDS - 1}L"
-    shift = f"cast(shiftrightunsigned(fingerprint, {FILTER_WORDS.bit_length() - 1}) & 63 as int)"
-    # One row for each word at most: bounded, whatever the number of candidates; more of them only let more texts pass.
-    bits = chosen.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {shift}))").alias("bits"))
-    texts = docs.select("text", F.xxhash64("text").alias("fingerprint"))
-    passed = texts.join(F.broadcast(bits), F.expr(word) == F.col("word")).where(F.expr(f"shiftrightunsigned(bits, {shift}) & 1") == 1).select("text").distinct()
+    passed = marked(docs.select("text", fingerprint()), fingerprint_filter(chosen.select("fingerprint")), "inner").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, limit=_SLICE):
                 found, at = shingle_sets(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([signed(nodes_of(found, at)), pa.array([found[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["node", "shingles"])
+                own = nodes_of(found, at).tolist()
+                fresh = []
+                for i, x in enumerate(own):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh.append(i)
+                if len(seen) > 200_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([signed(np.array([own[i] for i in fresh], np.uint64)), pa.array([found[at[i] : at[i + 1]].tobytes() for i in fresh], pa.binary())], names=["node", "shingles"])
 
-    made = passed.mapInArrow(sets, "node long, shingles binary")
-    return materialize(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return passed.mapInArrow(sets, "node long, shingles binary")
 
 
 def overlaps(columns: list[np.ndarray], width: int, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -357,7 +392,8 @@ def region_links(pairs: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
                     if len(rows) > 1:
                         out += join(*key, rows)
                     key, rows = new, []
-                rows.append((part, node, shingles, regions))
+                if not rows or rows[-1][1] != node:  # else made by another task as well
+                    rows.append((part, node, shingles, regions))
             if len(out) > 10_000:
                 yield made()
         if len(rows) > 1:
@@ -409,3 +445,12 @@ def _components(docs: DataFrame, tile: int, hot: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, tile: int = TILE, hot: int = HOT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable), n_links (to other shingle sets)."""
     return _components(id_and_text(docs), tile, hot).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each_component(docs: DataFrame, tile: int = TILE, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component one row with its smallest doc_id; all without words."""
+    rows = _components(id_and_text(docs), tile, hot).where("label is not null").select("label", "doc_id", "fingerprint")
+    first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fingerprint").alias("c"))
+    groups = materialize(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")).where("n > 1").drop("n"), "groups")
+    classes = rows.join(groups, "label").groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max((first == F.col("first")).cast("int")).alias("stay")).where("stay < n")
+    return keep_rows(docs, materialize(classes.drop("n"), "classes"))

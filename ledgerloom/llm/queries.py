@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, jaccard_join, packing, sharding, token_counts, token_store, toxicity, url_filter
+from . import decontamination, exact_dedup, jaccard_join, license_scan, packing, sharding, token_counts, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -50,12 +50,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.page_labels(table(spark, sf_dir, "labels")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan_licences(docs, license_scan.train(docs))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_token_counts, op8_url_filter, op10_token_store)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_token_counts, op8_url_filter, op9_license_scan, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:

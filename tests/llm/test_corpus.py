@@ -191,3 +191,12 @@ def test_toxicity_of_odd_rows(spark, copies):
     one = toxicity.train(copies, labels.where("toxic = 1"))
     assert {r.score for r in toxicity.score_toxicity(copies, one).collect()} == {1.0}
     assert {r.score for r in toxicity.score_toxicity(copies, toxicity.train(copies, labels.limit(0))).collect()} == {0.0}
+
+
+def test_one_row_of_each_text_stays(copies):
+    kept = exact_dedup.without_copies(copies, block_rows=8)
+    assert kept.columns == copies.columns
+    best = {}
+    for r in copies.collect():
+        best[r.text or ""] = max(best.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
+    assert sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == sorted(best.items())

@@ -110,3 +110,25 @@ def test_hashes_do_not_depend_on_windows(monkeypatch):
     small = hashing.WordHasher(b" \n").hashes(texts)
     assert (whole[0] == small[0]).all() and (whole[1] == small[1]).all()
     assert len(np.unique(whole[0])) == 6
+
+
+def test_messages_round_trip():
+    rng = np.random.default_rng(3)
+    entries = np.zeros(500, J.ENTRY)
+    for name, top in (("shingle", 1 << 63), ("node", 40)):
+        entries[name] = rng.integers(0, top, 500)
+    entries["size"], entries["place"] = entries["node"] * 7, rng.integers(0, 90, 500)
+    got = J.unpack_entries(J.pack_entries(entries))
+    assert sorted(got.tolist()) == sorted(entries.tolist())
+
+
+def test_one_row_of_each_component_stays(spark, made):
+    kept = J.one_of_each_component(made, 16, 3)
+    assert kept.columns == made.columns
+    rows = [(r.doc_id, r.text) for r in made.collect()]
+    component = {r.doc_id: r.component_id for r in J.jaccard_components(made).collect()}
+    got = [r.doc_id for r in kept.collect()]
+    with_words = [d for d, t in rows if (t or "").split()]
+    want = sorted({component[d] for d in with_words if component[d] is not None})
+    assert sorted(d for d in got if d in set(with_words) and d is not None) == want
+    assert sum(d not in set(with_words) for d in got) == sum(not (t or "").split() for _, t in rows)
