@@ -201,7 +201,7 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int) -> D
                 held.append(entries)
                 if sum(map(len, held)) > 1_000_000:
                     yield messages()
-        if held:
+        if any(map(len, held)):
             yield messages()
 
     return materialize(docs.select("doc_id", "text", fingerprint()).mapInArrow(run, SENT), "entries")
