@@ -7,7 +7,8 @@ The Jaccard distance d = 1 - J is a metric; two sets link when d <= r = 1/4. Equ
 2. Pivots: two linked sets share one of the first n - ceil(3n/4) + 1 shingles of their order. These go to the owner of their
    hash. Among the sets that share one there, the least node is the pivot; the others, if size and places allow any
    link at all, join its region. So any two linked sets lie in a common region, though most documents lie in none.
-3. Regions join exactly, in tiles of bounded size. A large one is divided again by pivots of its own into Voronoi cells: x also
+3. Members leave a region if histograms of their shingles' classes show that they overlap too little with each other member. The
+   rest of a region join exactly, in tiles of bounded size. A large one is divided again by pivots of its own into Voronoi cells: x also
    goes to the cell of p if d(x, p) <= d(x, nearest) + 2r, which by the triangle inequality holds for every partner of a set of
    that cell. Cells divide until they are small, or until the windows copy nearly everything; then overlaps are
    counted as matrix products. A tile gives its sets' components, never its pairs.
@@ -147,11 +148,36 @@ def unpack_entries(message: bytes) -> np.ndarray:
     return out
 
 
-SENT = "kind int, doc_id long, fingerprint long, node long, n long, bucket int, entries binary"
+SENT = "kind int, doc_id long, fingerprint long, node long, n long, histogram binary, bucket int, entries binary"
 _SENT = [(x.split()[0], x.split()[1]) for x in SENT.split(", ")]
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each class of their lowest bits; more classes for larger sets. Two sets overlap by no more than the
+    sum of the lesser counts. Empty for a set too large to count so."""
+    bits = min(12, max(8, int(len(shingles)).bit_length() - 2))
+    counts = np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def may_overlap(histograms: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Which sets have any other that they may link with, by their histograms."""
+    keep = np.array([not h for h in histograms])
+    if keep.any():
+        return np.ones(len(size), bool)
+    classes = min(map(len, histograms))
+    counts = np.array([np.frombuffer(h, np.uint8).reshape(-1, classes).sum(0, dtype=np.uint16) for h in histograms])
+    step = max(1, (4 << 20) // (len(size) * classes))
+    for a in range(0, len(size), step):
+        most = np.minimum(counts[a : a + step, None, :], counts[None, :, :]).sum(2, dtype=np.int64)
+        room = 7 * most >= 3 * (size[a : a + step, None] + size[None, :])
+        room[np.arange(len(room)), np.arange(a, a + len(room))] = False
+        keep[a : a + step] |= room.any(1)
+        keep |= room.any(0)
+    return keep
+
+
 def needed(n: np.ndarray) -> np.ndarray:
     """The least overlap of a set of ``n`` with a linked one: ceil(3n / 4)."""
     return (3 * n + 3) // 4
@@ -179,7 +205,6 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int) -> D
             for batch in slices(whole, limit=_SLICE):
                 sets, at = shingle_sets(batch.column("text"))
                 nodes, n = nodes_of(sets, at), np.diff(at)
-                yield rows(0, len(n), doc_id=batch.column("doc_id"), fingerprint=batch.column("fingerprint"), node=signed(nodes), n=pa.array(n))
                 if len(seen) > 200_000:
                     seen.clear()
                 fresh = np.zeros(len(n), bool)
@@ -187,6 +212,8 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int) -> D
                     if x and x not in seen:
                         seen.add(x)
                         fresh[i] = True
+                histograms = [histogram(sets[at[i] : at[i + 1]]) if new else None for i, new in enumerate(fresh)]
+                yield rows(0, len(n), doc_id=batch.column("doc_id"), fingerprint=batch.column("fingerprint"), node=signed(nodes), n=pa.array(n), histogram=pa.array(histograms, pa.binary()))
                 row = np.repeat(np.arange(len(n)), n)
                 level = levels[(sets >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 order = np.lexsort((sets, level, row))
@@ -348,17 +375,52 @@ def tile_components(nodes: np.ndarray, linked: np.ndarray) -> list[tuple[int, in
     return edges
 
 
-def region_links(pairs: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
-    """(node, root, n_links): tree edges of every tile, and numbers of links counted in one region each (root null)."""
+def tiles_of(members: DataFrame, tile: int) -> DataFrame:
+    """(pivot, low, high, part, node): a region of at most ``tile`` sets is one tile; of a larger one, any two parts are."""
+    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    parts = members.join(sizes, "pivot").withColumn("parts", F.ceil(F.col("size") / tile).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return tiles.select("pivot", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node")
+
+
+def narrowed(pairs: DataFrame, sent: DataFrame, tile: int) -> DataFrame:
+    """(pivot, node): the members of regions that may link with another of theirs, judged by histograms (a few hundred bytes a set)."""
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
-    sizes = pairs.groupBy("pivot").agg((F.count(F.lit(1)) + 1).alias("size"))
+    summaries = sent.where("kind = 0 AND histogram IS NOT NULL").select("node", "n", "histogram")
+    work = tiles_of(members, tile).join(summaries, "node").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def kept() -> None:
+            keep = may_overlap([r[2] for r in rows], np.array([r[1] for r in rows], np.int64)) if len(rows) > 1 else []
+            out.extend((key[0], r[0]) for r, k in zip(rows, keep, strict=False) if k)
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pivot", "node"])
+
+        for batch in batches:
+            for *new, node, n, summary in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if new != key:
+                    kept()
+                    key, rows = new, []
+                if not rows or rows[-1][0] != node:
+                    rows.append((node, n, summary))
+            if len(out) > 50_000:
+                yield made()
+        kept()
+        yield made()
+
+    return materialize(work.select("pivot", "low", "high", "node", "n", "histogram").mapInArrow(run, "pivot long, node long").distinct(), "members")
+
+
+def region_links(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
+    """(node, root, n_links): tree edges of every tile, and numbers of links counted in one region each (root null)."""
     # All regions of a set: a pair counts in the least one that both are in.
     regions = members.groupBy("node").agg(F.array_sort(F.collect_list("pivot")).alias("regions"))
-    parts = F.ceil(F.col("size") / tile).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    tiles = members.join(sizes, "pivot").withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select("pivot", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node")
-    work = tiles.join(sets, "node").join(regions, "node").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node")
+    work = tiles_of(members, tile).join(sets, "node").join(regions, "node").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node")
 
     def join(pivot: int, low: int, high: int, rows: list[tuple]) -> list[tuple]:
         nodes = np.array([r[1] for r in rows], np.int64)
@@ -426,8 +488,8 @@ def _components(docs: DataFrame, tile: int, hot: int) -> DataFrame:
     hot_level = int(8 * np.log2(1 + total / (1 << CELL_BITS) + hot))
     sent = send(docs, levels, buckets, hot_level)
     pairs = materialize(region_pairs(sent), "pairs")
-    nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
-    found = region_links(pairs, candidate_sets(docs, sent, nodes), tile)
+    members = narrowed(pairs, sent, tile)
+    found = region_links(members, candidate_sets(docs, sent, members.select("node").distinct()), tile)
     labels = connected(found.where("root is not null").select("node", "root").distinct())
     degrees = found.where("n_links is not null").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 

@@ -132,3 +132,14 @@ def test_one_row_of_each_component_stays(spark, made):
     want = sorted({component[d] for d in with_words if component[d] is not None})
     assert sorted(d for d in got if d in set(with_words) and d is not None) == want
     assert sum(d not in set(with_words) for d in got) == sum(not (t or "").split() for _, t in rows)
+
+
+def test_histograms_never_hide_a_link():
+    rng = np.random.default_rng(5)
+    for n in (3, 60, 700, 3000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(n) < f, rng.integers(0, 1 << 63, n).astype(np.uint64), base)) for f in (0, 0.05, 0.12, 0.3, 1, 1)]
+        keep = J.may_overlap([J.histogram(s) for s in sets], np.array([len(s) for s in sets]))
+        linked = J.links(sets).any(1)
+        assert (keep | ~linked).all() and linked[:3].any()
+        assert n < 60 or not keep[5]
