@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import claim, droppers
+
 #: White space of any tokenizer's definition, for RE2.
 _SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: A run of white space that crosses a single space, or the start of a special token's string.
@@ -123,10 +125,12 @@ class LibraryEncoder:
 
 
 _encoders: dict[tuple, LibraryEncoder] = {}
+droppers.append(_encoders.clear)
 
 
 def encoder(path: str, end_id: int) -> LibraryEncoder:
     """This worker's encoder, kept from task to task."""
+    claim(f"tokens {path}")
     if (path, end_id) not in _encoders:
         _encoders.clear()
         _encoders[path, end_id] = LibraryEncoder(path, end_id)

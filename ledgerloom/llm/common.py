@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,30 @@ SLICE_BYTES = 8 << 20
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Drops what a Python worker keeps from task to task.
+droppers: list[Callable[[], None]] = []
+_owner: list[str] = [""]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are used again, and an executor's workers share its memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def claim(name: str) -> None:
+    """Called by an operator's task: what other operators keep in this worker goes."""
+    if _owner[0] != name:
+        for drop in droppers:
+            drop()
+        trim()
+        _owner[0] = name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,8 +58,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(docs: DataFrame) -> None:
+    """Sets how much text goes to a Python worker at a time, unless the session already says less."""
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, null texts as empty; other columns, whatever their names, are not read."""
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import bounded_batches, claim, id_and_text
 from .hashing import WordHasher, runs
 
 PIECE = 4
@@ -128,6 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
 
     def search(matcher: Matcher) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("decontamination")
             for batch in _parts(batches):
                 if hits := matcher.hits(batch.column("text")):
                     rows, *columns = zip(*hits, strict=True)
@@ -141,9 +142,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item occurs."""
+    bounded_batches(docs)
     for matcher in matchers(benchmark, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
+            claim("decontamination")
             for batch in _parts(batches):
                 texts = batch.column("text").cast(pa.string()).fill_null("")
                 hit = {row for row, *_ in matcher.hits(texts)}

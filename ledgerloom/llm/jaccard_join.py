@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fingerprint, fingerprint_filter, id_and_text, keep_rows, marked, materialize, slices
+from .common import claim, fingerprint, fingerprint_filter, id_and_text, keep_rows, marked, materialize, slices, trim
 from .hashing import WordHasher, mix, runs
 
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -43,7 +43,7 @@ RADIUS = 0.25
 #: Cells of the sketch: a fixed size, two bytes each where it is broadcast.
 CELL_BITS = 21
 #: Entries (20 bytes each) that a bucket holds on average.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 500_000
 #: A shingle this much above the sketch's mean count is hot.
 HOT = 1 << 16
 TILE = 2048
@@ -91,6 +91,7 @@ def sketch_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     parts = 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         total, held, n, every = np.zeros(1 << CELL_BITS, np.uint8), [], 0, 0
 
         def add() -> None:
@@ -190,6 +191,7 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int) -> D
         return pa.RecordBatch.from_arrays([pa.array([kind] * length, pa.int32()) if name == "kind" else columns.get(name, pa.nulls(length, _KINDS[t])) for name, t in _SENT], names=[name for name, _ in _SENT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
@@ -230,6 +232,7 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int) -> D
                     yield messages()
         if any(map(len, held)):
             yield messages()
+        trim()
 
     return materialize(docs.select("doc_id", "text", fingerprint()).mapInArrow(run, SENT), "entries")
 
@@ -274,6 +277,7 @@ def region_pairs(sent: DataFrame) -> DataFrame:
 
     def own(table: pa.Table) -> pa.Table:
         pairs = owner_pairs(np.concatenate([unpack_entries(x) for x in table["entries"].to_pylist()]))
+        trim()
         return pa.table({"pivot": signed(pairs[:, 0]), "node": signed(pairs[:, 1])})
 
     cold = sent.where("kind = 1").select("bucket", "entries").groupBy("bucket").applyInArrow(own, "pivot long, node long")
@@ -390,6 +394,7 @@ def narrowed(pairs: DataFrame, sent: DataFrame, tile: int) -> DataFrame:
     work = tiles_of(members, tile).join(summaries, "node").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         key, rows, out = None, [], []
 
         def kept() -> None:
@@ -441,6 +446,7 @@ def region_links(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         key, rows, out = None, [], []
 
         def made() -> pa.RecordBatch:
@@ -461,6 +467,7 @@ def region_links(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
         if len(rows) > 1:
             out += join(*key, rows)
         yield made()
+        trim()
 
     return materialize(work.select("pivot", "low", "high", "part", "node", "shingles", "regions").mapInArrow(run, "node long, root long, n_links long"), "links")
 

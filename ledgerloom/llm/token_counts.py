@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkStore, split
-from .common import id_and_text, slices
+from .common import claim, droppers, id_and_text, slices
 
 #: The sign that stands for a space in the vocabulary.
 MARK = "▁"
@@ -109,12 +109,14 @@ class TokenCounter:
 
 
 _counters: dict[str, TokenCounter] = {}
+droppers.append(_counters.clear)
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``) of every text; one narrow stage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(f"counts {model}")
         counter = _counters.get(model) or _counters.setdefault(model, TokenCounter(model))
         for whole in batches:
             for batch in slices(whole):

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import bounded_batches, claim, id_and_text, slices
 from .hashing import WordHasher
 
 CODE = 6
@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
         raw.append(as_bytes(np.array([r.code for r in reversed(found)], np.uint64)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         gauge = Gauge(*raw)
         for whole in batches:
             for batch in slices(whole):
@@ -183,6 +184,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """One row for each document: held_out, score (0 to 1), predicted, the largest gain in bytes and the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         gauge = Gauge(model.toxic, model.ordinary)
         for whole in batches:
             for batch in slices(whole):
@@ -201,10 +203,12 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not predicted toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         gauge = Gauge(model.toxic, model.ordinary)
         for whole in batches:
             for batch in slices(whole):
                 score = model.score(features(gauge.gains(batch.column("text").cast(pa.string()).fill_null("")), model.threshold))
                 yield batch.filter(pa.array(score < 0.5))
 
+    bounded_batches(docs)
     return docs.mapInArrow(run, docs.schema)
