@@ -1 +1 @@
-"""A PySpark-native engine for facts that carry their provenance."""
+"""The query catalogue: every query and, where SQL can express it, its SQL for the oracle."""
