@@ -189,10 +189,13 @@ def sentences(text: Column) -> Column:
 
 def sentence_with(text: Column, needles: Sequence[str], must: Sequence[str] = ()) -> Column:
     """STR-24: the first sentence with the first needle that any has, and all required words."""
+    def having(array: Column, word: str) -> Column:
+        return F.filter(array, lambda x: x.contains(word))
+
     found = sentences(text)
     for word in must:
-        found = F.filter(found, lambda x, w=word: x.contains(w))
-    return F.coalesce(*[F.try_element_at(F.filter(found, lambda x, n=n: x.contains(n)), F.lit(1)) for n in needles])
+        found = having(found, word)
+    return F.coalesce(*[F.try_element_at(having(found, n), F.lit(1)) for n in needles])
 
 
 def any_word(text: Column, words: Sequence[str]) -> Column:

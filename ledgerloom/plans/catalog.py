@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, text
+from . import documents, facts, text
 
-_MODULES = (facts, text)
+_MODULES = (facts, text, documents)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
