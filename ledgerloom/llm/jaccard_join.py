@@ -41,12 +41,14 @@ SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORDS = 5
 RADIUS = 0.25
 #: Cells of the sketch: a fixed size, two bytes each where it is broadcast.
-CELL_BITS = 21
+CELL_BITS = 22
 #: Entries (20 bytes each) that a bucket holds on average.
 BUCKET_ENTRIES = 500_000
 #: A shingle this much above the sketch's mean count is hot.
 HOT = 1 << 16
 TILE = 2048
+#: Up to so many rows (40 bytes or so each) of places in tiles are broadcast.
+BROADCAST_ROWS = 500_000
 LEAF = 384
 _SLICE = 2 << 20
 
@@ -286,6 +288,16 @@ def region_pairs(sent: DataFrame) -> DataFrame:
     return cold.unionByName(hot.join(pivots, "shingle").where("node <> pivot").select("pivot", "node")).distinct()
 
 
+def pack_set(shingles: np.ndarray) -> bytes:
+    """Gaps of ascending shingles, byte by byte in planes: the highest planes are nearly all zero, which Spark's own compression removes."""
+    return np.diff(shingles, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_set(packed: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64)
+    return np.cumsum(gaps.reshape(-1), dtype=np.uint64)
+
+
 def candidate_sets(docs: DataFrame, sent: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the given nodes, made again from one text of each; a node may come from several tasks."""
     chosen = sent.where("kind = 0").select("node", "fingerprint").join(nodes, "node").groupBy("node").agg(F.min("fingerprint").alias("fingerprint"))
@@ -304,7 +316,7 @@ def candidate_sets(docs: DataFrame, sent: DataFrame, nodes: DataFrame) -> DataFr
                         fresh.append(i)
                 if len(seen) > 200_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([signed(np.array([own[i] for i in fresh], np.uint64)), pa.array([found[at[i] : at[i + 1]].tobytes() for i in fresh], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([signed(np.array([own[i] for i in fresh], np.uint64)), pa.array([pack_set(found[at[i] : at[i + 1]]) for i in fresh], pa.binary())], names=["node", "shingles"])
 
     return passed.mapInArrow(sets, "node long, shingles binary")
 
@@ -425,11 +437,14 @@ def region_links(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     """(node, root, n_links): tree edges of every tile, and numbers of links counted in one region each (root null)."""
     # All regions of a set: a pair counts in the least one that both are in.
     regions = members.groupBy("node").agg(F.array_sort(F.collect_list("pivot")).alias("regions"))
-    work = tiles_of(members, tile).join(sets, "node").join(regions, "node").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node")
+    tiles = tiles_of(members, tile)
+    if tiles.count() <= BROADCAST_ROWS:  # then sets go to their tiles at once; else they are shuffled to these rows first
+        tiles, regions = F.broadcast(tiles), F.broadcast(regions)
+    work = sets.join(tiles, "node").join(regions, "node").repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "node")
 
     def join(pivot: int, low: int, high: int, rows: list[tuple]) -> list[tuple]:
         nodes = np.array([r[1] for r in rows], np.int64)
-        linked = links([np.frombuffer(r[2], np.uint64) for r in rows])
+        linked = links([unpack_set(r[2]) for r in rows])
         out = [(x, root, None) for x, root in tile_components(nodes, linked)]
         if low != high:  # pairs within a part count in that part's own tile
             part = np.array([r[0] for r in rows])

@@ -68,8 +68,9 @@ def made(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, node string, n int").repartition(7)
 
 
-@pytest.mark.parametrize(("tile", "hot"), [(J.TILE, J.HOT), (16, 3)])
-def test_components_equal_brute_force(spark, made, tile, hot):
+@pytest.mark.parametrize(("tile", "hot", "broadcast"), [(J.TILE, J.HOT, 500_000), (16, 3, 0)])
+def test_components_equal_brute_force(spark, made, tile, hot, broadcast, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_ROWS", broadcast)
     rows = [(r.doc_id, r.text) for r in made.collect()]
     want = brute(rows)
     got = J.jaccard_components(made, tile, hot).collect()
@@ -143,3 +144,8 @@ def test_histograms_never_hide_a_link():
         linked = J.links(sets).any(1)
         assert (keep | ~linked).all() and linked[:3].any()
         assert n < 60 or not keep[5]
+
+
+def test_sets_round_trip():
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2))
+    assert (J.unpack_set(J.pack_set(x)) == x).all()
