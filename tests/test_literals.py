@@ -152,3 +152,35 @@ def test_versioned_table(spark, tmp_path):
 def test_schema_checks(spark):
     docs = conform(spark.createDataFrame([("a", "active"), ("a", "odd"), (None, "removed")], "id string, status string"), "documents")
     assert {r.rule for r in violations(docs, "documents").collect()} == {"status not allowed", "key repeated", "key missing"}
+
+
+def test_intents(spark):
+    from ledgerloom.plans import agent
+
+    got = values(spark, ["哪些专业考 408、全日制、统招 > 20？", "哪些专业统招≥20", "2026 年 0854 电子信息复试线", "给我身份证"], agent.intent)
+    assert (got[0].is_408, got[0].mode, got[0].least, got[1].least) == (True, "全日制", 21, 20)
+    assert (list(got[2].prefixes), got[2].year, got[2].lines, got[3].private) == (["0854"], 2026, True, True)
+    assert agent.plan(got[3].asDict()) == ["refuse"] and agent.plan(got[2].asDict()) == ["lines"]
+    assert agent.calls({"lines": True, "codes": ["a", "b"], "year": 2026}) == [("lines", {"code": "a", "year": 2026}), ("lines", {"code": "b", "year": 2026})]
+    answer, removed = agent.strip_unsupported("复试线 379，推免 999 人，统招 12.5。2026 年", "379")
+    assert removed == ["999", "12.5"] and answer.count(agent.MARKER) == 2
+    tools = {"lines": lambda **a: spark.createDataFrame([(379,)], "line int"), "retrieve": lambda **a: 1 / 0}
+    assert "379" in agent.Agent(tools).answer("q", {"lines": True})["answer"]
+    assert agent.Agent(tools).answer("q", {})["evidence"] == ["retrieve failed: ZeroDivisionError"] and "error" in agent.validated(year=1)
+
+
+def test_extraction(spark):
+    from ledgerloom.operators import documents as D
+
+    registry = D.Registry()
+    registry.register(D.Extractor("plans", F.col("doc").startswith("p"), D.plan_table))
+    rows = [["专业 代码", "拟招生人数", "推免人数"], ["085404", "48", "≤17"], ["", "5", "x"]]
+    docs = spark.createDataFrame([("p1", 2026, rows), ("q", 2026, rows), ("p2", 2026, [["none"]])], "doc string, year int, rows array<array<string>>")
+    assert {(r.kind, r.code, r.value, r.is_upper_bound) for r in registry.run(docs).collect() if r.doc == "p1"} == {("catalog", "085404", 48, False), ("quota", "085404", 17, True), ("catalog", "085404", 5, False)}
+    boxes = spark.createDataFrame([("d", 0.0, 10.0, 10.0, "计算机"), ("d", 50.0, 11.0, 10.0, "学院"), ("d", 0.0, 40.0, 10.0, "第二行")], "doc string, x double, y double, height double, text string")
+    assert [r.text for r in D.group_lines(boxes).orderBy("line").collect()] == ["计算机 学院", "第二行"]
+    assert D.markdown_tables("标题\n| a | b |\n|---|---|\n| 1 | 2 |\n注：示例") == ([[["a", "b"], ["1", "2"]]], ["标题", "注：示例"])
+    assert all(b.startswith("cap\nhead\n") and len(b) <= 40 for b in D.table_blocks("cap", "head", [f"row number {i}" for i in range(10)], 40))
+    assert D.redact_rows([["姓名", "考生编号", "分"], ["李四", "1", "9"], ["x"]], lambda n: n[0] + "某") == [["姓名", "分"], ["李某", "9"], ["x"]]
+    df = spark.createDataFrame([("招 生 12 人", "招生12人", 12), ("a", "b 12", 12)], "t string, e string, v int")
+    assert [r.g for r in df.select(D.grounded(F.col("t"), F.col("e"), F.col("v")).alias("g")).collect()] == [True, False]
