@@ -128,10 +128,10 @@ _encoders: dict[tuple, LibraryEncoder] = {}
 droppers.append(_encoders.clear)
 
 
-def encoder(path: str, end_id: int) -> LibraryEncoder:
+def encoder(path: str, end_id: int, limit: int = 400_000) -> LibraryEncoder:
     """This worker's encoder, kept from task to task."""
     claim(f"tokens {path}")
-    if (path, end_id) not in _encoders:
+    if (path, end_id, limit) not in _encoders:
         _encoders.clear()
-        _encoders[path, end_id] = LibraryEncoder(path, end_id)
-    return _encoders[path, end_id]
+        _encoders[path, end_id, limit] = LibraryEncoder(path, end_id, limit)
+    return _encoders[path, end_id, limit]

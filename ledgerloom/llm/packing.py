@@ -25,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .chunks import encoder
-from .common import id_and_text, slices
+from .common import id_and_text, slices, trim
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 TIERS = (512, 1024, 2048, 4096)
+#: Chunks that a worker keeps, and bytes of text that it encodes at a time: it shares its executor with a grown heap.
+KEPT_CHUNKS = 200_000
+SLICE = 3 << 20
 _FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
@@ -143,7 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: Sequ
     """One row for each piece of each document; a sequence's pieces lie gapless from offset 0 and fill a power of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer, end_id)
+        tokens = encoder(tokenizer, end_id, KEPT_CHUNKS)
         packer, steps, task, number = Packer(tiers), Steps(step_tokens), TaskContext.get().partitionId() << 33, 0
 
         def rows(sequences: Iterator[list[tuple]], over: bool = False) -> Iterator[pa.RecordBatch]:
@@ -170,7 +173,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: Sequ
         def taken() -> Iterator[list[tuple]]:
             held = 0
             for whole in batches:
-                for batch in slices(whole):
+                for batch in slices(whole, limit=SLICE):
                     ids, ends = tokens.encode(batch.column("text"))
                     start = 0
                     for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
@@ -182,6 +185,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: Sequ
                         held = sum(packer.pool.lengths)
                         for rest in packer.pool.rests:  # lets go of the batch
                             rest.ids = rest.ids.copy()
+                        trim()
                     yield []
 
         some: list[list[tuple]] = []
