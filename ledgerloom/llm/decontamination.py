@@ -1,13 +1,14 @@
 """Operator 6: benchmark decontamination by pigeonhole edit matching.
 
-Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z as a-z. An item of W words may occur with up to
-k = min(W // 5, W // 4 - 1) words inserted, deleted or replaced. Split into k + 1 pieces, one of which then occurs unchanged; each
-piece has four words at least, and its first four are looked up in every document. Around each hit, Myers'
-bit-parallel algorithm gives the least distance of the item to any run of the document's words.
-
-Defined results: null or empty texts hold nothing; items of under four words match nothing; items of four to seven words match
-unchanged only; each row of a document that occurs twice, and each of two equal items, is reported; empty tables give an empty
-result; other columns are ignored by ``contamination`` and kept by ``uncontaminated``.
+Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z as a-z; of scripts written without spaces, each character is a word
+and the wide punctuation is none. An item of W words may occur with up to k = max(0, min(W // 5, W // 4 - 1)) words inserted, deleted
+or replaced. Split into k + 1 pieces, one of which then occurs unchanged; each piece has four words at least, and its first four are
+looked up in every document. Around each hit, Myers' bit-parallel algorithm gives the least distance of the item to any run of the
+document's words. An item of one to three words is its own piece and looked up whole.
+
+Defined results: null or empty texts and items without a word match nothing; items of one to seven words match unchanged only (so an
+item of one common word is found in every document with that word); each row of a document that occurs twice, and each of two equal
+items, is reported; empty tables give an empty result; other columns are ignored by ``contamination`` and kept by ``uncontaminated``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ from .hashing import WordHasher, runs
 PIECE = 4
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 SCHEMA = "doc_id long, item_id long, distance int, budget int, item_words int, start_word long"
+#: Characters of scripts without spaces between words; the long vowel marks belong to no script.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}\x{30FC}\x{FF70}])"
+#: The wide space and wide punctuation, which separate words as their ASCII likes do.
+WIDE = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{303D}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]"
 #: Items whose pieces a worker holds at a time; more are matched in as many passes as needed.
 BLOCK_ITEMS = 50_000
 
@@ -56,42 +62,71 @@ def edit_distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """``texts`` with spaces around each character of a script without, and for wide punctuation."""
+    texts = texts.cast(pa.large_string())
+    for pattern, apart in ((UNSPACED, r" \1 "), (WIDE, " ")):
+        if pc.any(pc.match_substring_regex(texts, pattern)).as_py():
+            texts = pc.replace_substring_regex(texts, pattern, apart)
+    return texts
+
+
+class Pieces:
+    """Where pieces of ``n`` words occur, by the hash of their words."""
+
+    def __init__(self, n: int, keys: list[int], places: list[tuple[int, int]]):
+        order = np.argsort(np.array(keys, np.uint64), kind="stable")
+        self.n, self.keys = n, np.array(keys, np.uint64)[order]
+        self.places = np.array(places, np.int64).reshape(-1, 2)[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.keys & np.uint64((1 << 20) - 1)] = True
+
+    def find(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each hit, in the order of words: its row, its first word, the item and the piece's start in it."""
+        found = runs(words, self.n)
+        maybe = np.flatnonzero(self.seen[found & np.uint64((1 << 20) - 1)])
+        low, high = np.searchsorted(self.keys, found[maybe], "left"), np.searchsorted(self.keys, found[maybe], "right")
+        rows = np.searchsorted(at, maybe, "right") - 1
+        real = (high > low) & (maybe + self.n <= at[rows + 1])
+        rows, maybe, low, n = rows[real], maybe[real], low[real], (high - low)[real]
+        at_key = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else low, n) + np.arange(n.sum())
+        items, starts = self.places[at_key].T
+        return np.repeat(rows, n), np.repeat(maybe, n), items, starts
+
+
 class Matcher:
     """Finds items in batches of texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.hasher = WordHasher(SEPARATORS)
-        words, at = self.hasher.hashes(pa.array([t for _, t in items], pa.string()))
-        self.items, keys, places = [], [], []
+        words, at = self.hasher.hashes(spaced(pa.array([t for _, t in items], pa.string())))
+        self.items, pieces = [], {}
         for (item_id, _), a, b in zip(items, at, at[1:], strict=False):
             own = words[a:b]
-            if len(own) < PIECE:
+            if not len(own):
                 continue
-            k = budget(len(own))
+            k, n = budget(len(own)), min(len(own), PIECE)
+            keys, places = pieces.setdefault(n, ([], []))
             for i in range(k + 1):
                 start = i * len(own) // (k + 1)
-                keys.append(runs(own[start : start + PIECE], PIECE)[0])
+                keys.append(runs(own[start : start + n], n)[0])
                 places.append((len(self.items), start))
             self.items.append((item_id, own.tolist(), k))
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.keys = np.array(keys, np.uint64)[order]
-        self.places = np.array(places, np.int64).reshape(-1, 2)[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.keys & np.uint64((1 << 20) - 1)] = True
+        self.pieces = [Pieces(n, *found) for n, found in sorted(pieces.items())]
 
     def hits(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item_id, distance, budget, words, first word) of every item in every text, the best place of each."""
-        words, at = self.hasher.hashes(texts)
-        found = runs(words, PIECE)
-        maybe = np.flatnonzero(self.seen[found & np.uint64((1 << 20) - 1)])
-        low, high = np.searchsorted(self.keys, found[maybe], "left"), np.searchsorted(self.keys, found[maybe], "right")
-        rows = np.searchsorted(at, maybe, "right") - 1
-        real = (high > low) & (maybe + PIECE <= at[rows + 1])
-        candidates: dict[tuple[int, int], set[int]] = {}
-        for place, row, a, b in zip(maybe[real].tolist(), rows[real].tolist(), low[real].tolist(), high[real].tolist(), strict=True):
-            for item, start in self.places[a:b].tolist():
-                candidates.setdefault((row, item), set()).add(place - start)
-        out = []
+        words, at = self.hasher.hashes(spaced(texts))
+        out, candidates = [], {}
+        for pieces in self.pieces:
+            rows, firsts, items, starts = pieces.find(words, at)
+            if pieces.n < PIECE:  # found whole: the first place of each
+                _, first = np.unique(rows * len(self.items) + items, return_index=True)
+                for row, place, item in zip(rows[first].tolist(), (firsts - at[rows])[first].tolist(), items[first].tolist(), strict=True):
+                    out.append((row, self.items[item][0], 0, 0, pieces.n, place))
+                continue
+            for row, item, diagonal in zip(rows.tolist(), items.tolist(), (firsts - starts).tolist(), strict=True):
+                candidates.setdefault((row, item), set()).add(diagonal)
         for (row, item), diagonals in candidates.items():
             item_id, pattern, k = self.items[item]
             best, until = None, -1

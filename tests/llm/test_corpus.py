@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,40 @@ def test_decontamination_equals_brute_force(spark, sf):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0 and decontamination.contamination(docs, bench.limit(0)).count() == 0
 
 
+def units(text):
+    """Words, or characters where a script has no spaces (the ranges that this test uses)."""
+    return [x.lower() for x in re.findall(r"[\u0e00-\u0e7f\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff]|[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u0e00-\u0e7f\u3000-\u3004\u3041-\u30ff\u4e00-\u9fff\uff01-\uff0f\uff1a-\uff20]+", text or "")]
+
+
+def test_decontamination_of_short_and_unspaced_items(spark):
+    """A benchmark item of any length and script is found where a document holds it, against brute force."""
+    texts = ["Yes", "blue whale", "one, two three", "a b c d", "水是生命之源，人类离不开水和空气，也离不开阳光。", "東京はサーバーが多いです", "ประเทศไทยมีประชากรมาก", "水", "用Python编写 fast code", "?!", "", None, "blue whale"]
+    items = {i: units(t) for i, t in enumerate(texts)}
+    rng = random.Random(7)
+    docs = ["no such thing", "Yes", "say yes, please", "eyes yesterday", "the BLUE: whale. blue whale", "blue", "whale blue", "one two", "one two three", "x a b c d", "a b c", "", None, "用python编写 FAST code", "fast code"]
+    docs += [f"前文也在{t}后文" for t in texts[4:8]] + [f"head {t} tail" for t in texts[4:7]] + [texts[4].replace("，", ""), texts[4].replace("生命", "生 命")]
+    for t in texts[4:7] * 3:
+        own = list(t)
+        for _ in range(rng.randrange(1, 7)):
+            i = rng.randrange(len(own))
+            own[i : i + 1] = rng.choice([["山"], [], [own[i], "火"]])
+        docs.append("甲乙" + "".join(own) + "丙丁")
+    want = set()
+    for d, t in enumerate(docs):
+        own = units(t)
+        for k, item in items.items():
+            if item and (n := levenshtein(item, own)) <= decontamination.budget(len(item)):
+                want.add((d, k, n))
+    assert {(1, 0, 0), (2, 0, 0), (4, 1, 0), (4, 12, 0), (8, 2, 0), (15, 4, 0), (17, 6, 0), (18, 7, 0)} <= want and any(n for *_, n in want) and {d for d, *_ in want}.isdisjoint({0, 3, 5, 6, 7, 10, 11, 12, 14})
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    for block in (50_000, 3):
+        got = decontamination.contamination(frame, bench, block).collect()
+        assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want)
+        assert all(r.item_words == len(items[r.item_id]) and (r.distance or units(docs[r.doc_id])[r.start_word : r.start_word + r.item_words] == items[r.item_id]) for r in got)
+    assert {r.doc_id for r in decontamination.uncontaminated(frame, bench).collect()} == set(range(len(docs))) - {d for d, *_ in want}
+
+
 URLS = ["https://a.example.com/en/7?x=1", "http://EXAMPLE.com/en/8", "ftp://example.net/de/81", "x://net/de/", "http://org/es", "http://u.org/es/?q", "http://u.org/es/#f", "http://notcom/en/1", "no scheme", None, "", "http://", "http:///en/", "http://example.com?x=/en/7", "HTTP://a.b.example.com/en/77.html#z", "a://b://c", "http://h\nost.com/en/\n7"]
 
 
