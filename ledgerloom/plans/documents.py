@@ -100,7 +100,7 @@ def upsert_roundtrip(spark, sf):
     old = c.select(F.col("c_custkey").alias("id"), F.lit("old").alias("value"))
     target.replace(old)
     target.upsert(old.where("id % 3 = 0").withColumn("value", F.lit("new")), ["id"])
-    target.delete(id=[r.id for r in old.where("id % 3 > 0 AND id % 10 = 1").limit(100_000).collect()])
+    target.delete(old.where("id % 3 > 0 AND id % 10 = 1").select("id"))
     target.insert_new(old.where("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"), F.lit("added").alias("value")).unionByName(old.where("id % 3 = 0")), ["id"])
     return target.read()
 

@@ -57,8 +57,17 @@ class VersionedTable:
         """SNK-10, SNK-12, SNK-14: rows whose key is new; those there are not refreshed."""
         self.append(rows.join(self.read().select(*key), list(key), "left_anti") if self.current() else rows)
 
-    def delete(self, **values: Sequence) -> int:
-        """SNK-03: rows in which all named columns have one of the values; how many."""
+    def delete(self, keys: DataFrame | None = None, /, **values: Sequence) -> int:
+        """SNK-03: rows whose columns named in ``keys`` (any number of rows; nulls match nothing) or, with few values, in ``values``
+        all have one of the values; how many."""
+        if keys is not None:
+            if values:
+                raise ValueError("give keys or values, not both")
+            now, named = self.read(), list(keys.columns)
+            n = now.join(keys, named, "left_semi").count()
+            if n:
+                self.replace(now.join(keys, named, "left_anti").select(*now.columns))
+            return n
         gone = F.lit(True)
         for column, allowed in values.items():
             gone = gone & F.coalesce(F.col(column).isin(*allowed), F.lit(False))

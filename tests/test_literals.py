@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import evaluate, facts, privacy, resolve, windows
+from ledgerloom.plans import documents
 from ledgerloom.schema import conform, violations
 from ledgerloom.sources import files, html
 from ledgerloom.sources.sinks import VersionedTable, markdown_table
@@ -149,6 +150,22 @@ def test_versioned_table(spark, tmp_path):
     assert markdown_table(one.where("id = 1")).endswith("| 1 | a |\n")
 
 
+def test_upsert_roundtrip_deletes_every_id(spark, tmp_path):
+    """More ids to delete than fit a list: 106,666 of 1.6 million."""
+    spark.range(1, 1_600_001).withColumnRenamed("id", "c_custkey").write.parquet(f"file://{tmp_path}/customer.parquet")
+    got = documents.upsert_roundtrip(spark, str(tmp_path))
+    assert got.where("value <> 'added' AND id % 3 > 0 AND id % 10 = 1").count() == 0
+    assert got.where("value <> 'added'").count() == 1_600_000 - sum(i % 3 > 0 and i % 10 == 1 for i in range(1, 1_600_001))
+
+
+def test_delete_by_keys(spark, tmp_path):
+    target = VersionedTable(spark, f"file://{tmp_path}/t")
+    target.replace(spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("b", 4)], "v string, k int"))
+    assert target.delete(spark.createDataFrame([("b",), ("b",), ("z",), (None,)], "v string")) == 2
+    assert sorted(r.k for r in target.read().collect()) == [1, 3] and target.read().columns == ["v", "k"]
+    assert target.delete(spark.createDataFrame([(3, "b")], "k int, v string")) == 0
+
+
 def test_schema_checks(spark):
     docs = conform(spark.createDataFrame([("a", "active"), ("a", "odd"), (None, "removed")], "id string, status string"), "documents")
     assert {r.rule for r in violations(docs, "documents").collect()} == {"status not allowed", "key repeated", "key missing"}
