@@ -7,6 +7,10 @@ probability of all families together at which a paragraph is believed to be a no
 templates and names (Myers' word distance): the closest is reported, and confirmed if it is close enough. Every paragraph (line) of every whole text is scanned; one in which no n-gram of the
 vocabulary occurs has the unknown class's score alone, and costs only the lookups.
 
+Wrapped notices: between blank lines, templates are also looked up across line breaks (a template of W words within W // 4 edits has a
+piece that occurs unchanged; around it, Myers). The lines that one lies over are judged as one paragraph, numbered by the first of
+them. If it is confirmed, its row takes the place of their own, unless one of these is confirmed and as close.
+
 Defined results: only paragraphs believed to be of a family are reported, each row of a repeated document; null and empty texts
 report nothing; a null doc_id stays null; an empty table gives an empty result; other columns are ignored.
 """
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices
-from .decontamination import SEPARATORS, edit_distance
+from .decontamination import SEPARATORS, Pieces, edit_distance
 from .hashing import WordHasher, runs
 
 SCHEMA = "doc_id long, paragraph int, family string, probability double, template string, distance double, confirmed boolean"
@@ -192,8 +196,11 @@ def fit(texts: list[str], classes: list[str], ordinary: list[str], rounds: int =
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
-    """The classifier; its ordinary paragraphs are those of ``sample`` documents' first 4000 characters that hold no family's name."""
-    rows = id_and_text(docs).select(F.substring("text", 1, 4000).alias("text")).take(sample)
+    """The classifier; its ordinary paragraphs are those, without a family's name, of the ``sample`` distinct texts of the least hashes."""
+    texts = id_and_text(docs).select("text", F.xxhash64("text").alias("hash"))
+    last = texts.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    rows = list({r.hash: r for r in texts.where(F.col("hash") <= last).dropDuplicates(["hash"]).collect()}.values()) if last is not None else []
+    rows.sort(key=lambda r: r.hash)
     ordinary = [p for r in rows for p in r.text.split("\n") if p.strip()]
     grams = Grams()
     names = [grams.words(n) for family in NAMES.values() for n in family]
@@ -212,29 +219,89 @@ class Templates:
         return min(((t, edit_distance(w, words)[0] / len(w)) for t, w in self.of[family]), key=lambda x: x[1])
 
 
+class Wrapped:
+    """Finds templates of two words or more that lie over line breaks."""
+
+    def __init__(self, templates: Templates):
+        self.templates, pieces = [], {}
+        for words in {tuple(w) for own in templates.of.values() for _, w in own if len(w) > 1}:
+            k = int(CONFIRM * len(words))
+            n = len(words) // (k + 1)
+            keys, places = pieces.setdefault(n, ([], []))
+            for i in range(k + 1):
+                start = i * len(words) // (k + 1)
+                keys.append(runs(np.array(words[start : start + n], np.uint64), n)[0])
+                places.append((len(self.templates), start))
+            self.templates.append((list(words), k))
+        self.pieces = [Pieces(n, *found) for n, found in pieces.items()]
+
+    def spans(self, words: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int]]:
+        """First and last lines of templates over several lines. Lines begin at words ``at``, the parts between blank lines at ``blocks``."""
+        tried: set[tuple[int, int, int]] = set()
+        found: set[tuple[int, int]] = set()
+        for pieces in self.pieces:
+            rows, firsts, items, starts = pieces.find(words, blocks)
+            lengths, edits = (np.array([f(t) for t in self.templates], np.int64)[items] for f in (lambda t: len(t[0]), lambda t: t[1]))
+            low, high = np.maximum(blocks[rows], firsts - starts - edits), np.minimum(blocks[rows + 1], firsts - starts + lengths + edits)
+            over = np.searchsorted(at, low, "right") < np.searchsorted(at, high - 1, "right")  # else all within one line
+            tried.update(zip(low[over].tolist(), high[over].tolist(), items[over].tolist(), strict=True))
+        for a, b, item in tried:
+            pattern, k = self.templates[item]
+            text = words[a:b].tolist()
+            distance, end = edit_distance(pattern, text)
+            if distance <= k:
+                begin = end - edit_distance(pattern[::-1], text[:end][::-1])[1]
+                first, last = (int(np.searchsorted(at, a + x, "right")) - 1 for x in (begin, end - 1))
+                if first < last:
+                    found.add((first, last))
+        return sorted(found)
+
+
 def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """One row for each paragraph believed to be of a family: the family, its probability, the closest template and its distance as a share of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         templates = Templates(grams)
+        wrapped = Wrapped(templates)
+
+        def judge(p: np.ndarray, words: list[int]) -> tuple[str, float, str, float, bool]:
+            """Of the families still possible, the one with the closest template."""
+            possible = [k for k in np.flatnonzero(p[:-1] >= min(POSSIBLE, p[:-1].max()))]
+            compared = [(*templates.closest(model.families[k], words), k) for k in possible]
+            template, distance, k = min(compared, key=lambda x: (x[1], -p[x[2]]))
+            return model.families[k], float(p[k]), template, distance, distance <= CONFIRM
+
+        def joined(paragraphs: pa.Array, ends: np.ndarray, lines: dict[int, tuple]) -> None:
+            """Puts what is found over line breaks into ``lines``, the results by line."""
+            words, at = grams.hasher.hashes(paragraphs)
+            blank = np.flatnonzero(~pc.match_substring_regex(paragraphs, r"\S").to_numpy(zero_copy_only=False))
+            blocks = at[np.unique(np.concatenate([[0], ends, blank]))]
+            sure = {}
+            for first, last in wrapped.spans(words, at, blocks):
+                text = "\n".join(paragraphs.slice(first, last - first + 1).to_pylist())
+                rows, logits = model.logits(grams, pa.array([text]))
+                if len(rows) and 1 - (p := model.probabilities(logits)[0])[-1] >= model.least and (row := judge(p, grams.words(text)))[-1]:
+                    sure[first, last] = row
+            for (first, last), row in sorted(sure.items(), key=lambda x: (x[1][3], x[0][0] - x[0][1], x[0])):
+                if not any(lines[i][-1] and lines[i][-2] <= row[-2] for i in range(first, last + 1) if i in lines):
+                    for i in range(first, last + 1):
+                        lines.pop(i, None)
+                    lines[first] = row
+
         for whole in batches:
             for batch in slices(whole, limit=2 << 20):
                 lines = pc.split_pattern(batch.column("text"), "\n")
                 paragraphs, ends = lines.flatten(), np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False))
                 rows, logits = model.logits(grams, paragraphs)
-                if not len(rows):
-                    continue
-                p = model.probabilities(logits)
+                p = model.probabilities(logits) if len(rows) else np.zeros((0, len(model.bias)))
                 sure = np.flatnonzero(1 - p[:, -1] >= model.least)
-                at, ids, out = np.searchsorted(ends, rows, "right"), batch.column("doc_id").to_pylist(), []
-                for i in sure.tolist():
-                    doc, words = int(at[i]), grams.words(paragraphs[int(rows[i])].as_py())
-                    # Of the families still possible, the one with the closest template.
-                    possible = [k for k in np.flatnonzero(p[i, :-1] >= min(POSSIBLE, p[i, :-1].max()))]
-                    compared = [(*templates.closest(model.families[k], words), k) for k in possible]
-                    template, distance, k = min(compared, key=lambda x: (x[1], -p[i, x[2]]))
-                    out.append((ids[doc], int(rows[i]) - int(ends[doc - 1] if doc else 0), model.families[k], float(p[i, k]), template, distance, distance <= CONFIRM))
+                found = {int(rows[i]): judge(p[i], grams.words(paragraphs[int(rows[i])].as_py())) for i in sure.tolist()}
+                joined(paragraphs, ends, found)
+                ids, out = batch.column("doc_id").to_pylist(), []
+                for line, row in sorted(found.items()):
+                    doc = int(np.searchsorted(ends, line, "right"))
+                    out.append((ids[doc], line - int(ends[doc - 1] if doc else 0), *row))
                 if out:
                     kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])

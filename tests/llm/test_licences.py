@@ -54,3 +54,33 @@ def test_probabilities_equal_plain_sums(model):
         want = model.bias + sum(model.weights[number[h]] for h in own if h in number)
         assert got == pytest.approx(want, abs=1e-4)
     assert all(re.search(r"\w", texts[i]) for i in rows)
+
+
+WRAPPED = {
+    "Copyright 2020\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights": ("MIT", 1),
+    "# Redistribution and use in source and\n# binary forms, with or without\n# modification, are permitted provided\n# that the following conditions are met:\n#\n# 1. Keep this": ("BSD", 0),
+    "a summer day\nby the river\nunder the GNU General Public\nLicense as it stands": ("GPL", 2),
+    "first\nreleased under the GNU Lesser\nGeneral Public License": ("LGPL", 1),
+    "first\nlicensed under the Mozilla\n  Public\n License, version 2.0.": ("MPL", 1),
+    "about the GNU General\n\nPublic License of another": None,
+    "a summer day\nby the river\nhe lost his driver\nlicense": None,
+}
+
+
+def test_notices_over_line_breaks(spark, model):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(WRAPPED)] + [(99, "")], "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, r.family, r.paragraph) for r in L.scan_licences(docs, model).where("confirmed").collect()]
+    assert sorted(got) == [(i, *want) for i, want in enumerate(WRAPPED.values()) if want]
+
+
+def test_training_sample_is_by_hash_of_whole_texts(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(L, "fit", lambda texts, classes, ordinary: taken.extend(ordinary))
+    texts = ["hot copy"] * 50 + [f"{'w ' * 3000}\ntail {i}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    L.train(docs, sample=10)
+    assert len({p for p in taken if p.startswith("tail")}) >= 9 and taken.count("hot copy") <= 1
+    first = list(taken)
+    taken.clear()
+    L.train(docs.repartition(7), sample=10)
+    assert taken == first
