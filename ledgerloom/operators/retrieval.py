@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,13 +53,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, *, max_queries: int = 10_000) -> DataFrame:
-    """RET-02: the k nearest vectors of each query. Queries are a stated set of at most ``max_queries``, broadcast after that check
-    and compared in one pass over the vectors; each task keeps k a query before the shuffle."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search them in blocks")
-    pairs = vectors.join(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+    """RET-02: the k nearest vectors of each query. At most ``max_queries`` queries are broadcast at once and compared in one pass over
+    the vectors; each task keeps k a query before the shuffle. More queries are searched in blocks by hash of their id, of half that
+    size on average, with one pass for each block."""
+    n = queries.count()
+    blocks = 1 if n <= max_queries else -(-2 * n // max_queries)
     number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", number).where(F.col("rank") <= k)
+
+    def search(own: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(own)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+        return pairs.withColumn("rank", number).where(F.col("rank") <= k)
+
+    own = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, map(search, own))
 
 
 def fuse(ranked: DataFrame, query: str, key: str, constant: int = 60) -> DataFrame:

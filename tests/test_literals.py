@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import evaluate, facts, privacy, resolve, windows
+from ledgerloom.operators import evaluate, facts, privacy, resolve, retrieval, windows
 from ledgerloom.plans import documents
 from ledgerloom.schema import conform, violations
 from ledgerloom.sources import files, html
@@ -166,6 +166,14 @@ def test_delete_by_keys(spark, tmp_path):
     assert target.delete(spark.createDataFrame([(3, "b")], "k int, v string")) == 0
 
 
+def test_dense_top_in_blocks(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    queries = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    n = queries.count()
+    want = sorted(map(tuple, retrieval.dense_top(v, queries, 3).collect()))
+    assert len(want) == 3 * n and sorted(map(tuple, retrieval.dense_top(v, queries, 3, max_queries=n // 2).collect())) == want
+
+
 def test_schema_checks(spark):
     docs = conform(spark.createDataFrame([("a", "active"), ("a", "odd"), (None, "removed")], "id string, status string"), "documents")
     assert {r.rule for r in violations(docs, "documents").collect()} == {"status not allowed", "key repeated", "key missing"}
