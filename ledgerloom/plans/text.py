@@ -360,7 +360,7 @@ def json_items(spark, sf):
 
 @query("SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+')[1] AS first_word, len(regexp_extract_all(text, '[0-9]+')) AS n_numbers, contains(text, 'the') OR contains(text, 'der') AS flagged FROM documents")
 def keyword_flags(spark, sf):
-    """STR-25, STR-23."""
+    """STR-25."""
     return table(spark, sf, "documents").select("doc_id", F.try_element_at(T.tokens(F.col("text")), F.lit(1)).alias("first_word"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).cast("long").alias("n_numbers"), T.any_word(F.col("text"), ("the", "der")).alias("flagged"))
 
 
