@@ -6,6 +6,7 @@ and per-chunk results are gathered with numpy. ``ChunkStore`` bounds what is kep
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -83,11 +84,20 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False)), coded.dictionary.to_pylist()
 
 
+# Fixed value: how a pre-tokenizer that drops white space and lower-cases splits words.
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word's marks before a space: a pre-token of their own under WORDS_PATTERN.
+MARKS = r"([\p{L}\p{N}])([.,;:!?$&*#]+)( |$)"
+
+
 class LibraryEncoder:
     """Ids of whole texts as the tokenizers library gives them without added special tokens, ``end_id`` behind each text.
 
     Chunks between single spaces are encoded by the library once and kept. Texts in which a token could cross
     a chunk's border (runs of white space, strings of special tokens) go to the library whole.
+
+    Where the tokenizer splits words by WORDS_PATTERN, lower-cases, and marks the last token of a word, chunks are cut finer (at
+    line breaks and before marks) and new words of letters alone are encoded many at a time: the marks tell where each ends.
     """
 
     def __init__(self, path: str, end_id: int, limit: int = 400_000):
@@ -100,6 +110,36 @@ class LibraryEncoder:
         self.spaced = len(self.library.encode(" ", add_special_tokens=False).ids) > 0  # a space belongs to the chunk behind it
         self.end = self.store.add([[end_id]])
         self.store.kept = 1
+        own = json.loads(self.library.to_str())
+        kinds = json.dumps(own["normalizer"]), json.dumps(own["pre_tokenizer"])
+        suffix = own["model"].get("end_of_word_suffix")
+        self.ends_word = None
+        if suffix and '"Lowercase"' in kinds[0] and json.dumps(WORDS_PATTERN) in kinds[1] and not self.spaced:
+            vocabulary = self.library.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def words(self, chunks: list[str]) -> list[Sequence[int]]:
+        """Ids of chunks, words of letters alone in one text."""
+        out: list[Sequence[int]] = [()] * len(chunks)
+        plain = pc.match_substring_regex(pa.array(chunks, pa.string()), r"\A\p{L}+\z").to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(plain)
+        if len(at):
+            ids = np.array(self.library.encode(" ".join([chunks[i] for i in at]), add_special_tokens=False).ids, np.int64)
+            last = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(last) == len(at):  # else lower case has made a word two
+                ids, begin = ids.tolist(), 0
+                for i, end in zip(at.tolist(), last.tolist(), strict=True):
+                    out[i] = ids[begin:end]
+                    begin = end
+                at = np.flatnonzero(~plain)
+            else:
+                at = np.arange(len(chunks))
+        else:
+            at = np.arange(len(chunks))
+        for i, ids in zip(at.tolist(), self.ids([chunks[i] for i in at]), strict=True):
+            out[i] = ids
+        return out
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,9 +148,15 @@ class LibraryEncoder:
         """Ids of all texts one after the other, and where each text's end."""
         store = self.store
         store.forget()
-        whole = pc.match_substring_regex(texts, CROSSING)
-        chunks, ends, distinct = split(pc.if_else(whole, "", texts))
-        numbers = store.numbers(distinct, (lambda c: self.ids([f" {x}" for x in c])) if self.spaced else self.ids)[chunks]
+        if self.ends_word is not None:
+            whole = pc.match_substring_regex(texts, "<\\||\u0130")  # the one letter whose lower case is a letter and a mark
+            fine = pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), MARKS, r"\1 \2\3")
+            chunks, ends, distinct = split(pc.if_else(whole, "", fine))
+            numbers = store.numbers(distinct, self.words)[chunks]
+        else:
+            whole = pc.match_substring_regex(texts, CROSSING)
+            chunks, ends, distinct = split(pc.if_else(whole, "", texts))
+            numbers = store.numbers(distinct, (lambda c: self.ids([f" {x}" for x in c])) if self.spaced else self.ids)[chunks]
         firsts = np.concatenate([[0], ends[:-1]])
         at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if self.spaced:  # the first chunk has no space before it
