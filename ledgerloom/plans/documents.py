@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import table
+from ledgerloom.session import scratch, table
 from ledgerloom.sources import files, html
 from ledgerloom.sources.sinks import VersionedTable
 from ledgerloom.streaming import jobs
@@ -27,12 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{root}/ledgerloom/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.page_text("html").alias("text"))
@@ -111,9 +104,7 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 def _stream(spark, sf, make, name, mode="append"):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     stream = jobs.events_stream(spark, sf, _EVENTS, glob="events.parquet")
-    unique = f"{name}_{uuid.uuid4().hex[:8]}"
-    jobs.run_available(make(stream), unique, scratch(spark, name), mode)
-    return spark.table(unique)
+    return jobs.run_available(make(stream), scratch(spark, name), scratch(spark, f"{name}-state"), mode)
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -123,6 +114,7 @@ def stream_daily_counts(spark, sf):
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
 def stream_dedupe(spark, sf):
+    """STM-03: state without expiry, so a repeat in any later file is dropped too."""
     return _stream(spark, sf, lambda s: jobs.first_seen(s.select("ts", "user_id", "event_type"), "user_id", "event_type").select("user_id", "event_type"), "dedupe")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,33 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by name; columns are pruned and filters pushed down by Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_folders: dict[str, object] = {}
+
+
+def _clean() -> None:
+    """Removes this process's scratch tables; what the file system refuses stays."""
+    for path, jvm in _folders.items():
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        except Exception:  # noqa: BLE001 the JVM may be gone
+            return
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); it is removed when the driver ends. A local
+    master may do without that setting; on a cluster each executor would then write to a disk of its own."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/checkpoints"
+    own = f"{root}/ledgerloom/{context.applicationId}"
+    if own not in _folders:
+        if not _folders:
+            atexit.register(_clean)
+        _folders[own] = context._jvm
+    return f"{own}/{name}-{uuid.uuid4().hex}"

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 class VersionedTable:
-    """All or nothing: readers see the version that the pointer names, which changes after its files are complete. Works on any
-    file system that Spark reaches."""
+    """All or nothing: readers see the version that the newest pointer names, which is made after its files are complete. Pointers are
+    numbered and never overwritten: of two writers that started from one version, one gets the next number and the other does its change
+    again on top of it. Works on any file system that Spark reaches and that creates files exclusively."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,60 +23,119 @@ class VersionedTable:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def current(self) -> str | None:
+    def _versions(self) -> list[tuple[int, str]]:
+        """Numbers and versions; a pointer that is still being written does not count."""
         fs, folder = self._fs(f"{self.root}/_versions")
         if not fs.exists(folder):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-        return names[-1].split("=", 1)[1] if names else None
+            return []
+        out = []
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.isdigit() and (n := status.getLen()):
+                stream = fs.open(status.getPath())
+                try:
+                    out.append((int(name), bytes(stream.readNBytes(int(n))).decode()))
+                finally:
+                    stream.close()
+        return sorted(out)
+
+    def current(self) -> str | None:
+        versions = self._versions()
+        return versions[-1][1] if versions else None
 
-    def read(self, schema: str | None = None) -> DataFrame:
+    def read(self, schema=None) -> DataFrame:
         version = self.current()
         if version is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{version}")
 
-    def replace(self, df: DataFrame) -> None:
-        """SNK-04: a new version; only the last step, the creation of one empty file, makes it current."""
+    def _publish(self, number: int, version: str) -> bool:
+        """Whether the pointer of this number is ours."""
+        fs, pointer = self._fs(f"{self.root}/_versions/{number:08d}")
+        try:
+            out = fs.create(pointer, False)
+        except Py4JJavaError as e:
+            if "Exist" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(version.encode())
+        out.close()
+        return True
+
+    def change(self, make: Callable[[DataFrame | None], DataFrame | None], tries: int = 20) -> None:
+        """``make`` gets the current rows (None without a version) and gives the new ones (None: no change); again if another writer was first."""
         fs, folder = self._fs(f"{self.root}/_versions")
-        number = len(fs.listStatus(folder)) if fs.exists(folder) else 0
-        version = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{version}")
-        fs.mkdirs(folder)
-        fs.create(self._fs(f"{self.root}/_versions/{number:08d}={version}")[1], False).close()
+        for _ in range(tries):
+            versions = self._versions()
+            number, version = (versions[-1][0] + 1 if versions else 0), f"v-{uuid.uuid4().hex}"
+            df = make(self.spark.read.parquet(f"{self.root}/{versions[-1][1]}") if versions else None)
+            if df is None:
+                return
+            df.write.parquet(f"{self.root}/{version}")
+            fs.mkdirs(folder)
+            if self._publish(number, version):
+                return
+            fs.delete(self._fs(f"{self.root}/{version}")[1], True)
+        raise RuntimeError(f"{self.root}: other writers were first {tries} times")
+
+    def replace(self, df: DataFrame) -> None:
+        """SNK-04: a new version; only the last step, the creation of one pointer, makes it current."""
+        self.change(lambda now: df)
 
     def append(self, rows: DataFrame) -> None:
         """SNK-01, SNK-09."""
-        self.replace(self.read().unionByName(rows, allowMissingColumns=True) if self.current() else rows)
+        self.change(lambda now: rows if now is None else now.unionByName(rows, allowMissingColumns=True))
+
+    def append_numbered(self, rows: DataFrame, order: Sequence[str], id_column: str = "id") -> None:
+        """SNK-09: rows get ids that go on from the table's highest, in ``order``."""
+        numbered = rows.withColumn(id_column, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+        def make(now: DataFrame | None) -> DataFrame:
+            if now is None:
+                return numbered
+            top = now.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0]
+            return now.unionByName(numbered.withColumn(id_column, F.col(id_column) + top), allowMissingColumns=True)
+
+        self.change(make)
 
     def upsert(self, rows: DataFrame, key: Sequence[str]) -> None:
         """SNK-02, SNK-08: rows replace those of their key whole."""
-        if self.current() is None:
-            return self.replace(rows)
-        self.replace(self.read().join(rows.select(*key), list(key), "left_anti").unionByName(rows, allowMissingColumns=True))
+        self.change(lambda now: rows if now is None else now.join(rows.select(*key), list(key), "left_anti").unionByName(rows, allowMissingColumns=True))
 
     def insert_new(self, rows: DataFrame, key: Sequence[str]) -> None:
         """SNK-10, SNK-12, SNK-14: rows whose key is new; those there are not refreshed."""
-        self.append(rows.join(self.read().select(*key), list(key), "left_anti") if self.current() else rows)
+        self.change(lambda now: rows if now is None else now.unionByName(rows.join(now.select(*key), list(key), "left_anti"), allowMissingColumns=True))
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all but the newest versions (readers of older ones must be done); how many."""
+        fs, _ = self._fs(self.root)
+        old = self._versions()[: -max(1, keep)]
+        for number, version in old:
+            fs.delete(self._fs(f"{self.root}/_versions/{number:08d}")[1], False)
+            fs.delete(self._fs(f"{self.root}/{version}")[1], True)
+        return len(old)
 
     def delete(self, keys: DataFrame | None = None, /, **values: Sequence) -> int:
         """SNK-03: rows whose columns named in ``keys`` (any number of rows; nulls match nothing) or, with few values, in ``values``
         all have one of the values; how many."""
-        if keys is not None:
-            if values:
-                raise ValueError("give keys or values, not both")
-            now, named = self.read(), list(keys.columns)
-            n = now.join(keys, named, "left_semi").count()
-            if n:
-                self.replace(now.join(keys, named, "left_anti").select(*now.columns))
-            return n
+        if keys is not None and values:
+            raise ValueError("give keys or values, not both")
         gone = F.lit(True)
         for column, allowed in values.items():
             gone = gone & F.coalesce(F.col(column).isin(*allowed), F.lit(False))
-        now = self.read()
-        n = now.where(gone).count()
-        if n:
-            self.replace(now.where(~gone))
+        n = 0
+
+        def make(now: DataFrame | None) -> DataFrame | None:
+            nonlocal n
+            if now is None:
+                return None
+            hit = now.join(keys, list(keys.columns), "left_semi") if keys is not None else now.where(gone)
+            n = hit.count()
+            if not n:
+                return None
+            return now.join(keys, list(keys.columns), "left_anti").select(*now.columns) if keys is not None else now.where(~gone)
+
+        self.change(make)
         return n
 
 
