@@ -1,17 +1,23 @@
 """Operator 5: toxicity by compression distance.
 
-zstandard finds no repeats under four bytes and gains little from short ones, so a text is first written in word codes:
-for each word six bytes of the hash of the word and six of the hash of its first four bytes. Two dictionaries are trained on labelled
-texts: of the codes found in toxic texts, those over-represented there, the strongest last (nearest for zstandard); likewise for ordinary texts.
-Each window of words is compressed with either; how many bytes the toxic dictionary saves is the window's gain. A threshold
-calibrated on ordinary texts says which windows stand out, and a logistic curve on the windows' gains gives the document's score.
+Two dictionaries are trained by zstandard itself, one on windows of ordinary texts, one on what is over-represented in windows of toxic
+texts. Every window of words is compressed twice: with the ordinary dictionary, and with the toxic one in front of it; how
+many bytes the toxic one saves is the window's gain. (In the first case noise of the same size stands in its place: zstandard sizes its
+tables by the dictionary, and unequal tables would make gains of their own.) A threshold calibrated on ordinary texts says which
+windows stand out, and a logistic curve on the windows' gains gives the document's score.
 
-The fit takes at most ``sample`` labelled texts of each class (those with the smallest hash of doc_id), half of them for the
-dictionaries, half for calibration; rows whose crc32(doc_id as text) is divisible by 5 are held out. Scoring reads every text whole.
+zstandard finds no repeats under four bytes, and a repeat costs it as much as four or five letters, so windows of letters tell
+little (README has figures). A text is therefore written in word codes first: of each word six bytes of its hash and six of the hash of its
+first four bytes. Codes count as over-represented by how many texts of either class hold them (chi-squared).
+
+The fit takes at most ``sample`` labelled texts of each class (those with the smallest hash of doc_id) and ``windows`` windows of each (with the
+smallest hash), three quarters of the texts for the dictionaries, one for calibration; rows whose crc32(doc_id as text) is
+divisible by 5 are held out. The texts are read once and written to a table. Scoring reads every text whole.
 
 Defined results: a null or empty text has no windows and gets the curve's value for no gain; without labelled texts of both classes every
-score is the share of toxic labels (0 without labels); repeated rows score alike; a null doc_id is scored and not
-held out; an empty table gives an empty result; other columns are ignored by ``score_toxicity`` and kept by ``drop_toxic``.
+score is the share of toxic labels (0 without labels); with too few windows to train on, a dictionary is the windows themselves; repeated rows score
+alike; a null doc_id is scored and not held out; an empty table gives an empty result; other columns are ignored by ``score_toxicity`` and
+kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -25,15 +31,20 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim, id_and_text, slices
+from .common import bounded_batches, claim, id_and_text, materialize, slices
 from .hashing import WordHasher
 
 CODE = 6
 WINDOW_WORDS = 64
 SAMPLE = 6000
-DICTIONARY_CODES = 4096
-#: How sure it must be that a code is over-represented.
-CHI_SQUARED = 16
+#: Windows of either class that a dictionary is trained on.
+WINDOWS = 20_000
+#: Bytes of the dictionaries.
+TOXIC_BYTES, ORDINARY_BYTES = 16_384, 4096
+#: At most so many codes count as over-represented, the strongest.
+CODES = 512
+#: How much more often they are, and how sure that must be.
+RATIO, CHI_SQUARED = 2, 16
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalpha())
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, gain double, windows int"
 
@@ -74,7 +85,8 @@ class Gauge:
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.coder = Coder()
-        self.pair = [self.compressor(x) for x in (toxic, ordinary)]
+        noise = np.random.default_rng(3).bytes(len(toxic))
+        self.pair = [self.compressor(x + ordinary) for x in (toxic, noise)]
 
     @staticmethod
     def compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -122,19 +134,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
-    """At most ``sample`` labelled texts of each class that are not held out (toxic, half, text), and the classes' sizes."""
+    """At most ``sample`` labelled texts of each class that are not held out (toxic, fold, key, text), and the classes' sizes."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id")
     chosen = [own.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
     # Two times ``sample`` ids at most: a bounded broadcast.
     joined = id_and_text(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    return joined.select("toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"), F.col("text")), sizes
+    key = F.xxhash64("doc_id", "text", F.lit(1))
+    return materialize(joined.select("toxic", F.pmod(key, F.lit(4)).cast("int").alias("fold"), key.alias("key"), "text"), "labelled"), sizes
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    texts, sizes = training_texts(docs, labels, sample)
-    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+def over_represented(texts: DataFrame, sizes: dict[int, int]) -> np.ndarray:
+    """Codes that more toxic texts hold than ordinary ones, ascending."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In how many texts of either class each code occurs."""
@@ -150,17 +162,55 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
                 n = [np.bincount(inverse, weights=of_toxic == k, minlength=len(distinct)).astype(np.int64) for k in (True, False)]
                 yield pa.RecordBatch.from_arrays([pa.array(distinct.astype(np.int64)), *map(pa.array, n)], names=["code", "n_toxic", "n_ordinary"])
 
-    halves = {r.toxic: r.n for r in texts.where("half = 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(halves) < 2:
+    counts = texts.select("toxic", "text").mapInArrow(count, "code long, n_toxic long, n_ordinary long").groupBy("code").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
+    n, m = sizes[1], sizes[0]
+    a, b = (F.col("n_toxic") + 0.5) / (n + 1), (F.col("n_ordinary") + 0.5) / (m + 1)
+    both = (F.col("n_toxic") + F.col("n_ordinary")) / (n + m)
+    sure = F.pow(F.col("n_toxic") / n - F.col("n_ordinary") / m, F.lit(2)) / (both * (1.0001 - both) * (1 / n + 1 / m))  # chi-squared
+    found = counts.where((a / b > RATIO) & (sure > CHI_SQUARED)).orderBy((a * F.log(a / b)).desc(), "code").limit(CODES).select("code").collect()
+    return np.sort(np.array([r.code for r in found], np.uint64))
+
+
+def samples(texts: DataFrame, codes: np.ndarray, windows: int) -> dict[int, list[bytes]]:
+    """At most ``windows`` windows of either class: ordinary ones whole, of toxic ones the over-represented codes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
+        for whole in batches:
+            for batch in slices(whole):
+                found, at = coder.codes(batch.column("text"))
+                rows = []
+                for toxic, key, a, b in zip(batch.column("toxic").to_pylist(), batch.column("key").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
+                    for i in range(a, b, WINDOW_WORDS):
+                        own = found[i : min(i + WINDOW_WORDS, b)].reshape(-1)
+                        if toxic:
+                            own = own[np.isin(own, codes)]
+                        if len(own):
+                            rows.append((toxic, key ^ (i - a), as_bytes(own)))
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["toxic", "key", "window"])
+
+    found = texts.select("toxic", "key", "text").mapInArrow(cut, "toxic int, key long, window binary")
+    order = F.xxhash64("key")
+    return {c: [bytes(r.window) for r in found.where(F.col("toxic") == c).orderBy(order, "window").limit(windows).collect()] for c in (0, 1)}
+
+
+def dictionary(windows: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, windows, level=3).as_bytes()
+    except zstandard.ZstdError:  # too few to train on
+        return b"".join(windows)[-size:]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> ToxicityModel:
+    texts, sizes = training_texts(docs, labels, sample)
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    fit, rest = texts.where("fold > 0"), texts.where("fold = 0")
+    there = {r.toxic: r.n for r in fit.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(there) < 2:
         return ToxicityModel(b"", b"", 0.0, [], share)
-    counts = texts.where("half = 0").mapInArrow(count, "code long, n_toxic long, n_ordinary long").groupBy("code").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
-    raw = []
-    for own, other, n, m in (("n_toxic", "n_ordinary", halves[1], halves[0]), ("n_ordinary", "n_toxic", halves[0], halves[1])):
-        a, b = (F.col(own) + 0.5) / (n + 1), (F.col(other) + 0.5) / (m + 1)
-        both = (F.col(own) + F.col(other)) / (n + m)
-        sure = F.pow(F.col(own) / n - F.col(other) / m, F.lit(2)) / (both * (1.0001 - both) * (1 / n + 1 / m))  # chi-squared
-        found = counts.where((a / b > 3) & (sure > CHI_SQUARED)).orderBy((a * F.log(a / b)).desc(), "code").limit(DICTIONARY_CODES).select("code").collect()
-        raw.append(as_bytes(np.array([r.code for r in reversed(found)], np.uint64)))
+    own = samples(fit, over_represented(fit, there), windows)
+    raw = dictionary(own[1], TOXIC_BYTES), dictionary(own[0], ORDINARY_BYTES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
@@ -169,15 +219,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([g.tolist() for g in gauge.gains(batch.column("text"))], pa.list_(pa.float64()))], names=["toxic", "gains"])
 
-    # A number for each window of at most twice ``sample`` texts.
-    measured = texts.where("half = 1").mapInArrow(measure, "toxic int, gains array<double>").orderBy("toxic", "gains").collect()
-    y, gains = np.array([r.toxic for r in measured], float), [np.array(r.gains, float) for r in measured]
+    measured = materialize(rest.select("toxic", "text").mapInArrow(measure, "toxic int, gains array<double>"), "gains")
+    # As many rows as there are gains: a window's is some hundred bytes at most.
+    clean = sorted((r.gain, r.n) for r in measured.where("toxic = 0").select(F.explode("gains").alias("gain")).groupBy("gain").agg(F.count(F.lit(1)).alias("n")).collect())
+    total, threshold = 0, 1.0
+    for gain, n in clean:
+        total += n
+        if total >= 0.99 * sum(k for _, k in clean):
+            threshold = max(1.0, gain)
+            break
+    mean = F.aggregate("gains", F.lit(0.0), lambda a, x: a + x) / F.size("gains")
+    found = measured.select("toxic", *[F.coalesce(x, F.lit(0.0)) for x in (F.array_max("gains"), F.when(F.size("gains") > 0, mean), F.log1p(F.size(F.filter("gains", lambda x: x > threshold))))])
+    rows = np.array(sorted(map(tuple, found.collect())), float).reshape(-1, 4)  # one for each text
+    y = rows[:, 0]
     if not 0 < y.sum() < len(y):
-        return ToxicityModel(*raw, 0.0, [], share)
-    clean = np.concatenate([g for g, t in zip(gains, y, strict=True) if not t and len(g)] or [np.zeros(1)])
-    threshold = float(max(1.0, np.quantile(clean, 0.99)))
+        return ToxicityModel(*raw, threshold, [], share)
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return ToxicityModel(*raw, threshold, logistic(features(gains, threshold), y, weight))
+    return ToxicityModel(*raw, threshold, logistic(rows[:, 1:], y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

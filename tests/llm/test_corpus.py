@@ -213,6 +213,34 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(r.predicted for r in got if not r.toxic) < 0.01 * len(got)
 
 
+def test_gains_equal_plain_compression(spark):
+    """Both dictionaries come from zstandard's training, and a gain is the difference of two plain compressions of a window."""
+    import pyarrow as pa
+    import zstandard
+
+    from ledgerloom.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    for raw in (model.toxic, model.ordinary):
+        assert zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT).dict_id() > 0 and len(raw) > 2000
+    texts = [r.text for r in docs.where("length(text) > 0").orderBy("doc_id").limit(40).collect()] + ["", "word " * 5000]
+    gauge = toxicity.Gauge(model.toxic, model.ordinary)
+    noise = np.random.default_rng(3).bytes(len(model.toxic))
+    coder = toxicity.Coder()
+    total = 0
+    for text, got in zip(texts, gauge.gains(pa.array(texts)), strict=True):
+        codes, _ = coder.codes(pa.array([text]))
+        want = []
+        for i in range(0, len(codes), toxicity.WINDOW_WORDS):
+            window = b"".join(int(c).to_bytes(8, "little")[:6] for pair in codes[i : i + toxicity.WINDOW_WORDS] for c in pair)
+            with_toxic, without = (len(toxicity.Gauge.compressor(x + model.ordinary).compress(window)) for x in (model.toxic, noise))
+            want.append(without - with_toxic)
+        assert got.tolist() == want
+        total += len(want)
+    assert total > 100
+
+
 def test_toxicity_of_odd_rows(spark, copies):
     from ledgerloom.llm import toxicity
 

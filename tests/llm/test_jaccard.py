@@ -113,6 +113,29 @@ def test_hashes_do_not_depend_on_windows(monkeypatch):
     assert len(np.unique(whole[0])) == 6
 
 
+def twisted(k):
+    """Two words that any polynomial hash with an odd base maps to one value modulo 2**64."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("k", [3, 6, 7, 10, 12])
+def test_structured_words_do_not_collide(spark, k):
+    from ledgerloom.llm import decontamination, hashing, license_scan
+
+    one, other = twisted(k)
+    for hasher in (hashing.WordHasher(J.SEPARATORS), decontamination.Matcher([]).hasher, license_scan.Grams().hasher):
+        found, _ = hasher.hashes(pa.array([f"{one} {other}"]))
+        assert found[0] != found[1]
+    rows = [(1, f"{one} x1 x2 x3 x4"), (2, f"{other} x1 x2 x3 x4"), (3, f"{one} x1 x2 x3 x4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(docs).collect())) == brute(rows)
+    items = spark.createDataFrame([(7, f"{one} x1 x2 x3")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.contamination(docs, items).collect()) == [1, 3]
+
+
 def test_messages_round_trip():
     rng = np.random.default_rng(3)
     entries = np.zeros(500, J.ENTRY)
