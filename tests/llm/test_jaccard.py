@@ -77,6 +77,67 @@ def test_components_equal_brute_force(spark, made, tile, hot, broadcast, monkeyp
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def test_regions_are_divided_by_pivots(spark, monkeypatch):
+    """Eight groups of 300 texts that share one line, whose shingles are as frequent (for the saturated sketch) as any: one region of
+    more than TILE sets, which the pivots divide by distances of nearly 1 between groups."""
+    rng = random.Random(12)
+    line = " ".join(f"l{i}" for i in range(20))
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(300):
+            words = list(base)
+            words[rng.randrange(80)] = f"u{len(rows)}"
+            rows.append((len(rows), f"{line} {' '.join(words)}"))
+    rng.shuffle(rows)
+    seen, divide = [], J.divided
+
+    def spy(members, sets, tile):
+        cells, crowds = divide(members, sets, tile)
+        before = members.groupBy("pivot").count().orderBy("count", ascending=False).first()["count"]
+        after = cells.groupBy("pivot").count().orderBy("count", ascending=False).first()["count"]
+        seen.append((before, after, crowds.count()))
+        return cells, crowds
+
+    monkeypatch.setattr(J, "divided", spy)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    ((before, after, crowd),) = seen
+    assert before > J.TILE >= after and not crowd
+
+
+def test_crowds_are_compared_ring_by_ring(spark, monkeypatch):
+    """400 near copies in one region of 50 at most: no pivot divides them, rings do."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(120)] = f"x{rng.randrange(4000)}"
+        rows.append((i, " ".join(words)))
+    seen, tiles = [], J.tiles_of
+
+    def spy(members, crowds, tile):
+        out = tiles(members, crowds, tile)
+        seen.append((crowds.count(), out.groupBy("pivot", "low", "high").count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(J, "tiles_of", spy)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), tile=50).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    ((crowd, most),) = seen
+    assert crowd >= 400 and most <= 4 * 50
+
+
+def test_sets_that_share_a_node_are_told_apart(spark, monkeypatch):
+    """Nodes of three bits: most sets share theirs with others, and the second sum takes its place."""
+    monkeypatch.setattr(J, "NODE_MASK", 7)
+    rows = [(i, f"{'a b c d e f g h ' * 4}t{i % 20}") for i in range(40)] + [(40 + i, f"k{i} l m n o p") for i in range(30)]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = J.jaccard_components(docs).collect()
