@@ -178,27 +178,71 @@ def test_url_rules(spark, sf):
         assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got) == want
 
 
+def plain_tokens(url):
+    """The tokens of a URL, with plain string operations."""
+    if url is None or "://" not in url:
+        return frozenset()
+    host, path, *_ = judged(url)
+    labels, scheme = host.split("."), re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://", url)
+    query = (re.match(r"(?s)[^?#]*\?([^#]*)", url) or [0, ""])[1]
+    pairs = [x for x in query.split("&") if x]
+    ending = re.search(r"\.([A-Za-z0-9]{1,5})\Z", path)
+    out = [f"scheme={scheme[1].lower()}" if scheme else None, f"ending={ending[1].lower()}" if ending else None, "fragment" if "#" in url else None]
+    out += [f"host={x}" for i in range(len(labels)) if (x := ".".join(labels[i:]))]
+    out += [f"path={x}" for x in path.split("/") if x] + [f"query={k}" for x in pairs if (k := x.split("=", 1)[0])] + [f"pair={x}" for x in pairs]
+    return frozenset(x for x in out if x)
+
+
+LONG = "https://a.b.c.example.com/" + "/".join(f"s{i}" for i in range(3000)) + "/x.HTML?" + "&".join(f"k{i}=v{i}" for i in range(3000)) + "#top"
+
+
+def test_tokens_of_whole_urls(spark):
+    urls = [*URLS, LONG, "https://a.b.adult-x.example.com/en/1/casino/?x=1&ad=2", "http://h/?a=b=c&&=d"]
+    got = url_filter.judged_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).collect()
+    assert {r.page_id: frozenset(r.tokens) for r in got} == {i: plain_tokens(u) for i, u in enumerate(urls)}
+    assert len(plain_tokens(LONG)) > 9000 and all(len(set(r.tokens)) == len(r.tokens) for r in got)
+
+
 def test_mined_rules_equal_counts(spark):
-    """Rules from FP-growth against counts of every token set."""
+    """Rules against counts of every token set, mined in three quarters of the pages and held against the rest."""
     from itertools import combinations
 
     rng = random.Random(5)
-    rows = [(i, f"http://{rng.choice(['bad', 'good', 'odd'])}.h{i % 3}.com/{rng.choice('ab')}/{i}") for i in range(300)]
+    rows = [(i, f"http://{rng.choice(['bad', 'good', 'odd'])}.h.com/{rng.choice('ab')}/{rng.choice('cd')}/{i}?t={rng.randrange(2)}") for i in range(1600)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     block = {i: "bad." in u and "/a/" in u or rng.random() < 0.1 for i, u in rows}
-    labels = spark.createDataFrame(list(block.items()), "page_id long, block boolean")
-    urls = url_filter.judged_urls(pages)
-    tokens = {r.page_id: frozenset(r.tokens) for r in urls.collect()}
-    n, both = Counter(), Counter()
+    labels = spark.createDataFrame([*block.items(), (None, True)], "page_id long, block boolean")
+    fold = {r.page_id: r.fold for r in pages.select("page_id", F.pmod(F.xxhash64("page_id", F.lit(2)), F.lit(4)).alias("fold")).collect()}
+    tokens = {i: plain_tokens(u) for i, u in rows}
+    n, both = ({k: Counter() for k in (True, False)} for _ in range(2))
     for i, own in tokens.items():
+        own = [t for t in own if t.split("=")[1] != str(i)]
         for k in range(1, len(own) + 1):
             for c in combinations(sorted(own), k):
-                n[frozenset(c)] += 1
-                both[frozenset(c)] += block[i]
-    sure = {c: both[c] / n[c] for c in n if both[c] >= 0.05 * 300 and both[c] / n[c] >= 0.6}
-    best = {i: max((s for c, s in sure.items() if c <= own), default=None) for i, own in tokens.items()}
-    mined = url_filter.mine_rules(urls, labels, 0.05, 0.6)
-    assert mined and {r.page_id: r.confidence for r in url_filter.filter_urls(pages, labels, (), 0.05, 0.6).collect()} == pytest.approx(best)
+                n[fold[i] > 0][frozenset(c)] += 1
+                both[fold[i] > 0][frozenset(c)] += block[i]
+    support = 0.05 * sum(f > 0 for f in fold.values())
+    sure = {c: both[True][c] / n[True][c] for c in n[True] if both[True][c] >= int(support) and both[True][c] / n[True][c] >= 0.6}
+    least = {c for c, s in sure.items() if not any(g < c and sure[g] >= s for g in sure)}
+    held = {c: both[False][c] / n[False][c] for c in least if n[False][c] >= url_filter.TRIED and both[False][c] / n[False][c] >= 0.6}
+    mined = dict(url_filter.mine_rules(url_filter.judged_urls(pages), labels, 0.05, 0.6))
+    assert frozenset({"host=bad.h.com", "path=a"}) in mined and mined == {c: pytest.approx(held[c]) for c in mined} and set(held) >= set(mined)
+    got = {r.page_id: (r.verdict, r.confidence) for r in url_filter.filter_urls(pages, labels, (), 0.05, 0.6).collect()}
+    best = {i: max((s for c, s in mined.items() if c <= own), default=None) for i, own in tokens.items()}
+    assert got == {i: ("allow" if s is None else "block", s if s is None else pytest.approx(s)) for i, s in best.items()}
+    judged_right = [block[i] == (got[i][0] == "block") for i in block]
+    assert sum(judged_right) > 0.85 * len(block) and sum(got[i][0] == "block" and block[i] for i in block) > 0.9 * sum(v[0] == "block" for v in got.values())
+
+
+def test_no_rules_from_labels_that_urls_do_not_tell(spark):
+    """On the given pages the labels have nothing to do with the URLs: what is mined there must still beat the share of blocked pages."""
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "labels"))
+    labels = url_filter.page_labels(labels)
+    even = url_filter.mine_rules(url_filter.judged_urls(pages), labels.where("page_id % 2 = 0"), 0.005, 0.6)
+    judged_pages = url_filter.judge(url_filter.judged_urls(pages), (), even).join(labels, "page_id").where("page_id % 2 = 1")
+    rows = judged_pages.select("verdict", "block").collect()
+    blocked = [r.block for r in rows if r.verdict == "block"]
+    assert not blocked or sum(blocked) / len(blocked) > sum(r.block for r in rows) / len(rows)
 
 
 def test_toxicity_on_held_out_documents(spark):
