@@ -28,6 +28,8 @@ from .common import fingerprint, fingerprint_filter, id_and_text, keep_rows, mat
 from .common import marked as matching
 
 SENT = "block long, owner int, place int, position int, local boolean, doc_id long, digest string, fingerprint long, message binary"
+#: Fingerprints that an owner is to get at most.
+OWNED = 4_000_000
 _SENT = [x.split()[0] for x in SENT.split(", ")]
 _HEAD = struct.Struct("<QIII")
 
@@ -121,7 +123,8 @@ def answers(messages: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """All rows, with whether they are suspects, and the groups of equal texts (digest, n, winner)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = exchange(docs, (partitions - 1).bit_length(), block_rows)
+    owners = max(partitions - 1, docs.count() // OWNED)
+    sent = exchange(docs, owners.bit_length(), block_rows)
     bitmaps = answers(sent.where("position is null").select("block", "owner", "message"))
     bit = F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(place div 8 as int) + 1, 1)), 16, 10) as int), 7 - place % 8) & 1")
     marked = sent.where("position is not null").drop("message").join(bitmaps, ["block", "owner"], "left")

@@ -1,10 +1,10 @@
 """Operator 9: licence scan by a trained paragraph classifier.
 
 Sparse multinomial logistic regression over word n-grams (one to three words) tells licence families and "unknown" apart. It is trained on
-notices made from phrases, family names and template passages (whole, in parts, with words left out), and on ordinary
+notices made from phrases, family names and paragraphs of the licences (whole, in parts, with words left out), and on ordinary
 paragraphs of at most ``sample`` documents. A validation part sets the temperature of its probabilities and the least
-probability of all families together at which a paragraph is believed to be a notice. The families still possible are compared by
-templates and names (Myers' word distance): the closest is reported, and confirmed if it is close enough. Every paragraph (line) of every whole text is scanned; one in which no n-gram of the
+probability of all families together at which a paragraph is believed to be a notice. The classifier names the family; the closest of
+that family's paragraphs and names (Myers' word distance) confirms it if it is close enough. Every paragraph (line) of every whole text is scanned; one in which no n-gram of the
 vocabulary occurs has the unknown class's score alone, and costs only the lookups.
 
 Wrapped notices: between blank lines, templates are also looked up across line breaks (a template of W words within W // 4 edits has a
@@ -18,6 +18,7 @@ report nothing; a null doc_id stays null; an empty table gives an empty result;
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,48 +31,16 @@ from pyspark.sql import functions as F
 from .common import id_and_text, slices
 from .decontamination import SEPARATORS, Pieces, edit_distance
 from .hashing import WordHasher, runs
+from .licence_texts import NAMES, OTHERS, PASSAGES, PHRASES
 
 SCHEMA = "doc_id long, paragraph int, family string, probability double, template string, distance double, confirmed boolean"
 UNKNOWN = "unknown"
 SAMPLE = 600
-#: A family of this probability is compared.
-POSSIBLE = 0.02
+#: Words of a paragraph's sentence that is a template of its own.
+SENTENCE = 10
 #: A template is found if at most this share of its words differs.
 CONFIRM = 0.25
 
-# Names and passages of public licences.
-NAMES = {
-    "MIT": ("MIT License", "MIT licence", "The MIT License (MIT)"),
-    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license"),
-    "GPL": ("GNU General Public License, version 3", "GNU General Public License", "GNU GPL v3", "GPL-3.0", "GPLv2", "GNU General Public License version 2"),
-    "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "LGPL-2.1", "LGPLv3"),
-    "AGPL": ("GNU Affero General Public License", "AGPL-3.0", "AGPLv3"),
-    "BSD": ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License", "BSD-3-Clause"),
-    "MPL": ("Mozilla Public License, version 2.0", "Mozilla Public License", "MPL-2.0", "MPL 2.0"),
-    "ISC": ("ISC License", "ISC licence"),
-    "Unlicense": ("The Unlicense", "Unlicense"),
-    "CC0": ("CC0 1.0 Universal", "Creative Commons Zero", "CC0 1.0", "CC0"),
-    "CC-BY": ("CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International License", "CC-BY"),
-    "CC-BY-SA": ("CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC 3.0", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
-}
-PASSAGES = {
-    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",),
-    "Apache-2.0": ("You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",),
-    "GPL": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
-    "LGPL": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
-    "AGPL": ("You can redistribute it and/or modify it under the terms of the GNU Affero General Public License",),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain",),
-    "CC0": ("The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights to the work worldwide under copyright law",),
-}
-PHRASES = ("{}", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "SPDX-License-Identifier: {}", "This file is available under the {}; see the file LICENSE.", "The code may be used under {}.")
-#: Names that are no family's: they teach the unknown class what all notices have in common.
-OTHERS = ("Example Custom Terms", "terms of this agreement", "driver license", "fishing license", "software license agreement", "company policy", "public authority", "version 2.0 of the protocol", "general public", "permission of the owner", "laws of the country", "free trial", "commons", "the file", "source code")
-
-
 class Grams:
     """N-gram hashes of paragraphs."""
 
@@ -137,17 +106,18 @@ def notices(seed: int = 7) -> tuple[list[str], list[str]]:
                 add(phrase.format(name), family)
         for passage in PASSAGES.get(family, ()):
             words = passage.split()
-            for _ in range(12):
+            for _ in range(8):
                 a, b = sorted(rng.sample(range(len(words) + 1), 2))
                 part = " ".join(w for w in words[a:b] if rng.random() > 0.08)
                 named = [n for n in names if n in passage]
                 if b - a > len(words) // 2 and (not named or any(n in part for n in named)):  # what tells it from its relatives stays
                     add(part, family)
-            add(passage, family)
+            for _ in range(3):
+                add(passage, family)
     return texts, classes
 
 
-def fit(texts: list[str], classes: list[str], ordinary: list[str], rounds: int = 250) -> LicenceModel:
+def fit(texts: list[str], classes: list[str], ordinary: list[str], rounds: int = 150) -> LicenceModel:
     """Trains on four fifths of all paragraphs and calibrates on the others."""
     families = [*NAMES, UNKNOWN]
     texts, y = [*texts, *ordinary], np.array([families.index(c) for c in [*classes, *[UNKNOWN] * len(ordinary)]])
@@ -162,15 +132,16 @@ def fit(texts: list[str], classes: list[str], ordinary: list[str], rounds: int =
     kept = use[column]
     row, column, keys = row[kept], number[column[kept]], keys[use]
     fold = np.random.default_rng(1).integers(0, 5, len(texts))
-    target = np.eye(len(families))[y]
-    weights, bias = np.zeros((len(keys), len(families))), np.zeros(len(families))
-    by_column = np.argsort(column, kind="stable")
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    firsts = np.flatnonzero(np.diff(column[by_column], prepend=-1))
+    target = np.eye(len(families), dtype=np.float32)[y]
+    # Paragraphs in which the vocabulary occurs (notices, and few others), as a matrix; the rest have the bias alone.
+    there, at = np.unique(row, return_inverse=True)
+    found = np.zeros((len(there), len(keys)), np.float32)
+    found[at, column] = 1
+    weights, bias = np.zeros((len(keys), len(families)), np.float32), np.zeros(len(families), np.float32)
 
     def logits() -> np.ndarray:
         out = np.tile(bias, (len(texts), 1))
-        out[row[starts]] += np.add.reduceat(weights[column], starts)
+        out[there] += found @ weights
         return out
 
     def probability(z: np.ndarray) -> np.ndarray:
@@ -179,15 +150,14 @@ def fit(texts: list[str], classes: list[str], ordinary: list[str], rounds: int =
 
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(bias), np.zeros_like(bias)]
     for t in range(1, rounds + 1):  # Adam over the whole training part
-        error = (probability(logits()) - target) * (fold > 0)[:, None] / len(texts)
-        down = np.zeros_like(weights)
-        down[column[by_column[firsts]]] = np.add.reduceat(error[row[by_column]], firsts)
+        error = (probability(logits()) - target) * (fold > 0)[:, None].astype(np.float32) / len(texts)
+        down = found.T @ error[there]
         for value, slope, m, v in ((weights, down + 1e-5 * weights, *moments[:2]), (bias, error.sum(0), *moments[2:])):
             m += 0.1 * (slope - m)
             v += 0.001 * (slope**2 - v)
             value -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     held, z = fold == 0, logits()
-    model = LicenceModel(families, keys, weights.astype(np.float32), bias)
+    model = LicenceModel(families, keys, weights, bias)
     scale = np.geomspace(0.5, 8, 25)
     model.temperature = float(min(scale, key=lambda s: -np.log(probability(z[held] / s)[np.arange(held.sum()), y[held]] + 1e-12).mean())) if held.any() else 1.0
     mass = 1 - probability(z[held & (y == len(families) - 1)] / model.temperature)[:, -1]
@@ -213,7 +183,11 @@ class Templates:
     """What a family's paragraphs are compared with."""
 
     def __init__(self, grams: Grams):
-        self.of = {family: [(t, w) for t in (*PASSAGES.get(family, ()), *names) if (w := grams.words(t))] for family, names in NAMES.items()}
+        self.of: dict[str, list[tuple[str, list[int]]]] = {}
+        for family, names in NAMES.items():
+            passages = PASSAGES.get(family, ())
+            sentences = [x for p in passages for x in re.split(r"(?<=\.)\s+", p) if x not in passages and len(x.split()) >= SENTENCE]
+            self.of[family] = [(t, w) for t in (*passages, *sentences, *names) if (w := grams.words(t))]
 
     def closest(self, family: str, words: list[int]) -> tuple[str, float]:
         return min(((t, edit_distance(w, words)[0] / len(w)) for t, w in self.of[family]), key=lambda x: x[1])
@@ -266,10 +240,9 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
         wrapped = Wrapped(templates)
 
         def judge(p: np.ndarray, words: list[int]) -> tuple[str, float, str, float, bool]:
-            """Of the families still possible, the one with the closest template."""
-            possible = [k for k in np.flatnonzero(p[:-1] >= min(POSSIBLE, p[:-1].max()))]
-            compared = [(*templates.closest(model.families[k], words), k) for k in possible]
-            template, distance, k = min(compared, key=lambda x: (x[1], -p[x[2]]))
+            """The likeliest family, and the closest of its templates."""
+            k = int(p[:-1].argmax())
+            template, distance = templates.closest(model.families[k], words)
             return model.families[k], float(p[k]), template, distance, distance <= CONFIRM
 
         def joined(paragraphs: pa.Array, ends: np.ndarray, lines: dict[int, tuple]) -> None:

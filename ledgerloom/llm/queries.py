@@ -26,7 +26,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.QUERY_LIMIT)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

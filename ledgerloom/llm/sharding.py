@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BITS = 60
-#: Production limit of a shard's text.
+#: Limit of a shard's text by default, and in the registered query, whose tables are small: it splits them too.
 LIMIT_BYTES = 16 << 20
+QUERY_LIMIT = 16 << 10
 _ROUND = 12
 
 
@@ -72,11 +73,11 @@ WITH addressed AS (
   FROM documents),
 levels AS (SELECT doc_id, n_bytes, depth, address >> ({BITS} - depth) AS prefix FROM addressed, (SELECT unnest(range(0, 49)) AS depth)),
 sums AS (SELECT depth, prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_docs FROM levels GROUP BY ALL
-         HAVING sum(n_bytes) <= {LIMIT_BYTES} OR count(*) = 1),
+         HAVING sum(n_bytes) <= {QUERY_LIMIT} OR count(*) = 1),
 chosen AS (SELECT l.doc_id, l.n_bytes, l.depth, l.prefix, s.shard_bytes, s.shard_docs
            FROM levels l JOIN sums s USING (depth, prefix)
            QUALIFY row_number() OVER (PARTITION BY l.doc_id ORDER BY l.depth) = 1)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS INTEGER) AS depth,
-       CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs, shard_bytes > {LIMIT_BYTES} AS oversized
+       CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs, shard_bytes > {QUERY_LIMIT} AS oversized
 FROM chosen
 """
