@@ -24,7 +24,7 @@ def mask_lead_names(text: Column) -> Column:
     tail = r"(?=等\s*\d+\s*[名人位])"
     two = "|".join(COMPOUND_SURNAMES)
     text = F.regexp_replace(text, rf"({LEAD_VERBS})(?![一-鿿]*?(?:{ROLES})[一-鿿]*等)({two})[一-鿿]{{1,2}}{tail}", "$1$2某")
-    return F.regexp_replace(text, rf"({LEAD_VERBS})({name})(?!某等)[一-鿿]{{1,3}}?{tail}", "$1$2某")
+    return F.regexp_replace(text, rf"({LEAD_VERBS})(?!(?:{two})某等)({name})(?!某等)[一-鿿]{{1,3}}?{tail}", "$1$2某")
 
 
 def drop_ids(text: Column, exam: int = 15, identity: int = 18) -> Column:

@@ -14,15 +14,24 @@ def resolve_references(references: DataFrame, programs: DataFrame) -> DataFrame:
     references: fact, school, college, code, mode, pool. Without a program: unresolved; several without a pool: ambiguous; a pool
     needs a college. One row for each program found, or one with a status.
     """
-    r, p = references.alias("r"), programs.alias("p")
     college = F.col("r.college").isNull() | F.col("r.college").isin(F.col("p.college_id"), F.col("p.college_code"), F.col("p.college_name"))
-    code = F.when(F.col("r.pool"), F.col("p.code").startswith(F.col("r.code"))).otherwise(F.col("p.code") == F.col("r.code"))
     mode = F.col("r.mode").isNull() | (F.col("r.mode") == F.col("p.mode"))
-    found = r.join(p, (F.col("r.school") == F.col("p.school")) & college & code & mode & ~(F.col("r.pool") & F.col("r.college").isNull()), "left")
-    rows = found.select("r.fact", "r.pool", "p.program").withColumn("n", F.count("program").over(Window.partitionBy("fact")))
-    status = F.when(F.col("n") == 0, "unresolved").when((F.col("n") > 1) & ~F.col("pool"), "ambiguous").otherwise("resolved")
-    rows = rows.withColumn("status", status)
-    one = rows.select("fact", "status", F.when(F.col("status") == "resolved", F.col("program")).alias("program"))
+    p = programs.alias("p")
+    # A pool meets its programs by school, college and the code's first characters (as many as it has): all equalities.
+    exact = references.where(~F.coalesce("pool", F.lit(False))).alias("r")
+    found = exact.join(p, (F.col("r.school") == F.col("p.school")) & (F.col("r.code") == F.col("p.code")) & college & mode).select("r.fact", F.lit(False).alias("pool"), "p.program")
+    keys = F.array_distinct(F.array_compact(F.array(*[F.col(c).cast("string") for c in ("college_id", "college_code", "college_name")])))
+    sizes = [r[0] for r in references.where("pool AND code IS NOT NULL").select(F.length("code")).distinct().collect()]  # lengths of codes: few
+    if sizes:
+        named = programs.select("program", "school", "mode", "code", F.explode(keys).alias("college")).select("*", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("size"))
+        named = named.where(F.length("code") >= F.col("size")).withColumn("prefix", F.expr("substring(code, 1, size)")).alias("p")
+        pools = references.where("pool AND college IS NOT NULL").alias("r")
+        same = (F.col("r.school") == F.col("p.school")) & (F.col("r.college") == F.col("p.college")) & (F.col("r.code") == F.col("p.prefix")) & (F.length("r.code") == F.col("p.size"))
+        found = found.unionByName(pools.join(named, same & mode).select("r.fact", F.lit(True).alias("pool"), "p.program").distinct())
+    counts = found.groupBy("fact").agg(F.count("program").alias("n"))
+    status = F.when(F.col("n").isNull(), "unresolved").when((F.col("n") > 1) & ~F.coalesce("pool", F.lit(False)), "ambiguous").otherwise("resolved")
+    judged = references.select("fact", "pool").distinct().join(counts, "fact", "left").withColumn("status", status)
+    one = judged.join(found.select("fact", "program"), "fact", "left").select("fact", "status", F.when(F.col("status") == "resolved", F.col("program")).alias("program"))
     return one.distinct()
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +22,9 @@ def chunks(docs: DataFrame, key: str, text: str, size: int, overlap: int) -> Dat
     n, step = F.length(text), size - overlap
     last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.substring(F.col(text), i * step + 1, F.lit(size)).alias("piece")))
-    rows = docs.where(n > 0).select(key, n.alias("_n"), F.inline(pieces))
-    rows = rows.withColumn("piece", F.when(F.col("_n") <= size, F.col("piece")).otherwise(T.clean(F.col("piece")))).where("piece <> ''")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1
-    return rows.select(key, number.alias("number"), "start", "piece").withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("::c"), F.col("number").cast("string")))
+    kept = F.filter(F.transform(pieces, lambda p: F.struct(p["start"].alias("start"), F.when(n <= size, p["piece"]).otherwise(T.clean(p["piece"])).alias("piece"))), lambda p: p["piece"] != "")
+    rows = docs.where(n > 0).select(key, F.posexplode(kept).alias("number", "own"))  # numbered within the document: no shuffle
+    return rows.select(key, "number", "own.start", "own.piece").withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("::c"), F.col("number").cast("string")))
 
 
 def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,13 +36,15 @@ def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame, key: str, query: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """RET-01: Okapi scores of all documents that share a term with a query; repeated query terms count again; a negative
-    idf becomes epsilon times the mean idf. Statistics are over all documents."""
+    idf becomes epsilon times the mean idf. Statistics are over all documents. The index is read twice: give a written one."""
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
-    raw = df.select("term", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
     wanted = queries.select(query, T.tokens(F.col(text)).alias("words")).select(query, F.explode("words").alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
-    idf = raw.join(wanted.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean)).select("term", "mean_length", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    asked = wanted.select("term").distinct().withColumn("asked", F.lit(True))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
+    raw = df.select("term", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).join(asked, "term", "left")
+    # One pass over the vocabulary: its mean, and the terms that are asked for (as many as the queries have).
+    found = raw.agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw", "mean_length"))).alias("terms"))
+    idf = found.select("mean", F.inline("terms")).select("term", "mean_length", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     scored = index.join(idf, "term").join(wanted, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return scored.groupBy(query, key).agg(F.sum(part).alias("score"))
@@ -52,16 +56,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, *, max_queries: int = 10_000) -> DataFrame:
-    """RET-02: the k nearest vectors of each query. At most ``max_queries`` queries are broadcast at once and compared in one pass over
-    the vectors; each task keeps k a query before the shuffle. More queries are searched in blocks by hash of their id, of half that
-    size on average, with one pass for each block."""
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, *, max_queries: int = 2_000) -> DataFrame:
+    """RET-02: the k nearest vectors of each query by cosine; null and zero vectors are near nothing. At most ``max_queries`` queries go to the tasks at
+    once, as one matrix; a task multiplies its vectors with it batch by batch and keeps k a query, so no pairs are made. More queries
+    are searched in blocks by hash of their id, of half that size on average, with one pass for each block."""
     n = queries.count()
     blocks = 1 if n <= max_queries else -(-2 * n // max_queries)
     number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
     def search(own: DataFrame) -> DataFrame:
-        pairs = vectors.join(F.broadcast(own)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+        rows = own.where("query IS NOT NULL").orderBy("query_id").collect()  # at most max_queries
+        ids = np.array([r.query_id for r in rows], np.int64)
+        matrix = np.array([r["query"] for r in rows], np.float64)
+        norms = np.linalg.norm(matrix, axis=1) if len(rows) else np.zeros(0)
+        ids, matrix = ids[norms > 0], matrix[norms > 0] / norms[norms > 0][:, None] if len(rows) else matrix
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)]
+            for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+                there = batch.filter(pc.is_valid(batch.column("embedding")))
+                if not there.num_rows or not len(ids):
+                    continue
+                own = np.array(there.column("embedding").to_pylist(), np.float64)
+                length = np.linalg.norm(own, axis=1)
+                vec = there.column("vec_id").to_numpy(zero_copy_only=False)[length > 0]
+                score = np.round(matrix @ (own[length > 0] / length[length > 0][:, None]).T, 12)
+                score, vec = np.concatenate([best[0], score], 1), np.concatenate([best[1], np.tile(vec, (len(ids), 1))], 1)
+                if score.shape[1] > 4 * k:  # the k best and all that tie with the last of them
+                    last = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    most = int((score >= last).sum(1).max())
+                    order = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                    score, vec = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+                best = [score, vec]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best[0].shape[1])), pa.array(best[1].reshape(-1)), pa.array(best[0].reshape(-1))], names=["query_id", "vec_id", "score"])
+
+        pairs = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
         return pairs.withColumn("rank", number).where(F.col("rank") <= k)
 
     own = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]

@@ -42,10 +42,15 @@ def snapshots(rows: DataFrame, key: str, order: Sequence[str], content: str) ->
 
 
 def next_version(ids: DataFrame, column: str = "id") -> DataFrame:
-    """WIN-08: for each base id, the next suffix ``-vN`` that is free (N from 2)."""
+    """WIN-08: for each base id, the first suffix ``-vN`` that is free (N from 2)."""
     base = F.regexp_replace(column, r"-v\d+$", "")
-    number = F.coalesce(F.when(F.col(column).rlike(r"-v\d+$"), F.regexp_extract(column, r"-v(\d+)$", 1)).cast("int"), F.lit(1))
-    return ids.groupBy(base.alias("base")).agg((F.max(number) + 1).alias("n")).select("base", F.concat("base", F.lit("-v"), F.col("n").cast("string")).alias("next"))
+    number = F.when(F.col(column).rlike(r"-v\d+$"), F.regexp_extract(column, r"-v(\d+)$", 1)).cast("int")
+    taken = ids.select(base.alias("base"), F.coalesce(number, F.lit(1)).alias("n")).distinct()
+    # Up to the first gap the n-th suffix in order is n; those below 2 (the id itself) count as one place.
+    place = F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1
+    own = taken.where("n >= 2").withColumn("place", place).where("n = place").groupBy("base").agg(F.max("n").alias("last"))
+    free = taken.select("base").distinct().join(own, "base", "left").select("base", (F.coalesce("last", F.lit(1)) + 1).alias("n"))
+    return free.select("base", F.concat("base", F.lit("-v"), F.col("n").cast("string")).alias("next"))
 
 
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""From a question to operators: intent, plan, calls, checks of the answer (FLT-12, AGT-01..06, UDF-04, UDF-05, API-01..04).
+"""From a question to operators: intent, plan, calls, checks of the answer (FLT-12, AGT-01..06, UDF-05, API-02, API-04).
 
 The loop runs on the driver over small results; every call is a DataFrame operator, and a model is any callable from text to text.
 """
@@ -101,7 +101,13 @@ class Agent:
         if not evidence and "retrieve" in self.tools:
             evidence += self.act("retrieve", {"query": question})
         text = self.model(question + "\n" + "\n".join(evidence)) if self.model else "\n".join(evidence) or "Nothing found."
-        answer, removed = strip_unsupported(text, question + "\n" + "\n".join(evidence))
+        shown = "\n".join(evidence)
+        if self.model and strip_unsupported(text, shown)[1]:  # one more try, told what was wrong
+            text = self.model(f"{question}\n{shown}\nUse no numbers but those above.")
+        answer, removed = strip_unsupported(text, shown)
+        asked_year = asked.get("year")
+        if asked_year and shown and str(asked_year) not in shown:
+            answer += f"\nNothing was found for {asked_year}."
         return {"answer": answer, "evidence": evidence, "removed": removed}
 
 

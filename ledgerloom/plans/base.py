@@ -82,23 +82,23 @@ basis AS (
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Score lines of programs: lineitems by their part's number."""
+    """Score lines of programs: lineitems by their order's number."""
     li = table(spark, sf, "lineitem")
-    return li.where("l_linenumber = 1").select((F.col("l_orderkey") % 1500).alias("program"), F.year("l_shipdate").alias("year"), F.floor("l_quantity").cast("long").alias("total"))
+    return li.select((F.col("l_orderkey") % 1500).alias("program"), F.year("l_shipdate").alias("year"), F.floor("l_quantity").cast("long").alias("total"))
 
 
 def baselines(spark: SparkSession, sf: str) -> DataFrame:
-    """One line for each school and discipline."""
+    """Lines for each school and discipline."""
     p = table(spark, sf, "part")
-    return p.where("p_size = 7").select(F.element_at(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("school"), F.lpad((F.col("p_partkey") % 30).cast("string"), 2, "0").alias("discipline"), F.lit(2024).alias("year"), F.col("p_size").cast("long").alias("total")).distinct()
+    return p.select(F.element_at(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("school"), F.lpad((F.col("p_partkey") % 30).cast("string"), 2, "0").alias("discipline"), F.lit(2024).alias("year"), F.col("p_size").cast("long").alias("total")).distinct()
 
 
 SQL_LINES = """lines AS (
-  SELECT l_orderkey % 1500 AS program, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(floor(l_quantity) AS BIGINT) AS total FROM lineitem WHERE l_linenumber = 1),
+  SELECT l_orderkey % 1500 AS program, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(floor(l_quantity) AS BIGINT) AS total FROM lineitem),
 baselines AS (
   SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA' WHEN 3 THEN 'EUROPE' ELSE 'MIDDLE EAST' END AS school,
          lpad(CAST(p_partkey % 30 AS VARCHAR), 2, '0') AS discipline, 2024 AS year, CAST(p_size AS BIGINT) AS total
-  FROM part WHERE p_size = 7),
+  FROM part),
 scoped AS (
   SELECT program, year, total, 'college' AS scope FROM lines
   UNION ALL
@@ -108,14 +108,14 @@ scoped AS (
 
 
 def documents_of_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Three of the seven sources have a document."""
-    p = table(spark, sf, "pages").where("page_id < 3")
+    """Pages as the documents of facts."""
+    p = table(spark, sf, "pages")
     return p.select(F.col("page_id").alias("id"), F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") != 1, F.col("url")).alias("page_url"), F.concat(F.lit("a/"), F.col("page_id").cast("string")).alias("attachment_url"))
 
 
 SQL_DOCUMENTS = """docs AS (
   SELECT page_id AS id, 't' || CAST(page_id AS VARCHAR) AS title, CASE WHEN page_id <> 1 THEN url END AS page_url, 'a/' || CAST(page_id AS VARCHAR) AS attachment_url
-  FROM pages WHERE page_id < 3)"""
+  FROM pages)"""
 
 
 def with_(*ctes: str) -> str:

@@ -137,7 +137,7 @@ REFERENCES = """SELECT o_orderkey AS fact, CASE o_orderkey % 5 WHEN 0 THEN 'AFRI
   CASE WHEN o_orderkey % 3 > 0 THEN 'NATION_' || CAST(o_orderkey % 25 AS {string}) END AS college, o_orderkey % 4 = 0 AS pool,
   CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_orderkey % 3 AS {string}), 2, '0') ELSE lpad(CAST(o_custkey % 3000 AS {string}), 4, '0') || 'HO' END AS code,
   CASE WHEN o_orderkey % 7 = 0 THEN 'HOUSEHOLD' END AS mode
-  FROM orders WHERE o_orderkey % 10 < 2"""
+  FROM orders"""
 
 
 @query(with_(PR) + ", refs AS (" + REFERENCES.format(string="VARCHAR") + """),
@@ -152,7 +152,7 @@ def resolve_refs(spark, sf):
     key = F.col("o_orderkey")
     school = F.element_at(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))), (key % 5 + 1).cast("int"))
     code = F.when(key % 4 == 0, F.lpad((key % 3).cast("string"), 2, "0")).otherwise(F.concat(F.lpad((F.col("o_custkey") % 3000).cast("string"), 4, "0"), F.lit("HO")))
-    references = o.where(key % 10 < 2).select(key.alias("fact"), school.alias("school"), F.when(key % 3 > 0, F.concat(F.lit("NATION_"), (key % 25).cast("string"))).alias("college"), (key % 4 == 0).alias("pool"), code.alias("code"), F.when(key % 7 == 0, "HOUSEHOLD").alias("mode"))
+    references = o.select(key.alias("fact"), school.alias("school"), F.when(key % 3 > 0, F.concat(F.lit("NATION_"), (key % 25).cast("string"))).alias("college"), (key % 4 == 0).alias("pool"), code.alias("code"), F.when(key % 7 == 0, "HOUSEHOLD").alias("mode"))
     return resolve.resolve_references(references, base.programs(spark, sf).withColumn("college_code", F.col("college_id")))
 
 
@@ -223,10 +223,10 @@ def mode_by_group(spark, sf):
 
 @query(with_(P) + """SELECT program, year, kind, arg_min(id, (method, id)) AS id, arg_min(value, (method, id)) AS value, arg_min(code, (method, id)) AS code, bool_or(verified) AS verified,
   string_agg(DISTINCT CAST(method AS VARCHAR), ',' ORDER BY CAST(method AS VARCHAR)) AS methods, arg_min(evidence, (method, id)) FILTER (WHERE evidence <> '') AS evidence
-FROM plans WHERE year >= 1997 GROUP BY program, year, kind""")
+FROM plans GROUP BY program, year, kind""")
 def merged_statistics(spark, sf):
     """AGG-20: merged statistics carry several values."""
-    rows = base.plans(spark, sf).where("year >= 1997").withColumn("rank", F.col("method"))
+    rows = base.plans(spark, sf).withColumn("rank", F.col("method"))
     return ops.merge_facts(rows, ("program", "year", "kind"), ("value", "code"))
 
 
@@ -282,9 +282,9 @@ def source_pick(spark, sf):
 
 
 @query(with_(P) + """SELECT "group", codes, codes > 1 AND vals = 1 AND says AS is_pool FROM (
-  SELECT program % 400 AS "group", count(DISTINCT code) AS codes, count(DISTINCT value // 200000) AS vals, bool_or(pool IS NOT NULL) AS says FROM plans WHERE year = 1997 GROUP BY 1)""")
+  SELECT program % 400 AS "group", count(DISTINCT code) AS codes, count(DISTINCT value // 200000) AS vals, bool_or(pool IS NOT NULL) AS says FROM plans GROUP BY 1)""")
 def pool_detection(spark, sf):
-    rows = base.plans(spark, sf).where("year = 1997").select((F.col("program") % 400).alias("group"), "code", F.expr("value div 200000").alias("value"), F.col("pool").isNotNull().alias("says_pool"))
+    rows = base.plans(spark, sf).select((F.col("program") % 400).alias("group"), "code", F.expr("value div 200000").alias("value"), F.col("pool").isNotNull().alias("says_pool"))
     return resolve.pools(rows)
 
 

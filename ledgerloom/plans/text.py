@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import evaluate, privacy, retrieval, windows
-from ledgerloom.session import table
+from ledgerloom.session import scratch, table
 
 from . import base
 from .base import with_
@@ -81,24 +81,34 @@ def frozen_append(spark, sf):
     return evaluate.frozen_append(d, d.where("doc_id % 9 = 0"), "doc_id", stratum="lang", share=(3, 20), seed="s1")
 
 
-@query("""SELECT a.doc_id, list_sort(list_distinct(string_split(a.w, ' '))) = list_sort(list_distinct(string_split(b.w, ' '))) AS equal, len(list_filter(string_split(a.w, ' '), lambda x: NOT list_contains(string_split(b.w, ' '), x))) = 0 AS inside
-FROM (SELECT doc_id, source, lower(substr(text, 1, 12)) AS w FROM documents) a JOIN (SELECT item_id, lower(substr(text, 1, 12)) AS w FROM benchmark) b ON a.doc_id % 40 = b.item_id""")
+SAID = """said AS (SELECT conv_id, role, flatten(list(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS w FROM conversations GROUP BY conv_id, role)"""
+
+
+@query(with_(SAID) + """SELECT a.conv_id, list_sort(list_distinct(a.w)) = list_sort(list_distinct(b.w)) AS equal, len(list_filter(list_distinct(a.w), lambda x: NOT list_contains(b.w, x))) = 0 AS inside
+FROM said a JOIN said b ON a.conv_id = b.conv_id WHERE a.role = 'user' AND b.role = 'assistant'""")
 def set_match(spark, sf):
-    """SET-04."""
-    words = F.split(F.lower(F.substring("text", 1, 12)), " ")
-    a = table(spark, sf, "documents").select("doc_id", words.alias("a"))
-    b = table(spark, sf, "benchmark").select("item_id", words.alias("b"))
-    return a.join(b, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", evaluate.set_equal(F.col("a"), F.col("b")).alias("equal"), evaluate.subset(F.col("a"), F.col("b")).alias("inside"))
+    """SET-04: whether the two sides of a conversation use the same words, or one side's are among the other's."""
+    c = table(spark, sf, "conversations")
+    sides = [c.where(F.col("role") == role).groupBy("conv_id").agg(F.flatten(F.collect_list(T.tokens(F.col("text")))).alias(name)) for role, name in (("user", "a"), ("assistant", "b"))]
+    return sides[0].join(sides[1], "conv_id").select("conv_id", evaluate.set_equal(F.col("a"), F.col("b")).alias("equal"), evaluate.subset(F.col("a"), F.col("b")).alias("inside"))
+
+
+BIGRAMS = """asked AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS evidence FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE length(q.text) > 1 AND length(a.text) > 1),
+bigrams AS (SELECT *, list_distinct(list_transform(range(1, length(question)), lambda i: substr(question, i, 2))) AS q, list_distinct(list_transform(range(1, length(evidence)), lambda i: substr(evidence, i, 2))) AS t FROM asked)"""
+
 
+def _asked(spark, sf):
+    """Every turn with the next one of its conversation."""
+    c = table(spark, sf, "conversations")
+    q = c.select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("evidence"))
+    return q.join(a, ["conv_id", "turn"]).where("length(question) > 1 AND length(evidence) > 1")
 
-@query("""WITH p AS (SELECT b.item_id, d.doc_id, list_distinct(list_transform(range(1, length(b.text)), lambda i: substr(b.text, i, 2))) AS q, list_distinct(list_transform(range(1, length(d.text)), lambda i: substr(d.text, i, 2))) AS t
-FROM benchmark b JOIN documents d ON b.item_id = d.doc_id WHERE length(b.text) > 1 AND length(d.text) > 1)
-SELECT item_id, CAST(len(list_intersect(q, t)) AS INTEGER) AS shared, CAST(len(q) AS INTEGER) AS own FROM p""")
+
+@query(with_(BIGRAMS) + "SELECT conv_id, turn, CAST(len(list_intersect(q, t)) AS INTEGER) AS shared, CAST(len(q) AS INTEGER) AS own FROM bigrams")
 def bigram_overlap(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    shared, own = evaluate.bigram_overlap(F.col("question"), F.col("text"))
-    return b.join(d, F.col("item_id") == F.col("doc_id")).where("length(question) > 1 AND length(text) > 1").select("item_id", shared.alias("shared"), own.alias("own"))
+    shared, own = evaluate.bigram_overlap(F.col("question"), F.col("evidence"))
+    return _asked(spark, sf).select("conv_id", "turn", shared.alias("shared"), own.alias("own"))
 
 
 @query(with_(JUDGED) + """SELECT split, count(*) FILTER (WHERE hit) AS passed, count(*) AS total, CASE WHEN split = 'en' THEN count(*) FILTER (WHERE hit) * 10 >= count(*) * 9 ELSE count(*) FILTER (WHERE hit) = count(*) END AS accepted FROM judged GROUP BY split""")
@@ -134,8 +144,9 @@ def change_detection(spark, sf):
     return windows.snapshots(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "change", "version")
 
 
-@query("""SELECT base, base || '-v' || CAST(max(n) + 1 AS VARCHAR) AS next FROM (
-  SELECT 'p' || CAST(page_id % 50 AS VARCHAR) AS base, CASE WHEN page_id % 3 = 0 THEN 1 ELSE page_id % 7 + 2 END AS n FROM pages) GROUP BY base""")
+@query("""WITH taken AS (SELECT DISTINCT 'p' || CAST(page_id % 50 AS VARCHAR) AS base, CASE WHEN page_id % 3 = 0 THEN 1 ELSE page_id % 7 + 2 END AS n FROM pages),
+free AS (SELECT base, n FROM (SELECT DISTINCT base FROM taken), (SELECT unnest(range(2, 12)) AS n) EXCEPT SELECT base, n FROM taken)
+SELECT base, base || '-v' || CAST(min(n) AS VARCHAR) AS next FROM free GROUP BY base""")
 def version_chain(spark, sf):
     stem = F.concat(F.lit("p"), (F.col("page_id") % 50).cast("string"))
     ids = table(spark, sf, "pages").select(F.when(F.col("page_id") % 3 == 0, stem).otherwise(F.concat(stem, F.lit("-v"), (F.col("page_id") % 7 + 2).cast("string"))).alias("id"))
@@ -203,10 +214,19 @@ def bm25_stats(spark, sf):
     return df.join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n")))).select("term", "df", "n")
 
 
+def _index(spark, sf):
+    """The inverted index of all documents, written once: texts are read and split one time only."""
+    path = scratch(spark, "index")
+    index = retrieval.term_table(table(spark, sf, "documents"), "doc_id", "text")
+    index.write.parquet(path)
+    return spark.read.schema(index.schema).parquet(path)
+
+
 def _bm25(spark, sf):
-    d = table(spark, sf, "documents")
-    index = retrieval.term_table(d, "doc_id", "text")
-    lengths = d.select("doc_id", F.size(T.tokens(F.col("text"))).alias("length"))
+    d, index = table(spark, sf, "documents"), _index(spark, sf)
+    # A document without terms has no row in the index, but counts in the mean length.
+    lengths = index.groupBy("doc_id").agg(F.max("length").alias("length"))
+    lengths = d.select("doc_id").join(lengths, "doc_id", "left").na.fill(0, ["length"])
     scored = retrieval.bm25(index, lengths, table(spark, sf, "benchmark"), "doc_id", "item_id", "text").withColumn("score", F.round("score", 6)).where("score > 0")
     return windows.top_per_group(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
 
@@ -217,13 +237,13 @@ def bm25_topk(spark, sf):
 
 
 DENSE = """near AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 40),
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near)"""
 
 
 def _dense(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    queries = v.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieval.dense_top(v, queries, 10)
 
 
@@ -240,14 +260,15 @@ def hybrid_rrf(spark, sf):
     return fused.select("item_id", "doc_id", F.round(F.col("score") * 1_000_000).cast("long").alias("score"))
 
 
-@query("""WITH q AS (SELECT item_id, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), lambda w: length(w) >= 2) AS terms FROM benchmark),
-p AS (SELECT doc_id, text, source, lang, list_filter(terms, lambda w: strpos(text, w) > 0) AS hit, terms FROM documents JOIN q ON doc_id % 40 = item_id)
-SELECT doc_id, CAST(round((0.01 * len(hit) / len(terms)) * 1000000) AS BIGINT) AS boost, CAST(round(CASE WHEN source = 'src0' THEN 0.5 ELSE 1 END * CASE WHEN lang = 'en' THEN 1.2 ELSE 1 END * 1000) AS BIGINT) AS prior FROM p""")
+@query(with_(TERMS) + """, q AS (SELECT item_id, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), lambda w: length(w) >= 2) AS terms FROM benchmark),
+p AS (SELECT item_id, doc_id, source, lang, list_filter(terms, lambda w: strpos(text, w) > 0) AS hit, terms FROM ranked JOIN q USING (item_id) JOIN documents USING (doc_id) WHERE rank <= 10 AND len(terms) > 0)
+SELECT item_id, doc_id, CAST(round((0.01 * len(hit) / len(terms)) * 1000000) AS BIGINT) AS boost, CAST(round(CASE WHEN source = 'src0' THEN 0.5 ELSE 1 END * CASE WHEN lang = 'en' THEN 1.2 ELSE 1 END * 1000) AS BIGINT) AS prior FROM p""")
 def keyword_boost_prior(spark, sf):
-    q = table(spark, sf, "benchmark").select("item_id", F.filter(F.regexp_extract_all("text", F.lit("[a-zA-Z0-9_]+"), 0), lambda w: F.length(w) >= 2).alias("terms"))
-    d = table(spark, sf, "documents").join(F.broadcast(q), F.col("doc_id") % 40 == F.col("item_id"))
+    """MTH-02 on every hit of every item."""
+    q = table(spark, sf, "benchmark").select("item_id", F.filter(F.regexp_extract_all("text", F.lit("[a-zA-Z0-9_]+"), 0), lambda w: F.length(w) >= 2).alias("terms")).where("size(terms) > 0")
+    hits = _bm25(spark, sf).select("item_id", "doc_id").join(q, "item_id").join(table(spark, sf, "documents"), "doc_id")
     none = F.array().cast("array<string>")
-    return d.select("doc_id", F.round(retrieval.boost(none, F.col("terms"), F.col("text")) * 1_000_000).cast("long").alias("boost"), F.round(retrieval.prior(F.col("source") == "src0", F.col("lang") == "en", F.lit(False)) * 1000).cast("long").alias("prior"))
+    return hits.select("item_id", "doc_id", F.round(retrieval.boost(none, F.col("terms"), F.col("text")) * 1_000_000).cast("long").alias("boost"), F.round(retrieval.prior(F.col("source") == "src0", F.col("lang") == "en", F.lit(False)) * 1000).cast("long").alias("prior"))
 
 
 @query("""SELECT item_id, variant, wording FROM (SELECT item_id, unnest([text] || CASE WHEN regexp_matches(text, 'the|The') THEN [text || ' article'] ELSE [] END || CASE WHEN contains(text, 'de') THEN [text || ' particle'] ELSE [] END) AS wording,
@@ -272,10 +293,10 @@ def mask_names(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), privacy.mask_name(F.col("c_name")).alias("masked"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '拟录取' || '张' || '某' || '等' || CAST(p_size AS VARCHAR) || '人' ELSE '接收考生等' || CAST(p_size AS VARCHAR) || '名' END AS masked FROM part")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '拟录取张某等' || CAST(p_size AS VARCHAR) || '人' WHEN 1 THEN '同意接收欧阳某等 ' || CAST(p_size AS VARCHAR) || ' 名' ELSE '接收考生等' || CAST(p_size AS VARCHAR) || '名' END AS masked FROM part""")
 def lead_name_mask(spark, sf):
-    size = F.col("p_size").cast("string")
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("拟录取张三丰等"), size, F.lit("人"))).otherwise(F.concat(F.lit("接收考生等"), size, F.lit("名")))
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("拟录取张三丰等"), size, F.lit("人"))).when(k == 1, F.concat(F.lit("同意接收欧阳测试等 "), size, F.lit(" 名"))).otherwise(F.concat(F.lit("接收考生等"), size, F.lit("名")))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), privacy.mask_lead_names(text).alias("masked"))
 
 
@@ -400,12 +421,9 @@ def normalize_urls(spark, sf):
     return keys.withColumn("pages", F.count(F.lit(1)).over(Window.partitionBy("key")))
 
 
-@query("""SELECT doc_id, array_to_string(['low', 'mid', 'high'], ',') AS layers, length(text) < 40 AS short, CASE WHEN overlap * 10 < own THEN 'low' WHEN overlap * 10 < 3 * own THEN 'mid' ELSE 'high' END AS layer FROM (
-  SELECT doc_id, text, len(list_intersect(list_distinct(list_transform(range(1, length(substr(text, 1, 60))), lambda i: substr(text, i, 2))), list_distinct(list_transform(range(1, length(substr(text, 100, 300))), lambda i: substr(substr(text, 100, 300), i, 2))))) AS overlap,
-         len(list_distinct(list_transform(range(1, length(substr(text, 1, 60))), lambda i: substr(text, i, 2)))) AS own FROM documents WHERE length(text) > 200)""")
+@query(with_(BIGRAMS) + """SELECT conv_id, turn, length(evidence) < 40 AS short, CASE WHEN len(list_intersect(q, t)) * 10 < len(q) THEN 'low' WHEN len(list_intersect(q, t)) * 10 < 3 * len(q) THEN 'mid' ELSE 'high' END AS layer FROM bigrams""")
 def draft_checks(spark, sf):
-    """STR-26, SET-06: how much of a question's bigrams its evidence holds: under a tenth, under three tenths, more."""
-    d = table(spark, sf, "documents").where("length(text) > 200")
-    shared, own = evaluate.bigram_overlap(F.substring("text", 1, 60), F.substring("text", 100, 300))
+    """STR-26, SET-06: how much of a question's bigrams its answer holds: under a tenth, under three tenths, more."""
+    shared, own = evaluate.bigram_overlap(F.col("question"), F.col("evidence"))
     layer = F.when(shared * 10 < own, "low").when(shared * 10 < own * 3, "mid").otherwise("high")
-    return d.select("doc_id", F.lit("low,mid,high").alias("layers"), (F.length("text") < 40).alias("short"), layer.alias("layer"))
+    return _asked(spark, sf).select("conv_id", "turn", (F.length("evidence") < 40).alias("short"), layer.alias("layer"))

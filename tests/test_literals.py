@@ -49,6 +49,7 @@ def test_url_keys(spark):
 def test_masks(spark):
     assert values(spark, ["测试甲", "欧阳测试", " 李 四 ", ""], privacy.mask_name) == ["测某", "欧阳某", "李某", ""]
     assert values(spark, ["拟录取测试甲等2582人为研究生", "接收推免生等100人"], privacy.mask_lead_names) == ["拟录取测某等2582人为研究生", "接收推免生等100人"]
+    assert values(spark, ["同意接收欧阳测试等 12 名", "经审核，拟录取测试甲等2582人为硕士研究生", "录取人数为50人"], privacy.mask_lead_names) == ["同意接收欧阳某等 12 名", "经审核，拟录取测某等2582人为硕士研究生", "录取人数为50人"]
     ids = "a 123456789012345 b 11010519491231002X c 13800138000 d 1234567890123456"
     assert values(spark, [ids], privacy.drop_ids) == ["a  b  c 13800138000 d 1234567890123456"]
     assert values(spark, ["李四来了，李四走"], lambda c: privacy.mask_known(c, F.array(F.lit("李四")))) == ["李某来了，李某走"]
@@ -158,6 +159,58 @@ def test_upsert_roundtrip_deletes_every_id(spark, tmp_path):
     assert got.where("value <> 'added'").count() == 1_600_000 - sum(i % 3 > 0 and i % 10 == 1 for i in range(1, 1_600_001))
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both start from one version: the second finds the number taken and does its change again."""
+    one, other = (VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    one.replace(rows(1))
+    began = []
+
+    def change(now):
+        if not began:
+            began.append(now.count())
+            other.append(rows(2, 3, 4))
+        return now.unionByName(rows(5, 6, 7))
+
+    one.change(change)
+    assert sorted(r.id for r in one.read().collect()) == [1, 2, 3, 4, 5, 6, 7] and began == [1]
+    one.append_numbered(rows(0, 0).withColumn("id", F.lit(0)).withColumn("v", F.monotonically_increasing_id()), ["v"])
+    assert sorted(r.id for r in one.read().collect()) == list(range(1, 10))
+    assert one.vacuum(1) == 3 and one.read().count() == 9 and one.vacuum(1) == 0
+
+
+def test_first_free_version(spark):
+    ids = spark.createDataFrame([(x,) for x in ("p", "p-v3", "q", "q-v2", "q-v3", "q-v5", "r-v4", "s", "s-v2", "s-v2")], "id string")
+    assert {r.base: r.next for r in windows.next_version(ids).collect()} == {"p": "p-v2", "q": "q-v4", "r": "r-v2", "s": "s-v3"}
+
+
+def test_repeats_in_later_files_are_dropped(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    for i, day in enumerate(("2024-01-01", "2024-03-01", "2024-06-01")):
+        rows = spark.createDataFrame([(day, "a"), (day, f"b{i}")], "ts string, k string").selectExpr("cast(ts as timestamp) as ts", "k")
+        rows.coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = jobs.events_stream(spark, f"{tmp_path}/in/*", "ts timestamp, k string", files=1)
+    found = jobs.run_available(jobs.first_seen(stream, "k").select("k"), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    assert sorted(r.k for r in found.collect()) == ["a", "b0", "b1", "b2"]
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, 2.0, 1.0]), (62, [1.0, 2.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    queries = v.where("vec_id % 20 = 0 OR vec_id = 62").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in retrieval.dense_top(v, queries, 5).collect())
+
+    def near(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 12)
+
+    want = []
+    for q, a in {i: x for i, x in rows if x and any(x) and (i % 20 == 0 or i == 62)}.items():
+        order = sorted((-near(a, b), i) for i, b in rows if b and any(b))
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(order[:5])]
+    assert got == sorted(want)
+
+
 def test_delete_by_keys(spark, tmp_path):
     target = VersionedTable(spark, f"file://{tmp_path}/t")
     target.replace(spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("b", 4)], "v string, k int"))
@@ -191,6 +244,8 @@ def test_intents(spark):
     assert removed == ["999", "12.5"] and answer.count(agent.MARKER) == 2
     tools = {"lines": lambda **a: spark.createDataFrame([(379,)], "line int"), "retrieve": lambda **a: 1 / 0}
     assert "379" in agent.Agent(tools).answer("q", {"lines": True})["answer"]
+    told = agent.Agent(tools, model=lambda text: "12345 and 379").answer("is it 12345?", {"lines": True, "year": 2031})
+    assert told["removed"] == ["12345"] and told["answer"].startswith(f"{agent.MARKER} and 379") and "2031" in told["answer"]
     assert agent.Agent(tools).answer("q", {})["evidence"] == ["retrieve failed: ZeroDivisionError"] and "error" in agent.validated(year=1)
 
 
@@ -206,6 +261,17 @@ def test_extraction(spark):
     assert [r.text for r in D.group_lines(boxes).orderBy("line").collect()] == ["计算机 学院", "第二行"]
     assert D.markdown_tables("标题\n| a | b |\n|---|---|\n| 1 | 2 |\n注：示例") == ([[["a", "b"], ["1", "2"]]], ["标题", "注：示例"])
     assert all(b.startswith("cap\nhead\n") and len(b) <= 40 for b in D.table_blocks("cap", "head", [f"row number {i}" for i in range(10)], 40))
-    assert D.redact_rows([["姓名", "考生编号", "分"], ["李四", "1", "9"], ["x"]], lambda n: n[0] + "某") == [["姓名", "分"], ["李某", "9"], ["x"]]
+    mask = lambda n: n[0] + "某"
+    for header in ("考生编号", "考试编号", "准考证", "准考证号", "身份证", "身份证号", "证件号", "证件号码", "报名号", "学号"):
+        for name in ("姓名", "考生姓名", "姓 名", "姓名（拼音）"):
+            assert D.redact_rows([["名单", ""], [name, header, "分"], ["李四", "1", "9"]], mask) == [["名单"], [name, "分"], ["李某", "9"]]
+    tables, names = D.redact_tables([[["序号", "姓名", "学号"], ["1", "李四", "77"]], [["2", "王五", "78"]], [["a", "b"]]], mask)
+    assert tables == [[["序号", "姓名"], ["1", "李某"]], [["2", "王某"]], [["a", "b"]]] and names == {"李四", "王五"}
+    registry.register(D.Extractor("broken", F.col("doc") == "q", lambda rows: 1 / 0))
+    found = registry.run(docs)
+    assert [(r.doc, r.kind, r.evidence) for r in found.collect() if r.extractor == "broken"] == [("q", "failed", "ZeroDivisionError: division by zero")]
+    listed = spark.createDataFrame([("p1", False, False), ("p2", False, False), ("q", False, False), ("r", False, True), ("s", True, False), ("t", False, False)], "doc string, missing boolean, needs_ocr boolean")
+    listed = listed.withColumn("year", F.lit(2026)).withColumn("rows", F.array().cast("array<array<string>>"))
+    assert {r.doc: (r.status, r.facts) for r in registry.statuses(listed, found).collect()} == {"p1": ("ok", 3), "p2": ("empty", 0), "q": ("failed", 0), "r": ("needs_ocr", 0), "s": ("missing", 0), "t": ("no_extractor", 0)}
     df = spark.createDataFrame([("招 生 12 人", "招生12人", 12), ("a", "b 12", 12)], "t string, e string, v int")
     assert [r.g for r in df.select(D.grounded(F.col("t"), F.col("e"), F.col("v")).alias("g")).collect()] == [True, False]
