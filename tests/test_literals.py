@@ -275,3 +275,58 @@ def test_extraction(spark):
     assert {r.doc: (r.status, r.facts) for r in registry.statuses(listed, found).collect()} == {"p1": ("ok", 3), "p2": ("empty", 0), "q": ("failed", 0), "r": ("needs_ocr", 0), "s": ("missing", 0), "t": ("no_extractor", 0)}
     df = spark.createDataFrame([("招 生 12 人", "招生12人", 12), ("a", "b 12", 12)], "t string, e string, v int")
     assert [r.g for r in df.select(D.grounded(F.col("t"), F.col("e"), F.col("v")).alias("g")).collect()] == [True, False]
+
+
+NOTES = {
+    "学院细则为总13/已招推免9/公开4": {("plan", "rules_total", 13), ("plan", "tm", 9), ("plan", "public_exam", 4)},
+    "学院细则（图片）为总53/已招推免30/公开23": {("plan", "rules_total", 53), ("plan", "tm", 30), ("plan", "public_exam", 23)},
+    "推免数取自学院2026复试细则（总65/已招推免55/公开招考10）": {("plan", "rules_total", 65), ("plan", "tm", 55), ("plan", "public_exam", 10)},
+    "另有退役大学生计划2名，复试线339": {("plan", "special_veteran", 2), ("score", "special_veteran", 339)},
+    "另退役3；含退役大学生士兵计划3": {("plan", "special_veteran", 3)},
+    "少干2名（线303）；统考可用计划PDF也写22": {("plan", "special_minority", 2), ("score", "special_minority", 303), ("plan", "available_exam", 22)},
+    "2026：0854按一级学科复试，统招计划9人，复试20人": {("plan", "public_exam", 9), ("stat", "retest_count", 20)},
+    "2026：0812按一级学科复试，统招计划9人，复试20人": set(),
+    "2026目录中分专业计划：085404 12，085410 9": {("plan", "catalog_total", 12)},
+    "复试名单30人（初试350–401）": {("stat", "retest_count", 30), ("stat", "score_min", 350), ("stat", "score_max", 401)},
+    "没有数字": set(),
+    "": set(),
+}
+
+
+def test_note_facts(spark):
+    from ledgerloom.operators import notes
+
+    rows = spark.createDataFrame([(i, n, "085404") for i, n in enumerate(NOTES)] + [(99, None, None)], "id int, note string, code string")
+    got = {}
+    for r in notes.note_facts(rows, "note", "code").collect():
+        got.setdefault(r.id, set()).add((r.table, r.kind, r.value))
+    assert got == {i: want for i, want in enumerate(NOTES.values()) if want}
+    one = notes.facts_of("甲。退役线288（30/30/48/48）（https://a.b/c）；统考拟录取8人，由名单计数", "085404")
+    assert one[0]["lines"] == [30, 30, 48, 48] and one[0]["evidence"].startswith("退役线288") and one[0]["url"] == "https://a.b/c"
+    assert one[1]["definition"] == "2026年统考拟录取人数（由名单计数）"
+
+
+def test_collection(spark):
+    from ledgerloom.operators import crawl
+
+    assert values(spark, ["/a/b/../c", "/a/./c/", "//a//c", "/../a/c"], crawl.canonical_path) == ["/a/c"] * 4
+    assert values(spark, ["/a/c", "/a/c/d", "/a/cd", "/a/c/../d"], lambda c: crawl.is_within(c, F.lit("/a/c"))) == [True, True, False, False]
+    links = [("s", 1, "k", "u1", None, None, "短", None), ("s", 2, "k", "u2", "更多", None, "一个长些的题", "2026-01-02"), ("s", 3, "k", "u3", "属性", None, "x", None), ("s", 4, "k", "u4", None, "内层标题很长很长", "", "2026-01-03"), ("s", 5, "m", "u5", None, None, "更多", None)]
+    df = spark.createDataFrame(links, "source string, position int, key string, url string, attribute string, inner string, text string, day string")
+    assert [(r.key, r.url, r.title, r.day) for r in crawl.list_entries(df).collect()] == [("k", "u3", "属性", "2026-01-02")]
+    known = spark.createDataFrame([("a", 5), ("b", 1)], "school string, id int")
+    tried = spark.createDataFrame([("a", 4, 200), ("a", 6, 404), ("a", 7, 200), ("a", 8, 404), ("a", 9, 404), ("a", 10, 200), ("b", 2, 200), ("b", 3, 500), ("b", 4, 200)], "school string, id int, status int")
+    assert sorted(map(tuple, crawl.probe_ids(known, tried).collect())) == [("a", 7), ("b", 2)]
+    next_links = spark.createDataFrame([("p1", 1, "上一页", "p0"), ("p1", 2, " Next ", "p2"), ("p2", 1, "下一页", "javascript:x"), ("p3", 1, "下一页", "p3")], "source string, position int, text string, href string")
+    assert [tuple(r) for r in crawl.next_page(next_links).collect()] == [("p1", "p2")]
+
+
+def test_views(spark):
+    from ledgerloom.operators import views
+
+    assert views.render_page("a\n[[TABLE:2]]\n\n b [[TABLE:9]]", {1: "t1", 2: "x | y\nz"}) == "a\nx | y\nz\nb\nt1"
+    deep = '{"a":[{"b":{"program_id":"p","score_lines":[{"scope":"college","year":2026,"total":300,"politics":50,"source":{"doc_id":"d"}}],"directions":[{"code":"01","advisors":""},{"code":"02","advisors":"x"}]}}]}'
+    assert [(f["table"], f["kind"], f["field"], f["value"], f["source"]) for f in views.facts_in(deep)] == [("score_lines", "college", "total", "300", "d"), ("score_lines", "college", "politics", "50", "d"), ("directions", "02", "total", "x", None)]
+    assert views.facts_in("no") == views.facts_in(None) == []
+    df = spark.createDataFrame([("x" * 50, None)], "a string, b string")
+    assert [r.j for r in df.select(views.slim_json(["a", "b"], 10).alias("j")).collect()] == ['{"a":"xxxx…[截断]']
