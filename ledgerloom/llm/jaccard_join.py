@@ -46,7 +46,9 @@ SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORDS = 5
 RADIUS = 0.25
 #: Cells of the sketch: at least and at most (powers of two), a byte each where it is broadcast; between them, one to four shingles.
-CELL_BITS = 16, 24
+CELL_BITS = 16, 22
+#: Bits of a shingle that its list is known by, below its bucket: two shingles with one list only give candidates that fail.
+LIST_BITS = 40
 #: Entries (20 bytes each) that a bucket holds on average.
 BUCKET_ENTRIES = 500_000
 #: A shingle this much above the sketch's mean count is hot.
@@ -154,23 +156,33 @@ def sketch_counts(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
 ENTRY = np.dtype([("shingle", "<u8"), ("node", "<u8"), ("size", "<u4"), ("place", "<u4")])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: the highest are nearly all zero, which compression removes."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
 def pack_entries(entries: np.ndarray) -> bytes:
     """A message: gaps of ascending shingles, places, and numbers into a table of the sets."""
     entries = entries[np.argsort(entries["shingle"], kind="stable")]
     _, first, number = np.unique(entries["node"], return_index=True, return_inverse=True)
     sets = entries[first]
     arrays = (np.diff(entries["shingle"], prepend=np.uint64(0)), entries["place"], number.astype("<u4"), sets["node"], sets["size"])
-    return np.array([len(entries), len(sets)], "<u8").tobytes() + zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+    return np.array([len(entries), len(sets)], "<u8").tobytes() + zstandard.compress(b"".join(map(planes, arrays)), 1)
 
 
 def unpack_entries(message: bytes) -> np.ndarray:
     n, m = np.frombuffer(message, "<u8", 2).tolist()
     raw, out = zstandard.decompress(message[16:]), np.zeros(n, ENTRY)
-    number = np.frombuffer(raw, "<u4", n, 12 * n)
-    out["shingle"] = np.cumsum(np.frombuffer(raw, "<u8", n), dtype=np.uint64)
-    out["place"] = np.frombuffer(raw, "<u4", n, 8 * n)
-    out["node"] = np.frombuffer(raw, "<u8", m, 16 * n)[number]
-    out["size"] = np.frombuffer(raw, "<u4", m, 16 * n + 8 * m)[number]
+    number = from_planes(raw, "<u4", n, 12 * n)
+    out["shingle"] = np.cumsum(from_planes(raw, "<u8", n), dtype=np.uint64)
+    out["place"] = from_planes(raw, "<u4", n, 8 * n)
+    out["node"] = from_planes(raw, "<u8", m, 16 * n)[number]
+    out["size"] = from_planes(raw, "<u4", m, 16 * n + 8 * m)[number]
     return out
 
 
@@ -225,6 +237,7 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int, shar
             entries = np.concatenate(held)
             held.clear()
             bucket = ((entries["shingle"] >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
+            entries["shingle"] >>= np.uint64(max(0, 64 - LIST_BITS - buckets.bit_length()))
             order = np.argsort(bucket, kind="stable")
             known, firsts = np.unique(bucket[order], return_index=True)
             return rows(1, len(known), bucket=pa.array(known.astype(np.int32)), entries=pa.array([pack_entries(x) for x in np.split(entries[order], firsts[1:])], pa.binary()))
@@ -313,13 +326,12 @@ def region_pairs(sent: DataFrame) -> DataFrame:
 
 
 def pack_set(shingles: np.ndarray) -> bytes:
-    """Gaps of ascending shingles, byte by byte in planes: the highest planes are nearly all zero, which Spark's own compression removes."""
-    return np.diff(shingles, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Gaps of ascending shingles, in planes for Spark's own compression."""
+    return planes(np.diff(shingles, prepend=np.uint64(0)))
 
 
 def unpack_set(packed: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64)
-    return np.cumsum(gaps.reshape(-1), dtype=np.uint64)
+    return np.cumsum(from_planes(packed, "<u8", len(packed) // 8), dtype=np.uint64)
 
 
 def candidate_sets(docs: DataFrame, sent: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
