@@ -69,6 +69,16 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def sample_texts(docs: DataFrame, n: int) -> list[str]:
+    """``n`` distinct texts at most, those of the least hashes, in their order: a sample that does not depend on how rows lie."""
+    texts = docs.select("text", F.xxhash64("text").alias("hash"))
+    last = texts.select("hash").distinct().orderBy("hash").limit(n).agg(F.max("hash")).first()[0]
+    if last is None:
+        return []
+    rows = {r.hash: r.text for r in texts.where(F.col("hash") <= last).dropDuplicates(["hash"]).collect()}
+    return [rows[h] for h in sorted(rows)]
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with at most ``limit`` bytes in ``column``, or one row if that is longer."""
     if not batch.num_rows:

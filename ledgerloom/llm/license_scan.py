@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, sample_texts, slices
 from .decontamination import SEPARATORS, Pieces, edit_distance
 from .hashing import WordHasher, runs
 from .licence_texts import NAMES, OTHERS, PASSAGES, PHRASES
@@ -167,11 +166,7 @@ def fit(texts: list[str], classes: list[str], ordinary: list[str], rounds: int =
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     """The classifier; its ordinary paragraphs are those, without a family's name, of the ``sample`` distinct texts of the least hashes."""
-    texts = id_and_text(docs).select("text", F.xxhash64("text").alias("hash"))
-    last = texts.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
-    rows = list({r.hash: r for r in texts.where(F.col("hash") <= last).dropDuplicates(["hash"]).collect()}.values()) if last is not None else []
-    rows.sort(key=lambda r: r.hash)
-    ordinary = [p for r in rows for p in r.text.split("\n") if p.strip()]
+    ordinary = [p for text in sample_texts(id_and_text(docs), sample) for p in text.split("\n") if p.strip()]
     grams = Grams()
     names = [grams.words(n) for family in NAMES.values() for n in family]
     words = [set(grams.words(p)) for p in ordinary]

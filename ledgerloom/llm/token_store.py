@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import encoder
-from .common import id_and_text, materialize, slices
+from .common import id_and_text, materialize, sample_texts, slices
 
 MAGIC = b"LLTOKEN1"
 #: magic, dictionary's sha256, documents, bytes of an id, 1 if the first doc_id is null for `nulls` documents
@@ -40,13 +40,13 @@ def id_type(path: str) -> np.dtype:
     return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, kind: np.dtype, size: int, sample: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most ``sample`` documents (the first that Spark finds), of each the
-    first 16 KB; empty where these are too few to train one. The sample sets how small frames get, never what they hold."""
-    rows = docs.select(F.substring("text", 1, 16384).alias("text")).where("text <> ''").take(sample)
-    if not rows:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, kind: np.dtype, size: int, sample: int, sample_chars: int) -> bytes:
+    """A zstandard dictionary from the serialized ids of ``sample`` distinct texts, those of the least hashes, of each the first ``sample_chars``
+    characters; empty where these are too few to train one. The sample sets how small frames get, never what they hold."""
+    texts = [t for t in sample_texts(docs.select(F.substring("text", 1, sample_chars).alias("text")), sample) if t]
+    if not texts:
         return b""
-    ids, ends = encoder(tokenizer, end_id).encode(pa.array([r.text for r in rows]))
+    ids, ends = encoder(tokenizer, end_id).encode(pa.array(texts))
     samples = [x.astype(kind).tobytes() for x in np.split(ids, ends[:-1])]
     try:
         return zstandard.train_dictionary(size, samples, level=3).as_bytes()
@@ -104,11 +104,11 @@ class BlockReader:
         return np.frombuffer(self.library.decompress(frame), self.kind)
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, sample: int = 1000) -> tuple[DataFrame, bytes]:
+def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, sample: int = 1000, sample_chars: int = 16_384) -> tuple[DataFrame, bytes]:
     """The written blocks, in shards of ascending doc_id ranges, and the dictionary."""
     docs = id_and_text(docs)
     kind = id_type(tokenizer)
-    raw = train_dictionary(docs, tokenizer, end_id, kind, dictionary_bytes, sample)
+    raw = train_dictionary(docs, tokenizer, end_id, kind, dictionary_bytes, sample, sample_chars)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, library = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=3, **_dictionary(raw))
@@ -141,8 +141,10 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_bytes:
     # Written first: range partitioning reads its input twice, and no text is encoded again if an executor is lost.
     frames = materialize(docs.mapInArrow(encode, FRAMES), "frames")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = frames.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return materialize(ordered.mapInArrow(write, BLOCKS), "blocks"), raw
+    # The row's place in the written table splits many rows of one doc_id over shards.
+    order = F.col("doc_id").asc_nulls_first(), F.col("place").asc()
+    ordered = frames.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    return materialize(ordered.drop("place").mapInArrow(write, BLOCKS), "blocks"), raw
 
 
 def read_index(blocks: DataFrame, dictionary: bytes) -> DataFrame:

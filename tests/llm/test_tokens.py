@@ -107,3 +107,40 @@ def test_store_reads_one_document(spark, sf):
     assert i == 3 and reader.ids(i).tolist() == want[reader.doc_id(3)] and reader.find(-5) == -1
     with pytest.raises(ValueError):
         token_store.BlockReader(bytes(block), b"other")
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Rows of one doc_id, whole repeated rows, and texts longer than a slice: each row counts."""
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long = "a few words, repeated. " * 420_000  # more than a worker's slice
+    texts = [(7, "same text"), (7, "same text"), (7, "other"), (None, "x y"), (None, "x y"), (3, long), (3, ""), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = [(i, t or "") for i, t in texts]
+    model = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    want = Counter((i, len(t.encode()), n, n > 4096) for i, t in rows for n in [len(library.encode(t))])
+    assert Counter(map(tuple, token_counts.count_tokens(docs, model).collect())) == want
+
+    words, counted = Tokenizer.from_file(P.path("word_bpe_49k.json")), Counter()
+    for i, t in rows:
+        counted[i, len(words.encode(t, add_special_tokens=False).ids) + 1] += 1
+    pieces = packing.pack_documents(docs, P.path("word_bpe_49k.json")).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == counted
+    assert sum(r.length for r in pieces) == sum(n * k for (_, n), k in counted.items())
+    sequences = Counter()
+    for r in pieces:
+        sequences[r.sequence_id] += r.length
+    assert all(n <= 4096 and n & (n - 1) == 0 for n in sequences.values())
+
+    bytes_ = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = token_store.store_tokens(docs, P.path("byte_bpe_50k.json")).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(ids), crc(ids)) for i, t in rows for ids in [[*bytes_.encode(t, add_special_tokens=False).ids, 2]])
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 2, 3, 3, 7, 7, 7]
