@@ -71,6 +71,18 @@ def spaced(texts: pa.Array) -> pa.Array:
     return texts
 
 
+def spans(diagonals: set[int], length: int, k: int) -> list[tuple[int, int]]:
+    """Where an item of ``length`` words may lie within ``k`` edits, if its first word is about at one of the ``diagonals``; those that touch are joined."""
+    out: list[tuple[int, int]] = []
+    for d in sorted(diagonals):
+        low, high = d - k, d + length + k
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], high
+        else:
+            out.append((low, high))
+    return out
+
+
 class Pieces:
     """Where pieces of ``n`` words occur, by the hash of their words."""
 
@@ -129,15 +141,15 @@ class Matcher:
                 candidates.setdefault((row, item), set()).add(diagonal)
         for (row, item), diagonals in candidates.items():
             item_id, pattern, k = self.items[item]
-            best, until = None, -1
-            for d in sorted(diagonals):
-                start = max(int(at[row]), d - k)
-                if best and (best[0] == 0 or (d + len(pattern) + k <= until)):
-                    continue
-                until = min(int(at[row + 1]), d + len(pattern) + k)
+            best = None
+            # Windows that touch are one, so no word of a text is compared twice with an item, however often its pieces occur.
+            for low, high in spans(diagonals, len(pattern), k):
+                start, until = max(int(at[row]), low), min(int(at[row + 1]), high)
                 distance, end = edit_distance(pattern, words[start:until].tolist())
                 if distance <= k and (best is None or distance < best[0]):
                     best = distance, max(0, start + end - len(pattern) - int(at[row]))
+                    if not distance:
+                        break
             if best:
                 out.append((row, item_id, best[0], k, len(pattern), best[1]))
         return out

@@ -121,6 +121,19 @@ def test_decontamination_equals_brute_force(spark, sf):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0 and decontamination.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_repeated_lines_rows_and_items(spark):
+    """An item whose pieces occur thousands of times in a text is found once for each row; repeated rows and items count each."""
+    item = "one two three four five six seven eight nine ten"
+    close = item.replace("five", "x")
+    near = " ".join(["one two three four five"] * 3000)
+    rows = [(1, item), (1, item), (2, f"{near} {close} {near}"), (3, near), (4, f"{item} " * 2000), (None, close)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item), (6, item), (None, item), (7, None)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.distance) for r in decontamination.contamination(docs, bench).collect())
+    assert got == Counter((i, k, d) for i, d in ((1, 0), (1, 0), (2, 1), (4, 0), (None, 1)) for k in (5, 6, None))
+    assert sorted(r.doc_id for r in decontamination.uncontaminated(docs, bench).collect()) == [3]
+    assert decontamination.spans({5, 9, 40}, 10, 2) == [(3, 21), (38, 52)]
+
+
 def units(text):
     """Words, or characters where a script has no spaces (the ranges that this test uses)."""
     return [x.lower() for x in re.findall(r"[\u0e00-\u0e7f\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff]|[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u0e00-\u0e7f\u3000-\u3004\u3041-\u30ff\u4e00-\u9fff\uff01-\uff0f\uff1a-\uff20]+", text or "")]
