@@ -26,12 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query("""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+told AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM bare)
+SELECT page_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM told""")
 def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.page_text("html").alias("text"))
 
 
-@query()
+@query("SELECT page_id, 'a | ' || page_id || chr(10) || 'b | c | ' || page_id AS rows FROM pages")
 def table_grids(spark, sf):
     """Rows of tables; the given pages hold none, so one is put into each."""
     cell = F.concat(F.lit("<table><tr><td colspan=2>a</td><td rowspan=2>"), F.col("page_id").cast("string"), F.lit("</td></tr><tr><td>b</td><td>c</td></tr></table>"))

@@ -400,7 +400,7 @@ def clean_cells(spark, sf):
     return c.select(F.col("c_custkey").alias("id"), T.safe_filename(raw).alias("name"), T.singles_text(F.when(some, F.col("c_nationkey")), F.lit(None).cast("int"), F.when(some, F.lit(3))).alias("singles"), T.clean_cell(F.concat(F.lit("　"), "c_mktsegment", F.lit("\n "))).alias("cell"))
 
 
-@query(None)
+@query("SELECT p_partkey AS id, 'sysu,scut,jnu' || CASE WHEN p_partkey % 2 = 0 THEN ',scnu' ELSE '' END AS schools, 'sysu' AS one FROM part")
 def alias_scan(spark, sf):
     """STR-10, STR-11."""
     p = table(spark, sf, "part")
@@ -414,7 +414,9 @@ def canonical_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.canonical_text("text").alias("canonical"))
 
 
-@query(None)
+@query("""WITH plain AS (SELECT page_id, regexp_replace(regexp_replace(url, '^http:', 'https:'), '#.*$', '') AS u FROM pages),
+keyed AS (SELECT page_id, CASE WHEN regexp_matches(u, '^https://[^/?]*/*(\\?.*)?$') THEN regexp_replace(u, '^(https://[^/?]*)/*(\\?.*)?$', '\\1/\\2') ELSE regexp_replace(u, '^([^?]*[^/?])/+(\\?.*)?$', '\\1\\2') END AS key FROM plain)
+SELECT page_id, key, count(*) OVER (PARTITION BY key) AS pages FROM keyed""")
 def normalize_urls(spark, sf):
     """STR-14: each page's key, and how many pages share it."""
     keys = table(spark, sf, "pages").select("page_id", T.normalize_url("url").alias("key"))
