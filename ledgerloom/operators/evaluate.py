@@ -102,3 +102,32 @@ def pass_rates(rows: DataFrame, group: str, passed: Column, numeric: str = "nume
     """AGG-17: passes by group; the numeric group is accepted from a share on, the others when all pass."""
     out = rows.groupBy(group).agg(F.count_if(passed).alias("passed"), F.count(F.lit(1)).alias("total"))
     return out.withColumn("accepted", F.when(F.col(group) == numeric, F.col("passed") * least[1] >= F.col("total") * least[0]).otherwise(F.col("passed") == F.col("total")))
+
+
+def intent_scores(rows: DataFrame) -> DataFrame:
+    """EVL-01: rows (id, expected and predicted structs of schools, codes, year, operation, metrics, privacy; the predicted one has prefixes too) with
+    whether each field matches, and whether all do. Metrics count only where some are expected, and may be among others."""
+    e, p = (lambda c: F.col(f"expected.{c}")), (lambda c: F.col(f"predicted.{c}"))
+    none = F.array().cast("array<string>")
+    full = lambda c: F.coalesce(c, none)
+    codes = F.array_union(full(p("codes")), full(p("prefixes")))
+    fields = {
+        "schools": set_equal(full(p("schools")), full(e("schools"))),
+        "codes": set_equal(codes, full(e("codes"))),
+        "year": p("year").eqNullSafe(e("year")),
+        "operation": p("operation").eqNullSafe(e("operation")),
+        "privacy": F.coalesce(p("privacy"), F.lit(False)) == F.coalesce(e("privacy"), F.lit(False)),
+        "metrics": F.when(F.size(full(e("metrics"))) > 0, subset(full(e("metrics")), full(p("metrics")))),
+    }
+    scored = rows.select("*", *[c.alias(f"{n}_ok") for n, c in fields.items()])
+    exact = F.lit(True)
+    for n in fields:
+        exact = exact & F.coalesce(F.col(f"{n}_ok"), F.lit(True))
+    return scored.withColumn("exact", exact)
+
+
+def recall_summary(checks: DataFrame, group: str) -> DataFrame:
+    """EVL-01: of checks (row, found, source_matches, scorable) per group: rows scored and not, how many rows have all their facts, facts found, sources right."""
+    rows = checks.groupBy(group, "row").agg(F.bool_and("found").alias("all"), F.count(F.lit(1)).alias("n"), F.count_if("found").alias("found"), F.count_if(F.col("found") & F.col("source_matches")).alias("right"), F.bool_and("scorable").alias("scorable"))
+    s = F.col("scorable")
+    return rows.groupBy(group).agg(F.count_if(s).alias("rows"), F.count_if(~s).alias("unscorable"), F.count_if(s & F.col("all")).alias("passed"), F.sum(F.when(s, F.col("n")).otherwise(0)).alias("facts"), F.sum(F.when(s, F.col("found")).otherwise(0)).alias("found"), F.sum(F.when(s, F.col("right")).otherwise(0)).alias("sources"))

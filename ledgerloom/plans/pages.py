@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import crawl, documents, notes, views
+from ledgerloom.operators import crawl, documents, evaluate, notes, views
 from ledgerloom.session import table
+from ledgerloom.sources import html
 
 from . import agent, base, facts
 from .base import with_
@@ -252,3 +253,48 @@ def routing(spark, sf):
     docs = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("doc"), (F.col("p_partkey") % 5).alias("kind"), F.lit(2026).alias("year"), rows.alias("rows"))
     found = registry.run(docs)
     return found.select(F.col("doc").cast("long").alias("id"), "kind", "code", "value", F.col("is_upper_bound").alias("bound"))
+
+
+@query("""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS title, CAST(0 AS BIGINT) AS tables,
+  len(list_distinct(list_filter(regexp_extract_all(html, '<[a-z][^>]*?\\shref\\s*=\\s*["'']([^"''>]+)', 1, 'i') || regexp_extract_all(html, '<[a-z][^>]*?\\ssrc\\s*=\\s*["'']([^"''>]+)', 1, 'i'), lambda x: NOT regexp_matches(x, '^(data:|javascript:|mailto:|#)')))) AS files FROM pages""")
+def page_documents(spark, sf):
+    """SRC-05, SRC-18."""
+    p = table(spark, sf, "pages").select("page_id", html.linked_files(F.col("html")).alias("files"), "html")
+    return html.page_documents(p).select("page_id", "title", F.size("tables").cast("long").alias("tables"), F.size("files").cast("long").alias("files"))
+
+
+@query("""SELECT p_partkey AS id, scope, '085404' AS code, total, first FROM (
+  SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'college' WHEN 1 THEN 'special_veteran' ELSE 'special_minority' END AS scope, p_size + 300 AS total, 50 AS first FROM part WHERE p_partkey % 4 > 0
+  UNION ALL SELECT p_partkey, unnest(['rules_total', 'tm', 'public_exam']), unnest([p_size + 300, 2, p_size]), NULL FROM part WHERE p_partkey % 4 = 0)""")
+def retest_lines(spark, sf):
+    """EXT-11: lines under two header rows with special scopes, and the triple of plan numbers."""
+    k, total = F.col("p_partkey"), (F.col("p_size") + 300).cast("string")
+    remark = F.when(k % 3 == 1, "退役士兵计划").when(k % 3 == 2, "少干计划").otherwise("")
+    cells = lambda *x: F.array(*[c if not isinstance(c, str) else F.lit(c) for c in x])
+    lines = F.array(cells("专业代码", "复试分数线", "复试分数线", "复试分数线", "备注"), cells("专业代码", "总分", "政治", "业务课一", ""), cells("085404", total, "50", "60", remark))
+    plans = F.array(cells("代码", "总计划", "已招推免", "公开招考", "备注"), cells("085404", total, "2", F.col("p_size").cast("string"), ""))
+    docs = table(spark, sf, "part").select(k.cast("string").alias("doc"), F.lit(2026).alias("year"), F.when(k % 4 > 0, lines).otherwise(plans).alias("rows"))
+    found = documents.Registry([documents.Extractor("lines", F.lit(True), documents.line_table)]).run(docs)
+    return found.select(F.col("doc").cast("long").alias("id"), F.col("kind").alias("scope"), "code", F.col("value").alias("total"), F.col("lines")[0].alias("first"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, o_orderkey % 3 = o_custkey % 3 AS codes_ok, o_orderstatus = 'F' AS year_ok, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 2 = 0 END AS metrics_ok FROM orders)
+SELECT id, codes_ok, year_ok, metrics_ok, codes_ok AND year_ok AND coalesce(metrics_ok, true) AS exact FROM r""")
+def intent_scores(spark, sf):
+    """EVL-01."""
+    key, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    code = lambda c: F.array((c % 3).cast("string"))
+    metrics = F.when(key % 5 > 0, F.array(F.lit("lines"))).otherwise(none)
+    expected = F.struct(none.alias("schools"), code(key).alias("codes"), F.lit(2026).alias("year"), F.lit("lookup").alias("operation"), metrics.alias("metrics"), F.lit(False).alias("privacy"))
+    year = F.when(F.col("o_orderstatus") == "F", 2026)
+    predicted = F.struct(none.alias("schools"), none.alias("codes"), code(F.col("o_custkey")).alias("prefixes"), year.alias("year"), F.lit("lookup").alias("operation"), F.when(key % 2 == 0, F.array(F.lit("plans"), F.lit("lines"))).otherwise(F.array(F.lit("plans"))).alias("metrics"), F.lit(None).cast("boolean").alias("privacy"))
+    rows = table(spark, sf, "orders").select(key.alias("id"), expected.alias("expected"), predicted.alias("predicted"))
+    return evaluate.intent_scores(rows).select("id", "codes_ok", "year_ok", "metrics_ok", "exact")
+
+
+@query("""SELECT source, count(*) FILTER (WHERE s) AS rows, count(*) FILTER (WHERE NOT s) AS unscorable, count(*) FILTER (WHERE s AND a) AS passed, coalesce(sum(n) FILTER (WHERE s), 0)::BIGINT AS facts, coalesce(sum(f) FILTER (WHERE s), 0)::BIGINT AS found, coalesce(sum(r) FILTER (WHERE s), 0)::BIGINT AS sources
+FROM (SELECT l_orderkey % 7 AS source, l_orderkey, count(*) AS n, bool_and(l_quantity > 5) AS a, count(*) FILTER (WHERE l_quantity > 5) AS f, count(*) FILTER (WHERE l_quantity > 5 AND l_partkey % 2 = 0) AS r, l_orderkey % 11 > 0 AS s FROM lineitem GROUP BY l_orderkey) GROUP BY source""")
+def fact_recall(spark, sf):
+    """EVL-01: an order's items as its expected facts."""
+    checks = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 7).alias("source"), F.col("l_orderkey").alias("row"), (F.col("l_quantity") > 5).alias("found"), (F.col("l_partkey") % 2 == 0).alias("source_matches"), (F.col("l_orderkey") % 11 > 0).alias("scorable"))
+    return evaluate.recall_summary(checks, "source")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import json
+import re
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
+from xml.sax.saxutils import escape
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -147,3 +152,50 @@ def markdown_table(rows: DataFrame) -> str:
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in found]) + "\n"
+
+
+def workbook(rows: Sequence, title: str = "Sheet1") -> bytes:
+    """SNK-07: an .xlsx file of one sheet from a list of objects (their first one's keys are the header) or of lists. Numbers stay numbers."""
+    if not rows or not isinstance(rows[0], (dict, list, tuple)):
+        raise ValueError("rows are a list of objects or of lists")
+    if isinstance(rows[0], dict):
+        header = list(rows[0])
+        rows = [header, *([r.get(h) for h in header] for r in rows if isinstance(r, dict))]
+
+    def cell(place: str, x) -> str:
+        if x is None:
+            return ""
+        if isinstance(x, (int, float)) and not isinstance(x, bool):
+            return f'<c r="{place}"><v>{x}</v></c>'
+        text = json.dumps(x, ensure_ascii=False) if isinstance(x, (dict, list, tuple)) else str(x)
+        text = "".join(c for c in text if c >= " " or c in "\t\n\r")
+        return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+    def column(i: int) -> str:
+        return (column(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
+    body = "".join(f'<row r="{r}">{"".join(cell(f"{column(c)}{r}", x) for c, x in enumerate(row))}</row>' for r, row in enumerate(rows, 1))
+    office, package = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    name = escape((re.sub(r"[\[\]:*?/\\\\]", " ", title) or "Sheet1")[:31], {'"': "&quot;"})
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="{name}" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, text in parts.items():
+            z.writestr(path, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    return out.getvalue()
+
+
+def upsert_vectors(table: VersionedTable, rows: DataFrame, metadata: Sequence[str] = ()) -> None:
+    """SNK-11: vectors (vec_id, embedding) of length one with what they have of the metadata as JSON, by id; null and zero vectors are left out."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.transform("embedding", lambda x: (x / F.col("_norm")).cast("float"))
+    own = rows.withColumn("_norm", norm).where("_norm > 0").select("vec_id", unit.alias("embedding"), F.to_json(F.struct(*metadata) if metadata else F.create_map()).alias("metadata"))
+    table.upsert(own.dropDuplicates(["vec_id"]), ["vec_id"])

@@ -330,3 +330,66 @@ def test_views(spark):
     assert views.facts_in("no") == views.facts_in(None) == []
     df = spark.createDataFrame([("x" * 50, None)], "a string, b string")
     assert [r.j for r in df.select(views.slim_json(["a", "b"], 10).alias("j")).collect()] == ['{"a":"xxxx…[截断]']
+
+
+PAGE = """<html><head><title> A page </title><style>x{}</style></head><body><nav>menu</nav><div class="top-nav x">crumbs</div><div id="share">share</div>
+<h1>Head</h1><p>one <b>two</b>&amp;three</p><script>no()</script><table><caption>c</caption><tr><th colspan=2>a</th><th rowspan="2">b</th></tr><tr><td>1</td><td>2</td></tr></table>
+<table><tr><td>outer<table><tr><td>inner</td></tr></table></td></tr></table><table><tr><td></td></tr></table><footer>end <table><tr><td>kept</td></tr></table></footer>
+<img src="/p.png" alt=" pic "><img src="data:image/png;base64,aGk="><img src="data:image/png;base64,%%%"><a href="f.pdf">f</a><div pdfsrc="g.pdf"></div><a href="#x">x</a><p>last"""
+
+
+def test_whole_pages(spark):
+    import hashlib
+
+    page = html.read_page(PAGE)
+    assert page["title"] == "A page" and page["tables"] == [[["a", "a", "b"], ["1", "2", "b"]], [["inner"]], [["kept"]]]
+    assert page["text"].split("\n") == ["A page", "Head", "one two&three", "a | b", "1 | 2 | b", "outer", "inner", "end", "kept", "f", "x", "last"]
+    assert [(i["url"], i["mime"], i["sha256"], i["alt"], i["needs_ocr"]) for i in page["images"]] == [("/p.png", None, None, "pic", False), (None, "image/png", hashlib.sha256(b"hi").hexdigest(), "", True)]
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>open <table><tr><td>x")], "id int, html string")
+    got = {r.id: r for r in html.page_documents(df).collect()}
+    assert got[1].text == page["text"] and got[2].text == "" and got[3].tables == [[["x"]]]
+    assert values(spark, [PAGE], html.linked_files) == [["f.pdf", "/p.png", "g.pdf"]]
+
+
+def test_workbooks_and_vectors(spark, tmp_path):
+    from ledgerloom.sources import sinks
+
+    (tmp_path / "a.xlsx").write_bytes(sinks.workbook([{"k": "a<b", "n": 3}, {"n": 4.5, "k": None}, "skipped"], "t/x"))
+    (tmp_path / "b.xlsx").write_bytes(sinks.workbook([["x", [1]], [None, True]]))
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in files.load_documents(files.list_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.xlsx": "k | n\na<b | 3\n4.5", "b.xlsx": "x | [1]\nTrue"}
+    with pytest.raises(ValueError):
+        sinks.workbook([])
+    target = VersionedTable(spark, f"file://{tmp_path}/v")
+    rows = spark.createDataFrame([(1, [3.0, 4.0], "en"), (2, [0.0, 0.0], "x"), (3, None, "x"), (4, [1.0, 0.0], None)], "vec_id long, embedding array<float>, lang string")
+    sinks.upsert_vectors(target, rows, ["lang"])
+    sinks.upsert_vectors(target, rows.where("vec_id = 4").selectExpr("vec_id", "array(0f, 2f) as embedding", "'de' as lang"), ["lang"])
+    assert {r.vec_id: ([round(x, 3) for x in r.embedding], r.metadata) for r in target.read().collect()} == {1: ([0.6, 0.8], '{"lang":"en"}'), 4: ([0.0, 1.0], '{"lang":"de"}')}
+
+
+def test_line_tables(spark):
+    from ledgerloom.operators import documents as D
+
+    lines = [
+        ["序号", "专业代码", "专业名称", "复试分数线", "复试分数线", "复试分数线", "复试分数线", "复试分数线", "备注"],
+        ["序号", "专业代码", "专业名称", "总分", "政治", "外语", "业务课一", "业务课二", ""],
+        ["1", "085404", "计算机技术", "379", "50", "50", "60", "60", ""],
+        ["2", "085404", "计算机技术", "303", "50", "50", "60", "", "少干计划"],
+        ["3", "0812 00", "计算机科学与技术", "339", "45", "45", "60", "60", "退役士兵计划"],
+        ["", "合计", "", "9", "", "", "", "", ""],
+    ]
+    plans = [["学科专业代码", "名称", "总计划", "已招推免生", "公开招考计划", "备注"], ["081200", "x", "15", "7", "8", ""], ["085410", "y", "1", "0", "1", "少干计划"]]
+    registry = D.Registry([D.Extractor("lines", F.lit(True), D.line_table)])
+    docs = spark.createDataFrame([("a", 2026, lines), ("b", 2026, plans), ("c", 2026, [["x"]])], "doc string, year int, rows array<array<string>>")
+    got = {(r.doc, r.kind, r.code, r.value, tuple(r.lines or ())) for r in registry.run(docs).collect()}
+    assert got == {("a", "college", "085404", 379, (50, 50, 60, 60)), ("a", "special_minority", "085404", 303, (50, 50, 60, None)), ("a", "special_veteran", "081200", 339, (45, 45, 60, 60)), ("b", "rules_total", "081200", 15, ()), ("b", "tm", "081200", 7, ()), ("b", "public_exam", "081200", 8, ()), ("b", "special_minority", "085410", 1, ())}
+
+
+def test_intent_scores(spark):
+    kind = "struct<schools:array<string>,codes:array<string>,prefixes:array<string>,year:int,operation:string,metrics:array<string>,privacy:boolean>"
+    right = (["b", "a"], ["085404"], ["0812"], 2026, "lookup", ["lines", "plans"], None)
+    rows = [(1, (["a", "b"], ["0812", "085404"], None, 2026, "lookup", ["plans"], False), right), (2, (None, None, None, None, "filter", None, True), (None, None, None, 2026, "filter", ["x"], True))]
+    got = {r.id: r for r in evaluate.intent_scores(spark.createDataFrame(rows, f"id int, expected {kind}, predicted {kind}")).collect()}
+    assert got[1].exact and got[1].metrics_ok and not got[2].exact and not got[2].year_ok and got[2].metrics_ok is None and got[2].privacy_ok
+    checks = spark.createDataFrame([("s", 1, True, True, True), ("s", 1, False, False, True), ("s", 2, True, False, True), ("s", 3, False, False, False)], "split string, row int, found boolean, source_matches boolean, scorable boolean")
+    assert [tuple(r) for r in evaluate.recall_summary(checks, "split").collect()] == [("s", 2, 1, 1, 3, 2, 1)]
