@@ -3,6 +3,11 @@ benchmark passages, packed into training sequences.
 
 Every stage but the last takes documents and returns documents with the same columns. Each is given its predecessor's rows as written
 and read again, so nothing is computed twice and a lost executor costs one stage's tasks at most.
+
+Defined results: null texts are empty texts and are kept by every stage (but exact copies of them but one go); rows that repeat doc_id and text are
+copies, one of them stays; a null doc_id stays null; of documents whose doc_ids tie, one stays; without labels, or with those of one
+class only, nothing or everything is toxic as the labels' share says (0 without labels); null labels and null, empty or repeated benchmark items
+change nothing; empty tables give empty results; other columns, whatever their names, are carried through to the last stage, which ignores them.
 """
 
 from __future__ import annotations
