@@ -320,3 +320,23 @@ def test_one_row_of_each_text_stays(copies):
     for r in copies.collect():
         best[r.text or ""] = max(best.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
     assert sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == sorted(best.items())
+
+
+def test_very_long_texts(spark):
+    """Texts longer than a worker's slice and than a window of the hasher, one of them a single word."""
+    from ledgerloom.llm import jaccard_join, toxicity
+
+    rng = random.Random(2)
+    words_ = [f"w{rng.randrange(10**6)}" for _ in range(1_300_000)]
+    long, item = " ".join(words_), "these twelve words are an item of the benchmark that is found"
+    near = " ".join([*words_[:-40], *item.split()])
+    rows = [(1, long), (2, near), (3, long), (4, "x" * 9_000_000), (5, "X" * 9_000_000), (6, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()} == {(1, 3, 2), (3, 3, 2), (2, 2, 1), (4, 4, 1), (5, 5, 1), (6, 6, 1)}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {1: (1_299_996, 1), 2: (len(words_) - 40 + 12 - 4, 1), 3: (1_299_996, 1), 4: (1, 4), 5: (1, 4), 6: (8, 6)}
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {(r.doc_id, r.distance) for r in decontamination.contamination(docs, bench).collect()} == {(2, 0), (6, 0)}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 7)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()
+    assert {r.doc_id: r.windows for r in scored} == {1: 20313, 2: -(-(len(words_) - 28) // 64), 3: 20313, 4: 1, 5: 1, 6: 1}

@@ -31,3 +31,19 @@ def test_stages_keep_columns_and_bear_odd_tables(spark):
             n = {"toxicity": 5, "exact_dedup": 3, "jaccard_join": 5, "decontamination": 5}[name]
             assert out.count() == (n if docs is odd else 0), name
         assert corpus_pipeline.pack(spark, docs, sf).count() >= (docs is odd)
+
+
+def test_odd_labels_and_benchmark(spark, tmp_path):
+    """Null labels, and null, empty and repeated items, change nothing; clashing columns are carried through."""
+    from pyspark.sql import functions as F
+
+    sf, odd = "/root/testdata/sf0.001", f"file://{tmp_path}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("fingerprint", F.lit("x")).withColumn("row", F.lit(1)).withColumn("maybe", F.lit(True))
+    docs.write.parquet(f"{odd}/documents.parquet")
+    labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    labels.unionByName(labels.limit(3).withColumn("toxic", F.lit(None).cast("int")).withColumn("doc_id", F.lit(None).cast("long")), allowMissingColumns=True).write.parquet(f"{odd}/labels.parquet")
+    nothing = spark.createDataFrame([(None, None), (1, ""), (2, None)], "item_id long, text string")
+    bench.unionByName(bench).select("item_id", "text").unionByName(nothing).write.parquet(f"{odd}/benchmark.parquet")
+    got, want = corpus_pipeline.run(spark, odd).collect(), corpus_pipeline.run(spark, sf).collect()
+    key = lambda rows: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows if r.start == 0 and r.length == r.doc_tokens)
+    assert {r.doc_id: r.doc_tokens for r in got} == {r.doc_id: r.doc_tokens for r in want} and key(got)
