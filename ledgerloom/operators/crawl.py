@@ -1,10 +1,12 @@
 """Incremental collection as operators on tables of fetched pages: entries of lists, paging, probes, alerts, the run ledger (FLT-13, FLT-16,
-SRC-14, STM-02, STM-07..10, STM-13, DAT-04). Fetching itself is the caller's."""
+SRC-14, STM-02, STM-04..11, STM-13, DAT-04). Fetching itself is the caller's."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,3 +127,70 @@ def run_ledger(entries: DataFrame) -> DataFrame:
 def iso_stamp(time: Column) -> Column:
     """DAT-04: a time as the text of its UTC second."""
     return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def origin_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+
+
+def schedule(urls: DataFrame, interval: float, budget: int | None = None) -> DataFrame:
+    """STM-04: when each request (school, url, position) may start at the earliest, in seconds from the run's start: a host's requests one after
+    the other, ``interval`` apart; of a school no more than the budget."""
+    rows = urls
+    if budget is not None:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("school").orderBy("position"))).where(F.col("_n") <= budget).drop("_n")
+    place = F.row_number().over(Window.partitionBy(F.regexp_extract(origin_of(F.col("url")), "://(.*)", 1)).orderBy("position")) - 1
+    return rows.withColumn("earliest", place * F.lit(float(interval)))
+
+
+def conditional_requests(urls: DataFrame, validators: DataFrame) -> DataFrame:
+    """STM-05: URLs with the headers of a conditional request, as far as an earlier answer (url, etag, last_modified) gave them."""
+    some = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.lit(name).alias("key"), F.col(c).alias("value")))
+    headers = F.map_from_entries(F.array_compact(F.array(some("If-None-Match", "etag"), some("If-Modified-Since", "last_modified"))))
+    return urls.join(validators, "url", "left").select(*urls.columns, headers.alias("headers"))
+
+
+def newest_validators(validators: DataFrame, answers: DataFrame) -> DataFrame:
+    """STM-05: validators after a run: an answer (url, at, etag, last_modified) that has any replaces the earlier ones whole; others leave them."""
+    given = answers.where("coalesce(etag, '') <> '' OR coalesce(last_modified, '') <> ''").select("url", "at", "etag", "last_modified")
+    both = given.unionByName(validators.select("url", F.lit(None).cast(given.schema["at"].dataType).alias("at"), "etag", "last_modified"))
+    last = both.groupBy("url").agg(F.max_by(F.struct("etag", "last_modified"), F.struct(F.col("at").isNotNull(), "at")).alias("_v"))
+    return last.select("url", "_v.*")
+
+
+def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """STM-06: whether each URL may be fetched by its origin's robots file (origin, status, body): a file that there is counts as it says, answers 400 to 499
+    allow all, others (and files not fetched) nothing. One small row an origin is joined to its URLs."""
+
+    def judge(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        parsers: dict[str, RobotFileParser] = {}
+        out = []
+        for text, url in zip(texts, wanted, strict=True):
+            if text not in parsers:
+                parsers[text] = RobotFileParser()
+                parsers[text].parse(text.splitlines())
+            out.append(parsers[text].can_fetch(agent, url))
+        return pd.Series(out)
+
+    joined = urls.withColumn("_o", origin_of(F.col("url"))).join(robots.select(F.lower("origin").alias("_o"), "status", "body"), "_o", "left")
+    says = F.pandas_udf(judge, "boolean")(F.coalesce("body", F.lit("")), F.col("url"))
+    allowed = F.when(F.col("status") == 200, says).otherwise(F.coalesce(F.col("status").between(400, 499), F.lit(False)))
+    return joined.select(*urls.columns, allowed.alias("allowed"))
+
+
+JOB_STEPS = {"queued": ("running", "error"), "running": ("done", "error"), "done": (), "error": ()}
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """STM-11: jobs as their events (job, at, state) leave them: the first is ``queued``, and a step that does not follow from the state before is left out and counted."""
+    following = F.create_map(*[x for state, after in JOB_STEPS.items() for x in (F.lit(state), F.array(*map(F.lit, after)).cast("array<string>"))])
+    steps = F.array_sort(F.collect_list(F.struct("at", "state")))
+    ordered = events.groupBy("job").agg(steps.alias("steps"))  # a job has a handful
+    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).alias("refused"))
+
+    def step(now: Column, e: Column) -> Column:
+        fits = F.when(now["state"].isNull(), e["state"] == "queued").otherwise(F.array_contains(F.try_element_at(following, now["state"]), e["state"]))
+        fits = F.coalesce(fits, F.lit(False))
+        return F.struct(F.when(fits, e["state"]).otherwise(now["state"]).alias("state"), (now["refused"] + F.when(fits, 0).otherwise(1)).alias("refused"))
+
+    return ordered.select("job", F.aggregate("steps", start, step).alias("_s")).select("job", "_s.state", "_s.refused")

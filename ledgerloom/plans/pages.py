@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import crawl, documents, evaluate, notes, views
+from ledgerloom.operators import crawl, documents, evaluate, model, notes, views
 from ledgerloom.session import table
 from ledgerloom.sources import html
 
@@ -298,3 +298,80 @@ def fact_recall(spark, sf):
     """EVL-01: an order's items as its expected facts."""
     checks = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 7).alias("source"), F.col("l_orderkey").alias("row"), (F.col("l_quantity") > 5).alias("found"), (F.col("l_partkey") % 2 == 0).alias("source_matches"), (F.col("l_orderkey") % 11 > 0).alias("scorable"))
     return evaluate.recall_summary(checks, "source")
+
+
+@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, row_number() OVER (PARTITION BY page_id % 9 ORDER BY page_id) AS n FROM pages)
+SELECT page_id, CAST(3.0 * (row_number() OVER (PARTITION BY host ORDER BY page_id) - 1) AS DOUBLE) AS earliest FROM u WHERE n <= 20""")
+def request_schedule(spark, sf):
+    """STM-04."""
+    urls = table(spark, sf, "pages").select((F.col("page_id") % 9).alias("school"), "url", F.col("page_id").alias("position"))
+    return crawl.schedule(urls, 3.0, 20).select(F.col("position").alias("page_id"), "earliest")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'e' || page_id END AS etag, CASE WHEN page_id % 2 = 0 AND page_id % 5 > 0 THEN 'm' || page_id END AS modified FROM pages""")
+def conditional_headers(spark, sf):
+    """STM-05: validators of earlier answers, and the headers that they give."""
+    key = F.col("page_id").cast("string")
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("u"), key).alias("url"))
+    old = p.select("url", F.lit("old").alias("etag"), F.lit(None).cast("string").alias("last_modified")).where("page_id % 6 = 0")
+    answers = p.select("url", F.lit(1).alias("at"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("e"), key)).alias("etag"), F.when((F.col("page_id") % 2 == 0) & (F.col("page_id") % 5 > 0), F.concat(F.lit("m"), key)).otherwise("").alias("last_modified"))
+    found = crawl.conditional_requests(p, crawl.newest_validators(old, answers))
+    return found.select("page_id", F.try_element_at("headers", F.lit("If-None-Match")).alias("etag"), F.try_element_at("headers", F.lit("If-Modified-Since")).alias("modified"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN NOT (contains(url, '/en/') OR contains(url, '/de/7')) WHEN 1 THEN true ELSE false END AS allowed
+FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^$', '/') AS url FROM pages)""")
+def robots_rules(spark, sf):
+    """STM-06: origins whose file allows some, is missing, fails, or was not fetched."""
+    k = F.col("page_id") % 4
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""), "^$", "/")
+    urls = table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://H"), k.cast("string"), F.lit(".org"), path).alias("url"))
+    body = "User-agent: *\nDisallow: /en/\nDisallow: /de/7\n\nUser-agent: other\nDisallow: /"
+    robots = spark.createDataFrame([("https://h0.org", 200, body), ("https://h1.org", 404, None), ("https://h2.org", 503, None)], "origin string, status int, body string")
+    return crawl.robots_allowed(urls, robots, "loom").select("page_id", "allowed")
+
+
+@query("""WITH s AS (SELECT user_id AS job, event_id AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events)
+SELECT job, CASE WHEN m = 1 THEN 'queued' WHEN m = 2 THEN 'running' WHEN job % 2 = 0 THEN 'done' ELSE 'error' END AS state, greatest(m - 3, 0) AS refused FROM s WHERE n = 1""")
+def job_states(spark, sf):
+    """STM-11: a user's first three events as queued, running and the end; later ones are steps that follow from nothing."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), n.alias("n"))
+    end = F.when(F.col("job") % 2 == 0, "done").otherwise("error")
+    found = crawl.job_states(e.select("job", "at", F.when(F.col("n") == 1, "queued").when(F.col("n") == 2, "running").otherwise(end).alias("state")))
+    return found.select("job", "state", F.col("refused").cast("long").alias("refused"))
+
+
+@query("SELECT DISTINCT md5(text) AS sha256 FROM documents WHERE text IS NOT NULL EXCEPT SELECT md5(text) FROM documents WHERE doc_id % 3 = 0")
+def cache_misses(spark, sf):
+    """SNK-12."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.lit("x").alias("backend"), F.md5("text").alias("sha256"))
+    return model.cache_misses(d.select("backend", "sha256"), d.where("doc_id % 3 = 0")).select("sha256")
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_custkey AS INTEGER) AS value, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'evidence not in document' WHEN 2 THEN 'value not in evidence' ELSE 'unknown kind' END AS dropped FROM orders WHERE o_custkey > 9""")
+def model_facts(spark, sf):
+    """UDF-07, JSN-01, EXT-15: an answer that quotes its document, or does not."""
+
+    def answer(text: str) -> str:
+        key, value = (int(x) for x in text.split(":")[0].split(" "))
+        evidence = {0: f"拟招{value}人", 1: f"实招{value}人", 2: "含推免"}.get(key % 4, f"拟招{value}人")
+        return 'Here: [x] [{"table": "plans", "kind": "%s", "program_code": "085404", "value": %d, "evidence": "%s"}] done' % ("tm" if key % 4 < 3 else "other", value, evidence)
+
+    o = table(spark, sf, "orders").where("o_custkey > 9")
+    text = F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_custkey").cast("string"), F.lit(": 本专业 拟招 "), F.col("o_custkey").cast("string"), F.lit(" 人，含推免。"))
+    return model.model_facts(o.select(F.col("o_orderkey").alias("id"), text.alias("text")), answer).select("id", "value", "dropped")
+
+
+@query("""WITH t AS (SELECT * FROM (VALUES ('a', 0, '{name} 招多少人？', 'lookup', 'dev'), ('b', 1, '比较 {name}', 'compare', 'test')) v(template, g, text, operation, split))
+SELECT template || '-' || CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 7 = 1 THEN '改写' ELSE replace(text, '{name}', s_name) END AS question, operation, split, s_suppkey % 7 = 1 AS reviewed
+FROM supplier JOIN t ON s_suppkey % 2 = g WHERE s_suppkey % 7 <> 2""")
+def gold_rows(spark, sf):
+    """EVL-03."""
+    templates = spark.createDataFrame([("a", 0, "{name} 招多少人？", "lookup", "dev"), ("b", 1, "比较 {name}", "compare", "test")], "template string, group int, text string, operation string, split string")
+    s = table(spark, sf, "supplier").select((F.col("s_suppkey") % 2).cast("int").alias("group"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(1).alias("value"))
+    named = F.concat(F.when(F.col("group") == 0, "a").otherwise("b"), F.lit("-"), F.col("id").cast("string"))
+    reviews = s.where("id % 7 IN (1, 2)").select(named.alias("id"), F.when(F.col("id") % 7 == 1, "改写").alias("text"), F.when(F.col("id") % 7 == 1, "edit").otherwise("drop").alias("verdict"))
+    return model.gold_rows(templates, s, reviews).select("id", "question", "operation", "split", "reviewed")

@@ -393,3 +393,34 @@ def test_intent_scores(spark):
     assert got[1].exact and got[1].metrics_ok and not got[2].exact and not got[2].year_ok and got[2].metrics_ok is None and got[2].privacy_ok
     checks = spark.createDataFrame([("s", 1, True, True, True), ("s", 1, False, False, True), ("s", 2, True, False, True), ("s", 3, False, False, False)], "split string, row int, found boolean, source_matches boolean, scorable boolean")
     assert [tuple(r) for r in evaluate.recall_summary(checks, "split").collect()] == [("s", 2, 1, 1, 3, 2, 1)]
+
+
+def test_models_over_tables(spark):
+    from ledgerloom.operators import model
+
+    texts = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "ab"), (4, " "), (5, None)], "id int, text string").coalesce(1)
+    got = {r.id: r.embedding for r in model.embed(texts, "text", lambda part: [[float(len(t)), float(len(part))] for t in part], batch=1).collect()}
+    assert got == {1: [2.0, 1.0], 2: [3.0, 1.0], 3: [2.0, 1.0], 4: None, 5: None}
+    assert model.parse_items('say [1] then [{"a": [1]}, 2] [{"b": 1}]') == [{"a": [1]}] and model.parse_items("[broken") == model.parse_items(None) == []
+    item = {"table": "plans", "kind": "tm", "program_code": "085404", "value": 12, "evidence": "招 12 人"}
+    reasons = {None: {}, "unknown kind": {"kind": "x"}, "evidence not in document": {"evidence": "招 13 人"}, "evidence looks like personal data": {"evidence": "123456789012345"}, "no value": {"value": None}, "value not in evidence": {"value": 1}, "bad code": {"program_code": "08"}, "no program": {"program_code": ""}}
+    for reason, change in reasons.items():
+        assert model.judged(item | change, "本专业招12人 123456789012345")["dropped"] == reason
+
+    def answer(text):
+        return 1 / 0
+
+    failed = model.model_facts(texts.where("id < 3"), answer).collect()
+    assert [(r.id, r.dropped) for r in failed] == [(1, "model failed: ZeroDivisionError"), (2, "model failed: ZeroDivisionError")]
+
+
+def test_politeness(spark):
+    from ledgerloom.operators import crawl
+
+    urls = spark.createDataFrame([("s", f"https://{h}/{i}", i) for i, h in enumerate(["a.org", "A.org", "b.org", "a.org", "a.org"])], "school string, url string, position int")
+    assert {r.position: r.earliest for r in crawl.schedule(urls, 3.0, 4).collect()} == {0: 0.0, 1: 3.0, 2: 0.0, 3: 6.0}
+    old = spark.createDataFrame([("u", "e0", None), ("v", "e0", "m0")], "url string, etag string, last_modified string")
+    answers = spark.createDataFrame([("u", 1, None, "m1"), ("u", 2, "", None), ("w", 1, "e1", None)], "url string, at int, etag string, last_modified string")
+    assert {tuple(r) for r in crawl.newest_validators(old, answers).collect()} == {("u", None, "m1"), ("v", "e0", "m0"), ("w", "e1", None)}
+    events = spark.createDataFrame([("a", 1, "queued"), ("a", 2, "running"), ("a", 3, "queued"), ("a", 4, "done"), ("a", 5, "running"), ("b", 1, "running"), ("c", 1, "queued"), ("c", 2, "done"), ("c", 3, "error")], "job string, at int, state string")
+    assert {tuple(r) for r in crawl.job_states(events).collect()} == {("a", "done", 2), ("b", None, 1), ("c", "error", 1)}
