@@ -375,3 +375,24 @@ def gold_rows(spark, sf):
     named = F.concat(F.when(F.col("group") == 0, "a").otherwise("b"), F.lit("-"), F.col("id").cast("string"))
     reviews = s.where("id % 7 IN (1, 2)").select(named.alias("id"), F.when(F.col("id") % 7 == 1, "改写").alias("text"), F.when(F.col("id") % 7 == 1, "edit").otherwise("drop").alias("verdict"))
     return model.gold_rows(templates, s, reviews).select("id", "question", "operation", "split", "reviewed")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'missing' WHEN page_id % 5 = 0 THEN 'failed' WHEN page_id % 4 = 0 THEN 'needs_ocr' WHEN page_id % 3 = 0 THEN 'empty' WHEN page_id % 2 = 0 THEN 'redacted' ELSE 'indexed' END AS status,
+  page_id % 11 = 0 OR page_id % 7 > 0 AS listed FROM pages""")
+def ingest_report(spark, sf):
+    """DOC-03."""
+    k = F.col("page_id")
+    p = table(spark, sf, "pages").select("page_id", k.cast("string").alias("path"))
+    loaded = p.select("path", F.when((k % 3 > 0) & (k % 4 > 0), 2).otherwise(0).alias("chunks"), (k % 2 == 0).alias("redacted"), (k % 4 == 0).alias("needs_ocr"), F.when(k % 5 == 0, "x").alias("error"))
+    listed = p.where("page_id % 11 = 0 OR page_id % 7 > 0").select("path", F.lit("d").alias("doc"))
+    return documents.ingest_report(p.where("page_id % 11 > 0").select("path"), listed, loaded).select(F.col("path").cast("long").alias("page_id"), "status", "listed")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '085404' END AS code, CASE WHEN p_partkey % 2 = 0 THEN 2026 END AS year, p_partkey % 4 = 0 AS lines, p_partkey % 5 = 0 AS private,
+  CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 END AS least, CASE WHEN p_partkey % 6 = 1 THEN true WHEN p_partkey % 6 = 2 THEN false END AS is_408 FROM part""")
+def intent_parse(spark, sf):
+    """FLT-12: questions put together from clauses."""
+    k, some = F.col("p_partkey"), lambda condition, text: F.when(condition, text).otherwise("")
+    text = F.concat(F.lit("请问"), some(k % 2 == 0, "2026年"), some(k % 3 == 0, " 085404 "), some(k % 4 == 0, "复试线"), some(k % 5 == 0, "、身份证"), some(k % 6 == 1, "考408的"), some(k % 6 == 2, "不考408的"), F.when(k % 7 == 0, F.concat(F.lit("，招生人数超过"), F.col("p_size").cast("string"))).otherwise(""))
+    found = table(spark, sf, "part").select(k.alias("id"), agent.intent(text).alias("i"))
+    return found.select("id", F.try_element_at("i.codes", F.lit(1)).alias("code"), "i.year", "i.lines", "i.private", "i.least", "i.is_408")
