@@ -223,7 +223,7 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int, shared: np.ndarray) -> DataFrame:
     """Kind 0: a row for each document; kind 1: a chunk's entries for a bucket; kind 2: a hot entry (shingle in ``fingerprint``)."""
-    bits, mask = len(levels).bit_length() - 1, NODE_MASK
+    bits, mask, shift = len(levels).bit_length() - 1, NODE_MASK, max(0, 64 - LIST_BITS - buckets.bit_length())
 
     def rows(kind: int, length: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([kind] * length, pa.int32()) if name == "kind" else columns.get(name, pa.nulls(length, _KINDS[t])) for name, t in _SENT], names=[name for name, _ in _SENT])
@@ -237,7 +237,7 @@ def send(docs: DataFrame, levels: np.ndarray, buckets: int, hot_level: int, shar
             entries = np.concatenate(held)
             held.clear()
             bucket = ((entries["shingle"] >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
-            entries["shingle"] >>= np.uint64(max(0, 64 - LIST_BITS - buckets.bit_length()))
+            entries["shingle"] >>= np.uint64(shift)
             order = np.argsort(bucket, kind="stable")
             known, firsts = np.unique(bucket[order], return_index=True)
             return rows(1, len(known), bucket=pa.array(known.astype(np.int32)), entries=pa.array([pack_entries(x) for x in np.split(entries[order], firsts[1:])], pa.binary()))
@@ -284,7 +284,8 @@ def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def owner_pairs(entries: np.ndarray) -> np.ndarray:
     """(pivot, node) for the sets that share a shingle."""
-    entries = entries[np.lexsort((entries["node"], entries["shingle"]))]
+    # Of one set's entries in a list (two of its shingles may share it) the first place counts, which leaves the most room.
+    entries = entries[np.lexsort((entries["place"], entries["node"], entries["shingle"]))]
     s, x = entries["shingle"], entries["node"]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])

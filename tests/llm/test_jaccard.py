@@ -197,6 +197,19 @@ def test_structured_words_do_not_collide(spark, k):
     assert sorted(r.doc_id for r in decontamination.contamination(docs, items).collect()) == [1, 3]
 
 
+def test_shingles_that_share_a_list_lose_no_link(spark, monkeypatch):
+    """Lists known by no bits below their bucket: all rare shingles meet in a few lists, which only makes more candidates."""
+    monkeypatch.setattr(J, "LIST_BITS", 3)
+    entries = np.zeros(3, J.ENTRY)
+    entries["node"], entries["size"], entries["place"] = [1, 1, 2], [10, 10, 10], [2, 0, 0]
+    assert J.owner_pairs(entries).tolist() == [[1, 2]]
+    rng = random.Random(9)
+    base = [[f"b{g}w{i}" for i in range(40)] for g in range(12)]
+    rows = [(i, near(rng, " ".join(base[i % 12]), rng.randrange(4))) for i in range(90)]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_messages_round_trip():
     rng = np.random.default_rng(3)
     entries = np.zeros(500, J.ENTRY)
