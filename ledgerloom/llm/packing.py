@@ -30,8 +30,8 @@ from .common import id_and_text, slices, trim
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 TIERS = (512, 1024, 2048, 4096)
 #: Chunks that a worker keeps, and bytes of text that it encodes at a time: it shares its executor with a grown heap.
-KEPT_CHUNKS = 300_000
-SLICE = 4 << 20
+KEPT_CHUNKS = 200_000
+SLICE = 3 << 20
 _FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 

@@ -45,6 +45,8 @@ TOXIC_BYTES, ORDINARY_BYTES = 16_384, 4096
 CODES = 512
 #: How much more often they are, and how sure that must be.
 RATIO, CHI_SQUARED = 2, 16
+#: Bytes of text that a worker writes in codes at a time (six times as much memory).
+SLICE = 2 << 20
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalpha())
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, gain double, windows int"
 
@@ -152,7 +154,7 @@ def over_represented(texts: DataFrame, sizes: dict[int, int]) -> np.ndarray:
         """In how many texts of either class each code occurs."""
         coder = Coder()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 codes, at = coder.codes(batch.column("text"))
                 toxic = np.array(batch.column("toxic").to_pylist(), bool)
                 row = np.repeat(np.arange(len(at) - 1), 2 * np.diff(at))
@@ -177,7 +179,7 @@ def samples(texts: DataFrame, codes: np.ndarray, windows: int) -> dict[int, list
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 found, at = coder.codes(batch.column("text"))
                 rows = []
                 for toxic, key, a, b in zip(batch.column("toxic").to_pylist(), batch.column("key").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
@@ -216,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int
         claim("toxicity")
         gauge = Gauge(*raw)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([g.tolist() for g in gauge.gains(batch.column("text"))], pa.list_(pa.float64()))], names=["toxic", "gains"])
 
     measured = materialize(rest.select("toxic", "text").mapInArrow(measure, "toxic int, gains array<double>"), "gains")
@@ -245,7 +247,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         claim("toxicity")
         gauge = Gauge(model.toxic, model.ordinary)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 gains = gauge.gains(batch.column("text"))
                 x = features(gains, model.threshold)
                 score = model.score(x)
@@ -264,7 +266,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         claim("toxicity")
         gauge = Gauge(model.toxic, model.ordinary)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 score = model.score(features(gauge.gains(batch.column("text").cast(pa.string()).fill_null("")), model.threshold))
                 yield batch.filter(pa.array(score < 0.5))
 
