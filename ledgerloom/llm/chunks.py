@@ -86,8 +86,12 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 # Fixed value: how a pre-tokenizer that drops white space and lower-cases splits words.
 WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word's marks before a space: a pre-token of their own under WORDS_PATTERN.
-MARKS = r"([\p{L}\p{N}])([.,;:!?$&*#]+)( |$)"
+#: A word's marks before white space: a pre-token of their own, under WORDS_PATTERN as in byte-level tokenizers.
+MARKS = r"([\p{L}\p{N}])([.,;:!?$&*#%]+)( |\n|$)"
+#: New words that the library gets at a time.
+TOGETHER = 20_000
+#: Stands before a chunk that follows without a space (a private character; texts that hold it are encoded whole).
+JOINED = "\ue000"
 
 
 class LibraryEncoder:
@@ -96,8 +100,9 @@ class LibraryEncoder:
     Chunks between single spaces are encoded by the library once and kept. Texts in which a token could cross
     a chunk's border (runs of white space, strings of special tokens) go to the library whole.
 
-    Where the tokenizer splits words by WORDS_PATTERN, lower-cases, and marks the last token of a word, chunks are cut finer (at
-    line breaks and before marks) and new words of letters alone are encoded many at a time: the marks tell where each ends.
+    Chunks are cut finer, at line breaks and before marks, where the tokenizer is known to split there: if it splits words by WORDS_PATTERN and
+    lower-cases, or is byte-level with its own pattern. New words of letters alone are then encoded many at a time, as the vocabulary tells
+    where each ends (its suffix) or begins (its space).
     """
 
     def __init__(self, path: str, end_id: int, limit: int = 400_000):
@@ -112,32 +117,42 @@ class LibraryEncoder:
         self.store.kept = 1
         own = json.loads(self.library.to_str())
         kinds = json.dumps(own["normalizer"]), json.dumps(own["pre_tokenizer"])
-        suffix = own["model"].get("end_of_word_suffix")
-        self.ends_word = None
+        suffix, vocabulary = own["model"].get("end_of_word_suffix"), self.library.get_vocab()
+        first = own["pre_tokenizer"] or {}
+        #: Which ids end a word, or (byte-level) begin one with its space; None if chunks are not cut finer.
+        self.ends_word = self.begins_word = None
         if suffix and '"Lowercase"' in kinds[0] and json.dumps(WORDS_PATTERN) in kinds[1] and not self.spaced:
-            vocabulary = self.library.get_vocab()
-            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.ends_word = self._mask(vocabulary, lambda t: t.endswith(suffix))
+        elif first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and own["normalizer"] is None and self.spaced:
+            self.begins_word = self._mask(vocabulary, lambda t: t.startswith("\u0120"))
+
+    @staticmethod
+    def _mask(vocabulary: dict[str, int], fits: Callable[[str], bool]) -> np.ndarray:
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for t, i in vocabulary.items() if fits(t)]] = True
+        return out
 
     def words(self, chunks: list[str]) -> list[Sequence[int]]:
         """Ids of chunks, words of letters alone in one text."""
+        spaced = self.begins_word is not None
         out: list[Sequence[int]] = [()] * len(chunks)
         plain = pc.match_substring_regex(pa.array(chunks, pa.string()), r"\A\p{L}+\z").to_numpy(zero_copy_only=False)
         at = np.flatnonzero(plain)
-        if len(at):
-            ids = np.array(self.library.encode(" ".join([chunks[i] for i in at]), add_special_tokens=False).ids, np.int64)
-            last = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(last) == len(at):  # else lower case has made a word two
-                ids, begin = ids.tolist(), 0
-                for i, end in zip(at.tolist(), last.tolist(), strict=True):
-                    out[i] = ids[begin:end]
-                    begin = end
-                at = np.flatnonzero(~plain)
-            else:
-                at = np.arange(len(chunks))
-        else:
-            at = np.arange(len(chunks))
-        for i, ids in zip(at.tolist(), self.ids([chunks[i] for i in at]), strict=True):
+        done = np.zeros(len(chunks), bool)
+        for part in (at[i : i + TOGETHER] for i in range(0, len(at), TOGETHER)):
+            together = (" " if spaced else "") + " ".join([chunks[i] for i in part])
+            ids = np.array(self.library.encode(together, add_special_tokens=False).ids, np.int64)
+            begin = np.flatnonzero(self.begins_word[ids]) if spaced else np.concatenate([[0], np.flatnonzero(self.ends_word[ids]) + 1])[:-1]
+            if len(begin) == len(part) and begin[0] == 0:  # else lower case has made a word two
+                ids, borders = ids.tolist(), [*begin.tolist(), len(ids)]
+                for i, a, b in zip(part.tolist(), borders, borders[1:], strict=False):
+                    out[i] = ids[a:b]
+                done[part] = True
+        rest = np.flatnonzero(~done)
+        texts = [chunks[i] for i in rest]
+        if spaced:
+            texts = [x[1:] if x.startswith(JOINED) else f" {x}" for x in texts]
+        for i, ids in zip(rest.tolist(), self.ids(texts), strict=True):
             out[i] = ids
         return out
 
@@ -151,12 +166,15 @@ class LibraryEncoder:
         if self.ends_word is not None:
             whole = pc.match_substring_regex(texts, "<\\||\u0130")  # the one letter whose lower case is a letter and a mark
             fine = pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), MARKS, r"\1 \2\3")
-            chunks, ends, distinct = split(pc.if_else(whole, "", fine))
-            numbers = store.numbers(distinct, self.words)[chunks]
         else:
-            whole = pc.match_substring_regex(texts, CROSSING)
-            chunks, ends, distinct = split(pc.if_else(whole, "", texts))
-            numbers = store.numbers(distinct, (lambda c: self.ids([f" {x}" for x in c])) if self.spaced else self.ids)[chunks]
+            whole = pc.match_substring_regex(texts, f"{CROSSING}|{JOINED}")
+            fine = texts
+        if self.begins_word is not None:
+            fine = pc.replace_substring_regex(fine, MARKS, rf"\1 {JOINED}\2\3")
+            fine = pc.replace_substring_regex(fine, rf"([^{_SPACE}])\n([^{_SPACE}])", f"\\1 {JOINED}\n {JOINED}\\2")
+        chunks, ends, distinct = split(pc.if_else(whole, "", fine))
+        plain = (lambda c: self.ids([f" {x}" for x in c])) if self.spaced else self.ids
+        numbers = store.numbers(distinct, plain if self.ends_word is None and self.begins_word is None else self.words)[chunks]
         firsts = np.concatenate([[0], ends[:-1]])
         at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if self.spaced:  # the first chunk has no space before it

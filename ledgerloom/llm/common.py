@@ -72,11 +72,17 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def sample_texts(docs: DataFrame, n: int) -> list[str]:
     """``n`` distinct texts at most, those of the least hashes, in their order: a sample that does not depend on how rows lie."""
     texts = docs.select("text", F.xxhash64("text").alias("hash"))
+    rows = docs.count()
+    if rows > 2 * n:  # as many hashes as lie below this are twice as many as wanted, unless most texts are copies
+        last = int(-(1 << 63) + (1 << 64) * (2 * n / rows))
+        found = {r.hash: r.text for r in texts.where(F.col("hash") <= last).dropDuplicates(["hash"]).collect()}
+        if len(found) >= n:
+            return [found[h] for h in sorted(found)[:n]]
     last = texts.select("hash").distinct().orderBy("hash").limit(n).agg(F.max("hash")).first()[0]
     if last is None:
         return []
-    rows = {r.hash: r.text for r in texts.where(F.col("hash") <= last).dropDuplicates(["hash"]).collect()}
-    return [rows[h] for h in sorted(rows)]
+    found = {r.hash: r.text for r in texts.where(F.col("hash") <= last).dropDuplicates(["hash"]).collect()}
+    return [found[h] for h in sorted(found)]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -185,8 +185,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: Sequ
                         held = sum(packer.pool.lengths)
                         for rest in packer.pool.rests:  # lets go of the batch
                             rest.ids = rest.ids.copy()
-                        trim()
                     yield []
+                trim()
 
         some: list[list[tuple]] = []
         for sequence in taken():
