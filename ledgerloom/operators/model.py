@@ -54,7 +54,8 @@ def judged(item: dict, text: str) -> dict:
     squash = lambda x: re.sub(r"\s+", "", x)
     evidence, code = str(item.get("evidence") or "").strip(), str(item.get("program_code") or "").strip()
     table, kind = str(item.get("table")), str(item.get("kind"))
-    given = str(item.get("total" if table == "score_lines" else "value") or "").strip()
+    value = item.get("total" if table == "score_lines" else "value")
+    given = "" if value is None else str(value).strip()
     reason = None
     if kind not in KINDS.get(table, ()):
         reason = "unknown kind"

@@ -351,7 +351,7 @@ def cache_misses(spark, sf):
     return model.cache_misses(d.select("backend", "sha256"), d.where("doc_id % 3 = 0")).select("sha256")
 
 
-@query("""SELECT o_orderkey AS id, CAST(o_custkey AS INTEGER) AS value, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'evidence not in document' WHEN 2 THEN 'value not in evidence' ELSE 'unknown kind' END AS dropped FROM orders WHERE o_custkey > 9""")
+@query("""SELECT o_orderkey AS id, CAST(o_custkey AS INTEGER) AS value, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'evidence not in document' WHEN 2 THEN 'value not in evidence' ELSE 'unknown kind' END AS dropped FROM orders""")
 def model_facts(spark, sf):
     """UDF-07, JSN-01, EXT-15: an answer that quotes its document, or does not."""
 
@@ -360,7 +360,7 @@ def model_facts(spark, sf):
         evidence = {0: f"拟招{value}人", 1: f"实招{value}人", 2: "含推免"}.get(key % 4, f"拟招{value}人")
         return 'Here: [x] [{"table": "plans", "kind": "%s", "program_code": "085404", "value": %d, "evidence": "%s"}] done' % ("tm" if key % 4 < 3 else "other", value, evidence)
 
-    o = table(spark, sf, "orders").where("o_custkey > 9")
+    o = table(spark, sf, "orders")
     text = F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_custkey").cast("string"), F.lit(": 本专业 拟招 "), F.col("o_custkey").cast("string"), F.lit(" 人，含推免。"))
     return model.model_facts(o.select(F.col("o_orderkey").alias("id"), text.alias("text")), answer).select("id", "value", "dropped")
 
