@@ -42,7 +42,7 @@ WINDOWS = 20_000
 #: Bytes of the dictionaries.
 TOXIC_BYTES, ORDINARY_BYTES = 16_384, 4096
 #: At most so many codes count as over-represented, the strongest.
-CODES = 512
+CODES = 256
 #: How much more often they are, and how sure that must be.
 RATIO, CHI_SQUARED = 2, 16
 #: Bytes of text that a worker writes in codes at a time (six times as much memory).
