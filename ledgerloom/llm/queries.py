@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, jaccard_join, license_scan, packing, sharding, token_counts, token_store, toxicity, url_filter
+from . import decontamination, exact_dedup, jaccard_join, license_scan, packing, prefix_trie, sharding, token_counts, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -59,9 +59,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_shape(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_token_counts, op8_url_filter, op9_license_scan, op10_token_store)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_token_counts, op8_url_filter, op9_license_scan, op10_token_store, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_sharding": sharding.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_sharding": sharding.SQL, "op11_prefix_trie": prefix_trie.SQL}
