@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, jaccard_join, license_scan, max_score, packing, prefix_trie, sharding, token_counts, token_store, toxicity, url_filter
+from . import decontamination, exact_dedup, jaccard_join, license_scan, max_score, packing, prefix_trie, sharding, source_audit, token_counts, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -67,9 +67,13 @@ def op12_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_token_counts, op8_url_filter, op9_license_scan, op10_token_store, op11_prefix_trie, op12_max_score)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_sharding, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_token_counts, op8_url_filter, op9_license_scan, op10_token_store, op11_prefix_trie, op12_max_score, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_sharding": sharding.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_max_score": max_score.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_sharding": sharding.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_max_score": max_score.SQL, "op13_source_audit": source_audit.SQL}
