@@ -48,11 +48,11 @@ def running(laid: DataFrame, key: Sequence[str], values: dict[str, tuple[str, st
     def over(kind: str, column: str | None, window: object) -> Column:
         return F.last(column, ignorenulls=True).over(window) if kind == "last" else (F.count(F.lit(1)) if column is None else F.sum(column)).over(window)
 
-    ends = laid.groupBy(*key, part).agg(*[total(kind, c).alias(f"_{name}") for name, (kind, c) in values.items()])
-    offsets = ends.select(*key, part, *[over("last" if kind == "last" else "sum", f"_{name}", earlier).alias(f"_{name}") for name, (kind, _) in values.items()])
+    ends = laid.groupBy(*key, part).agg(*[total(kind, c).alias(f"_before_{name}") for name, (kind, c) in values.items()])
+    offsets = ends.select(*key, part, *[over("last" if kind == "last" else "sum", f"_before_{name}", earlier).alias(f"_before_{name}") for name, (kind, _) in values.items()])
     own = laid.withColumns({name: over(kind, c, within) for name, (kind, c) in values.items()})
     both = own.join(offsets, [*key, part], "left")
-    found = {name: F.coalesce(name, f"_{name}") if kind == "last" else F.col(name) + F.coalesce(f"_{name}", F.lit(0)) for name, (kind, _) in values.items()}
+    found = {name: F.coalesce(name, f"_before_{name}") if kind == "last" else F.col(name) + F.coalesce(f"_before_{name}", F.lit(0)) for name, (kind, _) in values.items()}
     return both.withColumns(found).select(*laid.columns, *values)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ruled
+from ledgerloom.operators import over_pages, ruled
 from ledgerloom.operators.scans import written
 from ledgerloom.session import table
 
@@ -88,3 +88,79 @@ def ruled_tables(spark, sf):
     drawn = written(drawn, "drawn")
     boxes = drawn.select("page", F.explode("boxes").alias("b")).select("page", (F.col("b.x") - 8).alias("x0"), (F.col("b.y") - 5).alias("y0"), (F.col("b.x") + 8).alias("x1"), (F.col("b.y") + 5).alias("y1"), "b.text")
     return ruled.cells(ruled.ruling(drawn), boxes)
+
+
+_PAGED = """p AS (
+  SELECT l_suppkey % 3 AS doc, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1 AS opens,
+         l_orderkey AS o, l_partkey AS k, l_returnflag AS f, CAST(l_quantity AS INTEGER) AS q FROM lineitem)"""
+
+
+def _paged(spark, sf):
+    """Lines as rows of three long documents, a table for every seven of them; an order's first line is a college's or a program's row."""
+    from pyspark.sql import Window
+
+    li = table(spark, sf, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return li.select(
+        (F.col("l_suppkey") % 3).alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_linenumber").alias("n"), (F.row_number().over(order) == 1).alias("opens"),
+        F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("int").alias("q"),
+    )
+
+
+@query("WITH " + _PAGED + """,
+r AS (
+  SELECT *, CASE WHEN opens AND o % 9 = 0 THEN 'college' WHEN opens THEN 'program' ELSE 'direction' END AS kind,
+         CASE WHEN opens AND o % 9 = 0 THEN lpad(CAST(o % 1000 AS VARCHAR), 3, '0') END AS new_college, CASE WHEN opens AND o % 9 > 0 THEN pos WHEN opens THEN -1 END AS new_block FROM p),
+u AS (SELECT *, last_value(new_college IGNORE NULLS) OVER w AS college, last_value(new_block IGNORE NULLS) OVER w AS block FROM r WINDOW w AS (PARTITION BY doc ORDER BY pos, k ROWS UNBOUNDED PRECEDING)),
+b AS (
+  SELECT doc, block, max(college) AS college, max(CASE WHEN kind = 'program' THEN lpad(CAST(o % 10000 AS VARCHAR), 4, '0') || 'AB' END) AS code, max(CASE WHEN kind = 'program' THEN q END) AS q, max(CASE WHEN kind = 'program' THEN pos END) // 70 AS page,
+         max(CASE WHEN kind = 'program' THEN k END) AS k, CASE WHEN count(DISTINCT CASE WHEN kind = 'direction' THEN f = 'N' END) = 1 THEN max(CASE WHEN kind = 'direction' THEN CASE WHEN f = 'N' THEN '非全日制' ELSE '全日制' END END) END AS mode
+  FROM u WHERE college IS NOT NULL AND block >= 0 AND kind <> 'college' GROUP BY doc, block)
+SELECT doc, 'catalog_total' AS kind, college, code, mode, q AS value, NULL AS detail, page FROM b
+UNION ALL SELECT doc, 'no_exam', college, code, mode, NULL, NULL, page FROM b WHERE k % 5 = 0
+UNION ALL SELECT doc, 'subjects', college, code, mode, NULL, '101 政治/' || CAST(200 + k % 100 AS VARCHAR) || ' 外语', page FROM b WHERE k % 5 > 0
+UNION ALL SELECT u.doc, 'direction', u.college, b.code, CASE WHEN f = 'N' THEN '非全日制' ELSE '全日制' END, NULL, lpad(CAST(n AS VARCHAR), 2, '0') || ' 方向', pos // 70
+FROM u JOIN b ON u.doc = b.doc AND u.block = b.block WHERE kind = 'direction'""")
+def catalogue_over_pages(spark, sf):
+    """EXT-10: three long catalogues whose colleges and programs run on over their tables."""
+    p, n = _paged(spark, sf), F.col("n").cast("string")
+    college = F.array(F.concat(F.lpad((F.col("o") % 1000).cast("string"), 3, "0"), F.lit(" 学院")))
+    subjects = F.concat(F.lit("①101政治②"), (200 + F.col("k") % 100).cast("string"), F.lit("外语 复试专业课：③999他"))
+    note = F.when(F.col("k") % 5 == 0, "仅招收推免生").otherwise("无")
+    program = F.array(F.concat(F.lpad((F.col("o") % 10000).cast("string"), 4, "0"), F.lit("AB 专业")), F.col("q").cast("string"), subjects, note)
+    direction = F.array(F.concat(F.lpad(n, 2, "0"), F.lit(" 方向 ("), F.when(F.col("f") == "N", "非全日制").otherwise("全日制"), F.lit(")")))
+    values = F.when(F.col("opens") & (F.col("o") % 9 == 0), college).when(F.col("opens"), program).otherwise(direction)
+    page = F.floor(F.col("pos") / 70).cast("long")
+    rows = p.select("doc", page.alias("table"), F.struct("pos", "k").alias("row"), page.alias("page"), values.alias("values"), F.element_at(values, -1).alias("last"))
+    return over_pages.catalogue_facts(rows).drop("evidence")
+
+
+@query("WITH " + _PAGED + """,
+h AS (SELECT doc, pos // 70 AS t, 2 + pos // 70 % 2 AS width FROM p GROUP BY ALL),
+r AS (SELECT p.doc, p.pos // 70 AS t, CAST(p.pos AS VARCHAR) AS a, width, 'total' || CAST(max(CASE WHEN p.pos // 70 % 4 < 2 THEN p.pos // 70 END) OVER (PARTITION BY p.doc, width ORDER BY p.pos // 70) AS VARCHAR) AS total
+      FROM p JOIN h ON h.doc = p.doc AND h.t = p.pos // 70)
+SELECT doc, t AS "table", a AS cell, 'code/' || total || CASE WHEN width = 3 THEN '/note' ELSE '' END AS header FROM r WHERE total IS NOT NULL""")
+def continued_tables(spark, sf):
+    """EXT-03: tables of two widths, of which every other one goes on without a header."""
+    p = _paged(spark, sf).withColumn("t", F.floor(F.col("pos") / 70).cast("long"))
+    wide = lambda *cells: F.when(F.col("t") % 2 == 1, F.array(*cells)).otherwise(F.array(*cells[:2]))
+    body = p.select("doc", F.col("t").alias("table"), F.struct("pos", "k").alias("row"), wide(F.col("pos").cast("string"), F.col("q").cast("string"), F.lit("x")).alias("cells"))
+    heads = p.where("t % 4 < 2").select("doc", "t").distinct()
+    zero = F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("k"))
+    heads = heads.select("doc", F.col("t").alias("table"), zero.alias("row"), wide(F.lit("code"), F.concat(F.lit("total"), F.col("t").cast("string")), F.lit("note")).alias("cells"))
+    found = over_pages.with_headers(body.unionByName(heads), ["code"]).where("header IS NOT NULL AND size(header) = size(cells)")
+    return found.select("doc", "table", F.col("cells")[0].alias("cell"), F.array_join("header", "/").alias("header"))
+
+
+@query("""SELECT l_suppkey % 5 AS doc, lpad(CAST(l_partkey % 50 AS VARCHAR), 4, '0') || '0' || CAST(l_linenumber AS VARCHAR) AS code, count(*) AS people FROM lineitem GROUP BY ALL""")
+def roster_over_pages(spark, sf):
+    """EXT-19: a line for each ship's line, cut in the middle of its code by a page's end where the key says so."""
+    li = table(spark, sf, "lineitem")
+    code = F.concat(F.lpad((F.col("l_partkey") % 50).cast("string"), 4, "0"), F.lit("0"), F.col("l_linenumber").cast("string"))
+    number = over_pages.laid_out(li.select((F.col("l_suppkey") % 5).alias("doc"), code.alias("code"), "l_orderkey"), ["doc"], ["l_orderkey", "code"])
+    rows = over_pages.running(number, ["doc"], {"i": ("count", None)})
+    text = F.concat(F.lit("生 "), F.col("code"), F.lit(" 取"))
+    cut = F.when(F.col("i") % 5 == 0, F.array(F.substring(text, 1, 5), F.substring(text, 6, 99))).otherwise(F.array(text))
+    page = F.floor((F.col("i") - 1) / 5) + 1
+    lines = rows.select("doc", page.alias("page"), (F.col("i") * 2).alias("line"), F.posexplode(cut).alias("part", "text"))
+    return over_pages.roster_counts(lines.select("doc", (F.col("page") + F.col("part")).alias("page"), (F.col("line") + F.col("part")).alias("line"), "text"))
