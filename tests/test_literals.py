@@ -326,8 +326,12 @@ def test_views(spark):
 
     assert views.render_page("a\n[[TABLE:2]]\n\n b [[TABLE:9]]", {1: "t1", 2: "x | y\nz"}) == "a\nx | y\nz\nb\nt1"
     deep = '{"a":[{"b":{"program_id":"p","score_lines":[{"scope":"college","year":2026,"total":300,"politics":50,"source":{"doc_id":"d"}}],"directions":[{"code":"01","advisors":""},{"code":"02","advisors":"x"}]}}]}'
-    assert [(f["table"], f["kind"], f["field"], f["value"], f["source"]) for f in views.facts_in(deep)] == [("score_lines", "college", "total", "300", "d"), ("score_lines", "college", "politics", "50", "d"), ("directions", "02", "total", "x", None)]
-    assert views.facts_in("no") == views.facts_in(None) == []
+    odd = '[{"program_id":7,"plans":[{"kind":"tm","value":null,"year":"soon"}],"lines":[{"x":{"program_id":"q","plans":[{"value":3,"year":2025}]}}],"exam_subjects":[{"year":2026,"subjects":[{"slot":4,"code":"408"},{"code":"101"}]}]},{"plans":[{"value":1}]}]'
+    outputs = spark.createDataFrame([(1, deep), (2, odd), (3, "no"), (4, None), (5, deep)], "id int, output string")
+    got = sorted(((r.id, r.table, r.program_id, r.kind or "", r.year or 0, r.field, r.value or "", r.source or "") for r in views.tool_facts(outputs, "output").collect()), key=str)
+    own = [("directions", "p", "02", 0, "total", "x", ""), ("score_lines", "p", "college", 2026, "politics", "50", "d"), ("score_lines", "p", "college", 2026, "total", "300", "d")]
+    more = [("exam_subjects", "7", "slot4", 2026, "total", "408", ""), ("exam_subjects", "7", "slotNone", 2026, "total", "101", ""), ("plans", "7", "tm", 0, "total", "", ""), ("plans", "q", "", 2025, "total", "3", "")]
+    assert got == sorted([(i, *f) for i in (1, 5) for f in own] + [(2, *f) for f in more], key=str)
     df = spark.createDataFrame([("x" * 50, None)], "a string, b string")
     assert [r.j for r in df.select(views.slim_json(["a", "b"], 10).alias("j")).collect()] == ['{"a":"xxxx…[截断]']
 
