@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.session import scratch, table
-from ledgerloom.sources import files, html
+from ledgerloom.sources import content, files, html
 from ledgerloom.sources.sinks import VersionedTable
-from ledgerloom.streaming import jobs
+from ledgerloom.streaming import jobs, listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,3 +125,49 @@ s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, number""")
 def stream_sessions(spark, sf):
     return _stream(spark, sf, jobs.sessions, "sessions", "complete").select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+@query("""SELECT DISTINCT 's' || page_id % 3 AS folder, substr(sha256(html), 1, 12) || '_' || 'page_' || page_id % 40 || '.html' AS name, strlen(html) AS bytes FROM pages WHERE html IS NOT NULL""")
+def saved_files(spark, sf):
+    """SNK-14: pages saved twice as files named by their content, and found again; equal names keep apart what differs."""
+    root = scratch(spark, "files")
+    rows = table(spark, sf, "pages").select(F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("folder"), F.concat(F.lit("page "), (F.col("page_id") % 40).cast("string"), F.lit(".html")).alias("name"), F.col("html").alias("content"))
+    content.save_files(rows, root, folder="folder")
+    content.save_files(rows, root, folder="folder")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return there.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+
+
+@query("""WITH e AS (SELECT 's' || page_id % 3 AS school, CAST(page_id % 9 AS INTEGER) AS page, page_id, 'k' || page_id % 20 AS key, CAST(length(html) % 2 AS VARCHAR) AS digest FROM pages),
+b AS (SELECT *, lag(digest) OVER (PARTITION BY school, key ORDER BY page, page_id) AS before FROM e)
+SELECT school, page, key, CAST(page_id AS VARCHAR) AS title, CASE WHEN before IS NULL THEN 'new' WHEN before = digest THEN 'same' ELSE 'changed' END AS status FROM b""")
+def incremental_run(spark, sf):
+    """STM-01: list pages of three schools, two of each taken a run; every entry against what is known of its key."""
+    lists, target, state = scratch(spark, "lists"), scratch(spark, "seen"), scratch(spark, "run")
+    p = table(spark, sf, "pages")
+    rows = p.select(F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("school"), (F.col("page_id") % 9).cast("int").alias("page"), F.col("page_id").alias("position"), F.concat(F.lit("k"), (F.col("page_id") % 20).cast("string")).alias("key"), F.col("page_id").cast("string").alias("title"), (F.length("html") % 2).cast("string").alias("digest"))
+    listing.listed(rows, lists)
+    while not listing.dry_run(spark, lists, state, 2).isEmpty():
+        listing.run(spark, lists, target, state, 2)
+    return spark.read.schema(listing.SEEN).parquet(target).select("school", "page", "key", "title", "status")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE CAST(c_nationkey AS INTEGER) END AS page, c_custkey % 2 = 0 AS old FROM customer""")
+def schema_growth(spark, sf):
+    """SNK-05: rows from before two columns were added, and rows from after it."""
+    target, c = VersionedTable(spark, scratch(spark, "grown")), table(spark, sf, "customer")
+    target.replace(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name"), F.lit(True).alias("old")))
+    for _ in range(2):
+        target.declare("id bigint, name string, page int", {"page": 1})
+    target.append(c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name"), F.col("c_nationkey").cast("int").alias("page"), F.lit(False).alias("old")))
+    return target.read()
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey AS turn FROM orders")
+def numbered_turns(spark, sf):
+    """SNK-09: turns numbered on in their order, in three appends, by range partitions."""
+    target, o = VersionedTable(spark, scratch(spark, "turns")), table(spark, sf, "orders")
+    year = F.year("o_orderdate")
+    for part in (year < 1995, year == 1995, year > 1995):
+        target.append_numbered(o.where(part).select(F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("turn")), ["day", "turn"])
+    return target.read().select("id", "turn")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Columns that every fact carries beside its own.
 PROVENANCE = "id long, definition string, source string, source_page int, method string, verified boolean, evidence string"
@@ -33,6 +34,29 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns])
 
 
+#: What a type may become without loss.
+WIDER = {"tinyint": ("smallint", "int", "bigint"), "smallint": ("int", "bigint"), "int": ("bigint", "double"), "float": ("double",), "date": ("timestamp",)}
+
+
+def difference(stored: StructType | None, declared: str) -> dict[str, list]:
+    """SNK-05: how a stored schema differs from a declared one (DDL): names added, widened (name, from, to) and kept though not declared. A type that would
+    lose something is an error."""
+    wanted = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(declared)}
+    there = {f.name: f.dataType.simpleString() for f in stored or ()}
+    changed = [(c, there[c], t) for c, t in wanted.items() if c in there and there[c] != t]
+    if lost := [x for x in changed if x[2] not in WIDER.get(x[1], ())]:
+        raise TypeError(f"types cannot change so: {lost}")
+    return {"added": [c for c in wanted if c not in there], "widened": changed, "kept": [c for c in there if c not in wanted]}
+
+
+def evolved(df: DataFrame, declared: str, defaults: dict | None = None) -> DataFrame:
+    """``df`` with the declared columns first: missing ones have their default, narrower types are cast; other columns stay."""
+    changes = difference(df.schema, declared)
+    fields = StructType.fromDDL(declared)
+    own = [(F.col(f"`{f.name}`") if f.name not in changes["added"] else F.lit((defaults or {}).get(f.name))).cast(f.dataType).alias(f.name) for f in fields]
+    return df.select(*own, *[f"`{c}`" for c in changes["kept"]])
+
+
 def violations(df: DataFrame, name: str) -> DataFrame:
     """Rows that break a rule of the table, with the rule; duplicates of a key once for each key."""
     rules: list[tuple[str, Column]] = [(f"{c} not allowed", ~F.col(c).isin(*values)) for (t, c), values in ALLOWED.items() if t == name]

@@ -11,9 +11,12 @@ from collections.abc import Callable, Sequence
 from xml.sax.saxutils import escape
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.scans import laid_out, running
+from ledgerloom.schema import difference, evolved
+
 
 class VersionedTable:
     """All or nothing: readers see the version that the newest pointer names, which is made after its files are complete. Pointers are
@@ -28,9 +31,9 @@ class VersionedTable:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self) -> list[tuple[int, str]]:
+    def _versions(self, kind: str = "_versions") -> list[tuple[int, str]]:
         """Numbers and versions; a pointer that is still being written does not count."""
-        fs, folder = self._fs(f"{self.root}/_versions")
+        fs, folder = self._fs(f"{self.root}/{kind}")
         if not fs.exists(folder):
             return []
         out = []
@@ -52,11 +55,38 @@ class VersionedTable:
         version = self.current()
         if version is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/{version}")
+        return self._evolved(self.spark.read.parquet(f"{self.root}/{version}"))
+
+    def declared(self) -> dict | None:
+        """The newest declared schema: columns and the defaults of those added."""
+        found = self._versions("_schemas")
+        return json.loads(found[-1][1]) if found else None
+
+    def _evolved(self, df: DataFrame) -> DataFrame:
+        own = self.declared()
+        return evolved(df, own["columns"], own["defaults"]) if own else df
+
+    def declare(self, columns: str, defaults: dict | None = None, tries: int = 20) -> list[str]:
+        """SNK-05: from now on the table has these columns (DDL): added ones are read as their default (else NULL) from files that lack them, and are
+        written by the next change; columns that are not declared stay; types may only widen. Nothing is rewritten, and what is
+        declared already changes nothing. The names of what was added."""
+        for _ in range(tries):
+            found = self._versions("_schemas")
+            own = json.loads(found[-1][1]) if found else {"columns": "", "defaults": {}}
+            now = self.read("_none int") if self.current() else None
+            changes = difference(now.schema if now is not None else None, columns)
+            if found and not changes["added"] and not changes["widened"]:
+                return []
+            both = own["defaults"] | (defaults or {})
+            fs, folder = self._fs(f"{self.root}/_schemas")
+            fs.mkdirs(folder)
+            if self._publish(found[-1][0] + 1 if found else 0, json.dumps({"columns": columns, "defaults": both}), "_schemas"):
+                return changes["added"]
+        raise RuntimeError(f"{self.root}: other writers were first {tries} times")
 
-    def _publish(self, number: int, version: str) -> bool:
+    def _publish(self, number: int, version: str, kind: str = "_versions") -> bool:
         """Whether the pointer of this number is ours."""
-        fs, pointer = self._fs(f"{self.root}/_versions/{number:08d}")
+        fs, pointer = self._fs(f"{self.root}/{kind}/{number:08d}")
         try:
             out = fs.create(pointer, False)
         except Py4JJavaError as e:
@@ -73,7 +103,7 @@ class VersionedTable:
         for _ in range(tries):
             versions = self._versions()
             number, version = (versions[-1][0] + 1 if versions else 0), f"v-{uuid.uuid4().hex}"
-            df = make(self.spark.read.parquet(f"{self.root}/{versions[-1][1]}") if versions else None)
+            df = make(self._evolved(self.spark.read.parquet(f"{self.root}/{versions[-1][1]}")) if versions else None)
             if df is None:
                 return
             df.write.parquet(f"{self.root}/{version}")
@@ -92,8 +122,10 @@ class VersionedTable:
         self.change(lambda now: rows if now is None else now.unionByName(rows, allowMissingColumns=True))
 
     def append_numbered(self, rows: DataFrame, order: Sequence[str], id_column: str = "id") -> None:
-        """SNK-09: rows get ids that go on from the table's highest, in ``order``."""
-        numbered = rows.withColumn(id_column, F.row_number().over(Window.orderBy(*order)).cast("long"))
+        """SNK-09: rows get ids that go on from the table's highest, in ``order``: numbered by range partitions, so no
+        task holds all rows."""
+        own = running(laid_out(rows.drop(id_column), [], order), [], {id_column: ("count", None)}).drop("part", "place")
+        numbered = own.select(*rows.columns, *([id_column] if id_column not in rows.columns else []))
 
         def make(now: DataFrame | None) -> DataFrame:
             if now is None:
@@ -194,8 +226,10 @@ def workbook(rows: Sequence, title: str = "Sheet1") -> bytes:
 
 
 def upsert_vectors(table: VersionedTable, rows: DataFrame, metadata: Sequence[str] = ()) -> None:
-    """SNK-11: vectors (vec_id, embedding) of length one with what they have of the metadata as JSON, by id; null and zero vectors are left out."""
+    """SNK-11: vectors (vec_id, embedding) of length one with what they have of the metadata as JSON, by id; null and zero vectors are left out, of
+    several with one id the largest stays."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = F.transform("embedding", lambda x: (x / F.col("_norm")).cast("float"))
     own = rows.withColumn("_norm", norm).where("_norm > 0").select("vec_id", unit.alias("embedding"), F.to_json(F.struct(*metadata) if metadata else F.create_map()).alias("metadata"))
-    table.upsert(own.dropDuplicates(["vec_id"]), ["vec_id"])
+    row = F.struct("embedding", "metadata")
+    table.upsert(own.groupBy("vec_id").agg(F.max(row).alias("_row")).select("vec_id", "_row.*"), ["vec_id"])
