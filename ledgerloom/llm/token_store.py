@@ -2,8 +2,11 @@
 
 A block is ``HEADER | doc_ids | n_tokens | frame ends | frames``, all little-endian: the header holds a magic string, the
 sha256 of the dictionary, the numbers of documents, the width of an id and the block's place; a document's
-frame is found by its index entry alone and decompressed by itself. Blocks hold ascending doc_ids (nulls first); blocks
-are cells of a Parquet table, written by Spark to the shared folder, so any store that Spark reaches will do.
+frame is found by its index entry alone and decompressed by itself. Blocks hold ascending doc_ids (nulls first).
+
+A store is a folder with two Parquet tables, so any store that Spark reaches will do: ``dictionary`` (one row: its sha256 and its bytes) and ``blocks``
+(each with the first and last doc_id in it, so that a document's block is found by Parquet's statistics). It holds all that a reader
+needs: another process opens it with ``open_store``, or with pyarrow and ``BlockReader`` alone.
 
 Defined results: a null or empty text has the end id alone; repeated rows and doc_ids are all written, equal doc_ids side by
 side; an empty table gives an empty result; other columns are ignored.
@@ -20,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import scratch
+
 from .chunks import encoder
 from .common import id_and_text, materialize, sample_texts, slices
 
@@ -30,7 +35,8 @@ MAGIC = b"LLTOKEN1"
 #: magic, dictionary's sha256, documents, bytes of an id, 1 if the first doc_id is null for `nulls` documents
 HEADER = struct.Struct("<8s32sIII")
 FRAMES = "doc_id long, n_tokens long, frame binary"
-BLOCKS = "shard int, number int, first_token long, n_tokens long, block binary"
+BLOCKS = "shard int, number int, first_token long, n_tokens long, first_id long, last_id long, block binary"
+DICTIONARY = "sha256 string, dictionary binary"
 ENTRIES = "shard int, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long"
 
 
@@ -104,11 +110,13 @@ class BlockReader:
         return np.frombuffer(self.library.decompress(frame), self.kind)
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, sample: int = 1000, sample_chars: int = 16_384) -> tuple[DataFrame, bytes]:
-    """The written blocks, in shards of ascending doc_id ranges, and the dictionary."""
+def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, block_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, sample: int = 1000, sample_chars: int = 16_384) -> None:
+    """Writes the store to ``path``, a new folder: the dictionary, then blocks in shards of ascending doc_id ranges."""
+    spark = docs.sparkSession
     docs = id_and_text(docs)
     kind = id_type(tokenizer)
     raw = train_dictionary(docs, tokenizer, end_id, kind, dictionary_bytes, sample, sample_chars)
+    spark.createDataFrame([(hashlib.sha256(raw).hexdigest(), raw)], DICTIONARY).coalesce(1).write.parquet(f"{path}/dictionary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, library = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=3, **_dictionary(raw))
@@ -125,7 +133,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_bytes:
 
         def block() -> pa.RecordBatch:
             nonlocal number, first, n
-            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (number, pa.int32()), (first, pa.int64()), (n, pa.int64()), (writer.take(), pa.binary()))], names=["shard", "number", "first_token", "n_tokens", "block"])
+            ids = [writer.rows[0][0], writer.rows[-1][0]]
+            cells = ((shard, pa.int32()), (number, pa.int32()), *((x, pa.int64()) for x in (first, n, *ids)), (writer.take(), pa.binary()))
+            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=["shard", "number", "first_token", "n_tokens", "first_id", "last_id", "block"])
             number, first, n = number + 1, first + n, 0
             return out
 
@@ -144,7 +154,29 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, block_bytes:
     # The row's place in the written table splits many rows of one doc_id over shards.
     order = F.col("doc_id").asc_nulls_first(), F.col("place").asc()
     ordered = frames.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    return materialize(ordered.drop("place").mapInArrow(write, BLOCKS), "blocks"), raw
+    ordered.drop("place").mapInArrow(write, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+
+
+def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    """The blocks of a store and its dictionary."""
+    row = spark.read.schema(DICTIONARY).parquet(f"{path}/dictionary").first()
+    raw = bytes(row.dictionary)
+    if hashlib.sha256(raw).hexdigest() != row.sha256:
+        raise ValueError("the dictionary is damaged")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), raw
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
+    """The ids of the documents with this doc_id (as many as repeat it): their blocks alone are read, of these their frames alone decompressed."""
+    blocks, raw = open_store(spark, path)
+    out = []
+    for row in blocks.where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id)).orderBy("shard", "number").select("block").toLocalIterator():
+        reader = BlockReader(bytes(row.block), raw)
+        i = reader.find(doc_id)
+        while 0 <= i < len(reader) and reader.doc_id(i) == doc_id:
+            out.append(reader.ids(i).tolist())
+            i += 1
+    return out
 
 
 def read_index(blocks: DataFrame, dictionary: bytes) -> DataFrame:
@@ -170,6 +202,8 @@ def read_index(blocks: DataFrame, dictionary: bytes) -> DataFrame:
     return entries.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def store_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Writes all documents' ids in ascending doc_id order and reads the written blocks back."""
-    return read_index(*write_blocks(docs, tokenizer, end_id))
+def store_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+    """Writes all documents' ids in ascending doc_id order to ``path`` (by default a scratch folder, gone with the driver), and reads them back from there."""
+    path = path or scratch(docs.sparkSession, "store")
+    write_store(docs, tokenizer, path, end_id)
+    return read_index(*open_store(docs.sparkSession, path))

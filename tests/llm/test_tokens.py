@@ -1,6 +1,9 @@
 """Token operators against the libraries themselves."""
 
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import packing, token_counts, token_store
 
+ROOT = str(Path(__file__).resolve().parents[2])
 ODD = ["", None, " ", "   ", "a", "a  b", " a\n \nb ", "x\n", "\n\n x", "foo <|endoftext|> bar <s>", "naïve ŠIŠ İI ﬁ ǅ", "don't it's WE'LL 123 4567", "▁a ▁▁b", "\t\ta  b　c", "é é", "word" * 3000, "日本語 テキスト 🙂🙂", "a" * 5000, "same text", "same text", "\x00 \x1f x"]
 SCHEMA = "doc_id long, text string, length int, n_tokens string"
 
@@ -96,10 +100,12 @@ def test_store_round_trip(spark, sf, odd):
         assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want and len(got) == len(want)
 
 
-def test_store_reads_one_document(spark, sf):
+def test_store_reads_one_document(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = encoded(docs, "byte_bpe_50k.json")
-    blocks, raw = token_store.write_blocks(docs, P.path("byte_bpe_50k.json"), block_bytes=20_000)
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs, P.path("byte_bpe_50k.json"), path, block_bytes=20_000)
+    blocks, raw = token_store.open_store(spark, path)
     assert raw and blocks.count() > 4
     block = blocks.where(F.col("number") == 1).first().block
     reader = token_store.BlockReader(bytes(block), raw)
@@ -107,6 +113,20 @@ def test_store_reads_one_document(spark, sf):
     assert i == 3 and reader.ids(i).tolist() == want[reader.doc_id(3)] and reader.find(-5) == -1
     with pytest.raises(ValueError):
         token_store.BlockReader(bytes(block), b"other")
+    assert [token_store.read_document(spark, path, i) for i in (0, 150, -1)] == [[list(want[0])], [list(want[150])], []]
+    # Another process, without Spark, reads the folder alone.
+    code = f"""
+import glob, pyarrow.parquet as pq, sys
+sys.path.insert(0, {str(ROOT)!r})
+from ledgerloom.llm.token_store import BlockReader
+raw = pq.read_table(glob.glob({str(tmp_path)!r} + "/store/dictionary/*.parquet")[0])["dictionary"][0].as_py()
+for f in sorted(glob.glob({str(tmp_path)!r} + "/store/blocks/*.parquet")):
+    for block in pq.read_table(f)["block"].to_pylist():
+        reader = BlockReader(block, raw)
+        if (i := reader.find(77)) >= 0:
+            print(*reader.ids(i).tolist())
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split() == [str(x) for x in want[77]]
 
 
 def test_repeated_rows_and_long_texts(spark):
