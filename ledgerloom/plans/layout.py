@@ -1,4 +1,4 @@
-"""Queries on what pages look like: ruled tables, catalogues that run over pages."""
+"""Queries on what pages and questions look like: ruled tables, catalogues that run over pages, intents."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import over_pages, ruled
+from ledgerloom.operators import over_pages, questions, ruled
 from ledgerloom.operators.scans import written
 from ledgerloom.session import table
 
@@ -164,3 +164,21 @@ def roster_over_pages(spark, sf):
     page = F.floor((F.col("i") - 1) / 5) + 1
     lines = rows.select("doc", page.alias("page"), (F.col("i") * 2).alias("line"), F.posexplode(cut).alias("part", "text"))
     return over_pages.roster_counts(lines.select("doc", (F.col("page") + F.col("part")).alias("page"), (F.col("line") + F.col("part")).alias("line"), "text"))
+
+
+@query("""WITH q AS (SELECT p_partkey AS id, p_partkey % 5 AS a, p_partkey % 7 % 4 AS b, p_partkey % 3 = 0 AS f, p_size AS n, p_partkey % 4 AS y, p_partkey % 11 = 0 AS l FROM part)
+SELECT id, CASE a WHEN 0 THEN 'sysu' WHEN 1 THEN 'scut,jnu' WHEN 2 THEN 'scnu' ELSE '' END AS schools, CASE WHEN b = 0 THEN '08' || lpad(CAST(n AS VARCHAR), 2, '0') || 'Z1' ELSE '' END AS codes,
+  CASE WHEN b = 1 THEN '08' || lpad(CAST(n AS VARCHAR), 2, '0') ELSE '' END AS prefixes, CASE WHEN a = 0 THEN '软件学院' ELSE '' END AS colleges, CASE WHEN y > 0 THEN CAST(2022 + y AS INTEGER) END AS year,
+  CASE WHEN b = 0 THEN 'score_line' WHEN b = 1 OR l THEN 'plan' ELSE '' END || CASE WHEN b = 0 AND l THEN ',plan' ELSE '' END || CASE WHEN f THEN CASE WHEN b < 2 OR l THEN ',' ELSE '' END || 'filter' ELSE '' END
+    || CASE WHEN NOT f AND l THEN ',filter' ELSE '' END || CASE WHEN b > 1 AND NOT f AND NOT l THEN 'narrative' ELSE '' END AS kinds, CASE WHEN l THEN CAST(n + 1 AS INTEGER) END AS least FROM q""")
+def question_intents(spark, sf):
+    """FLT-12, STR-11: questions put together from schools, codes, years and words."""
+    k, n = F.col("p_partkey"), F.lpad(F.col("p_size").cast("string"), 2, "0")
+    school = F.when(k % 5 == 0, "请问中山大学的软件学院").when(k % 5 == 1, "SCUT与暨大").when(k % 5 == 2, "scnu ").when(k % 5 == 3, "SCUTX ").otherwise("")
+    word = F.when(k % 7 % 4 == 0, F.concat(F.lit(" 08"), n, F.lit("Z1复试线"))).when(k % 7 % 4 == 1, F.concat(F.lit(" 08"), n, F.lit(" 名额"))).otherwise("天气")
+    year = F.when(k % 4 > 0, F.concat((2022 + k % 4).cast("string"), F.lit("年"))).otherwise("")
+    least = F.when(k % 11 == 0, F.concat(F.lit("统招大于"), F.col("p_size").cast("string"), F.lit("的"))).otherwise("")
+    asked = table(spark, sf, "part").select(k.alias("id"), F.concat(school, word, F.lit("，"), year, F.when(k % 3 == 0, "哪些").otherwise(""), least).alias("q"))
+    found = questions.intents(asked, "q").select("id", "intent.*")
+    joined = [F.array_join(c, ",").alias(c) for c in ("schools", "codes", "prefixes", "colleges")]
+    return found.select("id", *joined, "year", F.array_join("kinds", ",").alias("kinds"), F.col("filters.min_public_plan").alias("least"))
