@@ -106,7 +106,7 @@ def title_alerts(fresh: DataFrame, known: DataFrame) -> DataFrame:
     titles on recommended students are none."""
     year, word = F.regexp_extract("title", NEW_YEAR, 1), F.regexp_extract("title", NEW_YEAR, 2)
     rows = fresh.where((year != "") & ~F.col("title").contains("推免")).select("title", "url", year.cast("int").alias("year"), F.when(word == "专业目录", "catalog").otherwise("brochure").alias("doc_type"))
-    latest = known.groupBy("doc_type").agg(F.max("year").alias("latest_known"))
+    latest = known.where(F.col("doc_type").isin("catalog", "brochure")).groupBy("doc_type").agg(F.max("year").alias("latest_known"))  # two rows
     joined = rows.join(F.broadcast(latest), "doc_type", "left").where(F.col("latest_known").isNull() | (F.col("year") > F.col("latest_known")))
     return joined.select(F.concat(F.lit("new_"), "doc_type").alias("kind"), "title", "url", "year", "latest_known")
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 
+from .scans import written
+
 
 def chunks(docs: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
     """WIN-07, DOC-01: pieces of ``size`` characters every ``size - overlap`` until one reaches the end; a text that fits is one
@@ -34,20 +36,19 @@ def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return split.select(key, "length", F.explode("words").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame, key: str, query: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(index: DataFrame, docs: DataFrame, queries: DataFrame, key: str, query: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """RET-01: Okapi scores of all documents that share a term with a query; repeated query terms count again; a negative
-    idf becomes epsilon times the mean idf. Statistics are over all documents. The index is read twice: give a written one."""
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    idf becomes epsilon times the mean idf. Statistics are over all of ``docs``, those without terms too. The index is read twice (give a written
+    one): for a table of its terms, and for the asked ones. What is asked is a table as well; Spark broadcasts it as long as it is small."""
+    terms = written(index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")), "terms")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    stats = terms.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).agg(F.max("n").alias("n"), F.try_divide(F.sum("total"), F.max("n")).alias("mean_length"), F.avg(raw).alias("mean"))
     wanted = queries.select(query, T.tokens(F.col(text)).alias("words")).select(query, F.explode("words").alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = wanted.select("term").distinct().withColumn("asked", F.lit(True))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
-    raw = df.select("term", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).join(asked, "term", "left")
-    # One pass over the vocabulary: its mean, and the terms that are asked for (as many as the queries have).
-    found = raw.agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw", "mean_length"))).alias("terms"))
-    idf = found.select("mean", F.inline("terms")).select("term", "mean_length", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    scored = index.join(idf, "term").join(wanted, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return scored.groupBy(query, key).agg(F.sum(part).alias("score"))
+    known = wanted.join(terms, "term").join(F.broadcast(stats))  # one row
+    idf = F.when(raw < 0, epsilon * F.col("mean")).otherwise(raw)
+    weighted = known.select(query, "term", "mean_length", (F.col("times") * idf * (k1 + 1)).alias("weight"))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    return index.join(weighted, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -83,32 +83,44 @@ class Agent:
     rows: int = 50
     log: list[tuple[str, dict, int]] = field(default_factory=list)
 
-    def act(self, step: str, arguments: dict) -> list[str]:
+    def act(self, step: str, arguments: dict) -> tuple[list[str], list[str]]:
+        """What is shown of a step's rows, and what of them counts as evidence: values, but not names of columns or ids."""
         try:
-            found = [str(r.asDict()) for r in self.tools[step](**arguments).limit(self.rows).collect()]
+            rows = [r.asDict(True) for r in self.tools[step](**arguments).limit(self.rows).collect()]
         except Exception as e:  # noqa: BLE001 a tool's failure is a result
-            found = [f"{step} failed: {type(e).__name__}"]
-        self.log.append((step, arguments, len(found)))
-        return found
+            self.log.append((step, arguments, 0))
+            return [f"{step} failed: {type(e).__name__}"], []
+        self.log.append((step, arguments, len(rows)))
+        told = lambda row: ", ".join(f"{k}: {v}" for k, v in row.items() if v is not None)
+        return [told(r) for r in rows], [str(v) for r in rows for k, v in r.items() if v is not None and k != "id" and not k.endswith("_id")]
 
     def answer(self, question: str, asked: dict) -> dict:
+        """AGT-04: a model's numbers must be among the evidence: it is asked once more if not, then what is left gives way to a mark. What was
+        asked for by year or code and has no evidence is said."""
+        shown: list[str] = []
         evidence: list[str] = []
-        for step, arguments in calls(asked)[: min(max(self.max_calls, 1), 10)]:
+        steps = calls(asked)
+        for step, arguments in steps[: min(max(self.max_calls, 1), 10)]:
             if step == "refuse":
-                return {"answer": "Personal data is not given.", "evidence": [], "removed": []}
+                return {"answer": "Personal data is not given.", "evidence": [], "removed": [], "asked_again": False}
             if step in self.tools:
-                evidence += self.act(step, arguments)
-        if not evidence and "retrieve" in self.tools:
-            evidence += self.act("retrieve", {"query": question})
-        text = self.model(question + "\n" + "\n".join(evidence)) if self.model else "\n".join(evidence) or "Nothing found."
-        shown = "\n".join(evidence)
-        if self.model and strip_unsupported(text, shown)[1]:  # one more try, told what was wrong
-            text = self.model(f"{question}\n{shown}\nUse no numbers but those above.")
-        answer, removed = strip_unsupported(text, shown)
-        asked_year = asked.get("year")
-        if asked_year and shown and str(asked_year) not in shown:
-            answer += f"\nNothing was found for {asked_year}."
-        return {"answer": answer, "evidence": evidence, "removed": removed}
+                rows, values = self.act(step, arguments)
+                shown, evidence = shown + rows, evidence + values
+        if not evidence and "retrieve" in self.tools and all(step != "retrieve" for step, _ in steps):
+            rows, values = self.act("retrieve", {"query": question})
+            shown, evidence = shown + rows, evidence + values
+        facts, again = "\n".join(evidence), False
+        if not evidence or not self.model:
+            text = "\n".join(shown) or "Nothing found."
+        else:
+            text = self.model("\n".join([question, *shown]))
+            if strip_unsupported(text, facts)[1]:
+                text, again = self.model("\n".join([question, *shown, "Use no numbers but those above."])), True
+        answer, removed = strip_unsupported(text, facts) if self.model and evidence else (text, [])
+        wanted = [str(asked["year"])] if asked.get("year") else []
+        for missing in [w for w in [*wanted, *(asked.get("codes") or [])] if evidence and w not in facts]:
+            answer += f"\nNothing was found for {missing}."
+        return {"answer": answer, "evidence": shown, "removed": removed, "asked_again": again}
 
 
 def no_filter(**arguments):

@@ -214,21 +214,23 @@ def bm25_stats(spark, sf):
     return df.join(F.broadcast(d.agg(F.count(F.lit(1)).alias("n")))).select("term", "df", "n")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, sf):
-    """The inverted index of all documents, written once: texts are read and split one time only."""
-    path = scratch(spark, "index")
+    """The inverted index of all documents, written once for each session and folder: texts are read and split one time only."""
+    own = (spark.sparkContext.applicationId, sf)
     index = retrieval.term_table(table(spark, sf, "documents"), "doc_id", "text")
-    index.write.parquet(path)
-    return spark.read.schema(index.schema).parquet(path)
+    if own not in _indexes:
+        path = scratch(spark, "index")
+        index.write.parquet(path)
+        _indexes[own] = path
+    return spark.read.schema(index.schema).parquet(_indexes[own])
 
 
 def _bm25(spark, sf):
-    d, index = table(spark, sf, "documents"), _index(spark, sf)
-    # A document without terms has no row in the index, but counts in the mean length.
-    lengths = index.groupBy("doc_id").agg(F.max("length").alias("length"))
-    lengths = d.select("doc_id").join(lengths, "doc_id", "left").na.fill(0, ["length"])
-    scored = retrieval.bm25(index, lengths, table(spark, sf, "benchmark"), "doc_id", "item_id", "text").withColumn("score", F.round("score", 6)).where("score > 0")
-    return windows.top_per_group(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    scored = retrieval.bm25(_index(spark, sf), table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", "text")
+    return windows.top_per_group(scored.withColumn("score", F.round("score", 6)).where("score > 0"), ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
 
 
 @query(with_(TERMS) + "SELECT item_id, doc_id, rank, CAST(round(score * 1000) AS BIGINT) AS score FROM ranked WHERE rank <= 10")

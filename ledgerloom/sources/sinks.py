@@ -176,9 +176,11 @@ class VersionedTable:
         return n
 
 
-def markdown_table(rows: DataFrame) -> str:
-    """SNK-06, SNK-13: a report's rows (a report is small by nature) as a Markdown table."""
-    found = rows.collect()
+def markdown_table(rows: DataFrame, most: int = 10_000) -> str:
+    """SNK-06, SNK-13: a report's rows as a Markdown table; more than ``most`` are no report but an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has at most {most} rows")
     if not found:
         return "No rows.\n"
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")

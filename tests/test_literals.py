@@ -249,6 +249,27 @@ def test_intents(spark):
     assert agent.Agent(tools).answer("q", {})["evidence"] == ["retrieve failed: ZeroDivisionError"] and "error" in agent.validated(year=1)
 
 
+def test_answers_keep_to_the_evidence(spark):
+    from ledgerloom.plans import agent
+
+    tools = {"lines": lambda **a: spark.createDataFrame([(77, 379, "国家线")], "program_id int, line_408 int, note string"), "plans": lambda **a: spark.createDataFrame([], "value int"), "retrieve": lambda **a: spark.createDataFrame([("text 55",)], "text string")}
+    said = []
+
+    def model(text):
+        said.append(text)
+        return "379" if "Use no numbers" in text else "379 or 408 or 77"
+
+    told = agent.Agent(tools, model=model).answer("q", {"lines": True, "codes": ["081200"]})
+    # A column's name and an id are no evidence; the second answer stands.
+    assert told["asked_again"] and len(said) == 2 and told["removed"] == [] and told["answer"] == "379\nNothing was found for 081200."
+    stubborn = agent.Agent(tools, model=lambda text: "77").answer("q", {"lines": True})
+    assert stubborn["removed"] == ["77"] and stubborn["answer"] == agent.MARKER
+    found = agent.Agent(tools, model=lambda text: "55").answer("q", {"plans": True})  # nothing structured: the text is searched
+    assert found["answer"] == "55" and found["evidence"] == ["text: text 55"] and not found["asked_again"]
+    assert agent.Agent({"plans": tools["plans"]}, model=model).answer("q", {"plans": True})["answer"] == "Nothing found."
+    assert agent.Agent(tools).answer("q", {"private": True})["answer"].startswith("Personal data")
+
+
 def test_extraction(spark):
     from ledgerloom.operators import documents as D
 
@@ -430,6 +451,15 @@ def test_politeness(spark):
     assert {tuple(r) for r in crawl.job_states(events).collect()} == {("a", "done", 2), ("b", None, 1), ("c", "error", 1)}
 
 
+def test_plan_tables():
+    from ledgerloom.operators import documents as D
+
+    rows = [["学院", "专业代码", "招生人数"], ["软件", "081200", "48(17)"], ["", "", "≤3"], ["短", "083500"], ["x", "085400", "待定"]]
+    assert [x[:4] for x in D.plan_table(rows)] == [("catalog", "081200", 48, False), ("quota", "081200", 17, False), ("catalog", "081200", 3, True)]
+    own = [[*rows[0], "推免人数"], ["软件", "081200", "48（17）", "16"]]
+    assert [x[:3] for x in D.plan_table(own)] == [("catalog", "081200", 48), ("quota", "081200", 16)]
+
+
 def test_table_blocks():
     from ledgerloom.operators import documents as D
 
