@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import over_pages, questions, ruled
+from ledgerloom.operators import blocks, over_pages, questions, ruled
 from ledgerloom.operators.scans import written
 from ledgerloom.session import table
 
@@ -182,3 +182,23 @@ def question_intents(spark, sf):
     found = questions.intents(asked, "q").select("id", "intent.*")
     joined = [F.array_join(c, ",").alias(c) for c in ("schools", "codes", "prefixes", "colleges")]
     return found.select("id", *joined, "year", F.array_join("kinds", ",").alias("kinds"), F.col("filters.min_public_plan").alias("least"))
+
+
+@query("WITH " + _PAGED + """,
+r AS (SELECT *, pos // 700 AS t, CASE WHEN opens AND o % 9 = 0 THEN lpad(CAST(o % 1000 AS VARCHAR), 3, '0') || ' 学院' END AS c, CASE WHEN opens AND o % 9 > 0 THEN lpad(CAST(o % 10000 AS VARCHAR), 4, '0') || 'A1 专业' WHEN opens THEN '' END AS g FROM p),
+u AS (SELECT *, last_value(c IGNORE NULLS) OVER w AS college, last_value(g IGNORE NULLS) OVER w AS program FROM r WINDOW w AS (PARTITION BY doc, t ORDER BY pos, k ROWS UNBOUNDED PRECEDING))
+SELECT doc, t AS "table", 'row' || pos || ' | ' || q AS line, coalesce(college, '') AS college, coalesce(program, '') AS program FROM u WHERE NOT opens""")
+def table_text_blocks(spark, sf):
+    """DOC-02: every row of long tables stands in one block, under its own college and program."""
+    p = _paged(spark, sf)
+    college = F.concat(F.lpad((F.col("o") % 1000).cast("string"), 3, "0"), F.lit(" 学院"))
+    program = F.concat(F.lpad((F.col("o") % 10000).cast("string"), 4, "0"), F.lit("A1 专业"))
+    row = F.array(F.concat(F.lit("row"), F.col("pos").cast("string")), F.col("q").cast("string"))
+    values = F.when(F.col("opens") & (F.col("o") % 9 == 0), F.array(college)).when(F.col("opens"), F.array(program)).otherwise(row)
+    rows = p.select("doc", F.floor(F.col("pos") / 700).cast("long").alias("table"), F.struct("pos", "k").alias("row_"), values.alias("values"))
+    number = over_pages.running(over_pages.laid_out(rows, ["doc", "table"], ["row_"]), ["doc", "table"], {"row": ("count", None)})
+    found = blocks.table_blocks(number.select("doc", "table", "row", F.lit(2).alias("width"), F.lit("表：").alias("caption"), "values"), 120)
+    lines = F.split("text", "\n")
+    of = lambda pattern: F.coalesce(F.try_element_at(F.filter(F.slice(lines, 1, F.col("i") + 1), lambda x: x.rlike(pattern)), F.lit(-1)), F.lit(""))
+    each = found.select("doc", "table", "text", F.posexplode(lines).alias("i", "line")).where("line LIKE 'row%'")
+    return each.select("doc", "table", "line", of(blocks.COLLEGE_ROW).alias("college"), of(r"^\d{4}A1").alias("program"))

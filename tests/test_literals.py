@@ -458,16 +458,3 @@ def test_plan_tables():
     assert [x[:4] for x in D.plan_table(rows)] == [("catalog", "081200", 48, False), ("quota", "081200", 17, False), ("catalog", "081200", 3, True)]
     own = [[*rows[0], "推免人数"], ["软件", "081200", "48（17）", "16"]]
     assert [x[:3] for x in D.plan_table(own)] == [("catalog", "081200", 48), ("quota", "081200", 16)]
-
-
-def test_table_blocks():
-    from ledgerloom.operators import documents as D
-
-    rows = [["学院", "专业", "人数"], ["041信息学院", "041信息学院", "041信息学院"], ["085404 计算机技术", "085404 计算机技术", "085404 计算机技术"], *[[f"方向{i}", "全日制", str(i)] for i in range(30)], ["042文学院", "042文学院", "042文学院"], ["方向x", "全日制", "9"], ["", "", ""]]
-    assert D.header_span(rows) == (0, 1) and D.header_span([["1", "2"]]) == (0, 0)
-    blocks = D.grid_blocks(rows, "表一：", 120)
-    assert all(b.startswith("表一：\n学院 | 专业 | 人数\n") and len(b) <= 120 for b in blocks) and len(blocks) > 4
-    assert all("\n041信息学院\n" in b and "\n085404 计算机技术" in b for b in blocks[:-1])
-    assert blocks[-1] == "表一：\n学院 | 专业 | 人数\n042文学院\n方向x | 全日制 | 9"
-    assert [line for b in blocks for line in b.split("\n") if line.startswith("方向")] == [" | ".join(r) for r in rows if r[0].startswith("方向")]
-    assert D.grid_blocks([], "c", 10) == []

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from ledgerloom.operators import over_pages, scans
+from ledgerloom.operators import blocks, over_pages, scans
 
 
 @pytest.mark.parametrize("parts", [1, 3, 9])
@@ -121,3 +121,47 @@ def test_lists_over_pages(spark):
     pages = [(1, text[:4]), (2, text[4:7]), (3, text[7:])]  # 0854|00 is one code; 12|081200 is not
     df = spark.createDataFrame([("d", p, i, t) for p, lines in pages for i, t in enumerate(lines)] + [("e", 1, 0, None)], "doc string, page int, line int, text string")
     assert {(r.doc, r.code): r.people for r in over_pages.roster_counts(df).collect()} == {("d", "081200"): 2, ("d", "083500"): 1, ("d", "085400"): 1}
+
+
+def packed(rows, caption, size):
+    """Blocks of one table by a pass in order."""
+    label = lambda v: len({*v}) > 1 and not any(re.search(blocks.NUMERIC_CELL, x) or re.search(blocks.LEADING_CODE, x) for x in v)
+    at = next((i for i, (v, _) in enumerate(rows[:8]) if label(v)), None)
+    head = [] if at is None else [i for i in range(at, min(at + 3, len(rows))) if all(label(rows[j][0]) for j in range(at, i + 1))]
+    prefix = [x for x in (caption, *(" | ".join(rows[i][0]) for i in head)) if x]
+    out, body, n, college, program = [], [], 0, "", ""
+    for i, (values, width) in enumerate(rows):
+        line = " | ".join(values)
+        if not values or i in head or line in prefix[bool(caption) :]:
+            continue
+        group = len({*values}) <= max(2, width // 2)
+        is_college = group and re.search(blocks.COLLEGE_ROW, values[0])
+        is_program = group and not is_college and re.search(blocks.PROGRAM_ROW, values[0])
+        college, program = (line, "") if is_college else (college, line if is_program else program)
+        if n and (is_college or is_program and n + len(line) > size // 2 or len("\n".join(prefix)) + n + len(line) + 1 > size):
+            out.append("\n".join(prefix + body))
+            body, n = [], 0
+        if not body:
+            body = [x for x in (college, program) if x and x != line]
+            n = sum(len(x) + 1 for x in body)
+        body, n = [*body, line], n + len(line) + 1
+    return out + (["\n".join(prefix + body)] if body else [])
+
+
+@pytest.mark.parametrize("size", [60, 200])
+def test_table_blocks_equal_a_pass(spark, size):
+    rng, rows, want = random.Random(size), [], {}
+    for t in range(12):
+        own = []
+        for i in range(rng.choice([0, 3, 40])):
+            kind = rng.choice(["label", "college", "program", "row", "row", "row", "blank", "long"]) if i else "label"
+            own.append(({"label": ["学院", "专业", "人数"], "college": [f"04{i % 10}学院"], "program": [f"0854{i:02} 专业"], "row": [f"方向{i}", "全日制", str(i)], "blank": [], "long": ["x" * 150, "y", "z"]}[kind], 3))
+        caption = rng.choice(["", "表一："])
+        rows += [("d", t, i, w, caption, v) for i, (v, w) in enumerate(own)]
+        want[t] = packed(own, caption, size)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc string, `table` int, row int, width int, caption string, values array<string>")
+    got = {t: [] for t in want}
+    for r in sorted(blocks.table_blocks(df, size).collect(), key=lambda r: (r.section, r.number)):
+        got[r.table].append(r.text)
+    assert got == want
