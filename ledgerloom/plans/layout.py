@@ -91,7 +91,7 @@ def ruled_tables(spark, sf):
 
 
 _PAGED = """p AS (
-  SELECT l_suppkey % 3 AS doc, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1 AS opens,
+  SELECT l_suppkey % 3 AS doc, l_orderkey * 10 + l_linenumber AS pos, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1 AS opens,
          l_orderkey AS o, l_partkey AS k, l_returnflag AS f, CAST(l_quantity AS INTEGER) AS q FROM lineitem)"""
 
 
@@ -100,7 +100,7 @@ def _paged(spark, sf):
     from pyspark.sql import Window
 
     li = table(spark, sf, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return li.select(
         (F.col("l_suppkey") % 3).alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_linenumber").alias("n"), (F.row_number().over(order) == 1).alias("opens"),
         F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("int").alias("q"),
@@ -111,7 +111,7 @@ def _paged(spark, sf):
 r AS (
   SELECT *, CASE WHEN opens AND o % 9 = 0 THEN 'college' WHEN opens THEN 'program' ELSE 'direction' END AS kind,
          CASE WHEN opens AND o % 9 = 0 THEN lpad(CAST(o % 1000 AS VARCHAR), 3, '0') END AS new_college, CASE WHEN opens AND o % 9 > 0 THEN pos WHEN opens THEN -1 END AS new_block FROM p),
-u AS (SELECT *, last_value(new_college IGNORE NULLS) OVER w AS college, last_value(new_block IGNORE NULLS) OVER w AS block FROM r WINDOW w AS (PARTITION BY doc ORDER BY pos, k ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT *, last_value(new_college IGNORE NULLS) OVER w AS college, last_value(new_block IGNORE NULLS) OVER w AS block FROM r WINDOW w AS (PARTITION BY doc ORDER BY pos, k, NOT opens, q ROWS UNBOUNDED PRECEDING)),
 b AS (
   SELECT doc, block, max(college) AS college, max(CASE WHEN kind = 'program' THEN lpad(CAST(o % 10000 AS VARCHAR), 4, '0') || 'AB' END) AS code, max(CASE WHEN kind = 'program' THEN q END) AS q, max(CASE WHEN kind = 'program' THEN pos END) // 70 AS page,
          max(CASE WHEN kind = 'program' THEN k END) AS k, CASE WHEN count(DISTINCT CASE WHEN kind = 'direction' THEN f = 'N' END) = 1 THEN max(CASE WHEN kind = 'direction' THEN CASE WHEN f = 'N' THEN '非全日制' ELSE '全日制' END END) END AS mode
@@ -131,7 +131,7 @@ def catalogue_over_pages(spark, sf):
     direction = F.array(F.concat(F.lpad(n, 2, "0"), F.lit(" 方向 ("), F.when(F.col("f") == "N", "非全日制").otherwise("全日制"), F.lit(")")))
     values = F.when(F.col("opens") & (F.col("o") % 9 == 0), college).when(F.col("opens"), program).otherwise(direction)
     page = F.floor(F.col("pos") / 70).cast("long")
-    rows = p.select("doc", page.alias("table"), F.struct("pos", "k").alias("row"), page.alias("page"), values.alias("values"), F.element_at(values, -1).alias("last"))
+    rows = p.select("doc", page.alias("table"), F.struct("pos", "k", ~F.col("opens"), "q").alias("row"), page.alias("page"), values.alias("values"), F.element_at(values, -1).alias("last"))
     return over_pages.catalogue_facts(rows).drop("evidence")
 
 
@@ -186,7 +186,7 @@ def question_intents(spark, sf):
 
 @query("WITH " + _PAGED + """,
 r AS (SELECT *, pos // 700 AS t, CASE WHEN opens AND o % 9 = 0 THEN lpad(CAST(o % 1000 AS VARCHAR), 3, '0') || ' 学院' END AS c, CASE WHEN opens AND o % 9 > 0 THEN lpad(CAST(o % 10000 AS VARCHAR), 4, '0') || 'A1 专业' WHEN opens THEN '' END AS g FROM p),
-u AS (SELECT *, last_value(c IGNORE NULLS) OVER w AS college, last_value(g IGNORE NULLS) OVER w AS program FROM r WINDOW w AS (PARTITION BY doc, t ORDER BY pos, k ROWS UNBOUNDED PRECEDING))
+u AS (SELECT *, last_value(c IGNORE NULLS) OVER w AS college, last_value(g IGNORE NULLS) OVER w AS program FROM r WINDOW w AS (PARTITION BY doc, t ORDER BY pos, k, NOT opens, q ROWS UNBOUNDED PRECEDING))
 SELECT doc, t AS "table", 'row' || pos || ' | ' || q AS line, coalesce(college, '') AS college, coalesce(program, '') AS program FROM u WHERE NOT opens""")
 def table_text_blocks(spark, sf):
     """DOC-02: every row of long tables stands in one block, under its own college and program."""
@@ -195,7 +195,7 @@ def table_text_blocks(spark, sf):
     program = F.concat(F.lpad((F.col("o") % 10000).cast("string"), 4, "0"), F.lit("A1 专业"))
     row = F.array(F.concat(F.lit("row"), F.col("pos").cast("string")), F.col("q").cast("string"))
     values = F.when(F.col("opens") & (F.col("o") % 9 == 0), F.array(college)).when(F.col("opens"), F.array(program)).otherwise(row)
-    rows = p.select("doc", F.floor(F.col("pos") / 700).cast("long").alias("table"), F.struct("pos", "k").alias("row_"), values.alias("values"))
+    rows = p.select("doc", F.floor(F.col("pos") / 700).cast("long").alias("table"), F.struct("pos", "k", ~F.col("opens"), "q").alias("row_"), values.alias("values"))
     number = over_pages.running(over_pages.laid_out(rows, ["doc", "table"], ["row_"]), ["doc", "table"], {"row": ("count", None)})
     found = blocks.table_blocks(number.select("doc", "table", "row", F.lit(2).alias("width"), F.lit("表：").alias("caption"), "values"), 120)
     lines = F.split("text", "\n")
