@@ -171,3 +171,17 @@ def numbered_turns(spark, sf):
     for part in (year < 1995, year == 1995, year > 1995):
         target.append_numbered(o.where(part).select(F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("turn")), ["day", "turn"])
     return target.read().select("id", "turn")
+
+
+@query("""SELECT CASE c_custkey % 7 WHEN 0 THEN 'blank' WHEN 1 THEN 'bad' WHEN 2 THEN 'no key' ELSE 'row' END AS kind, count(DISTINCT CASE WHEN c_custkey % 7 > 2 THEN c_custkey % 1000 ELSE c_custkey END) AS n,
+  CASE WHEN c_custkey % 7 > 2 THEN sum(last) END AS newest FROM (SELECT *, CASE WHEN c_custkey % 7 > 2 AND row_number() OVER (PARTITION BY c_custkey % 7 > 2, c_custkey % 1000 ORDER BY c_custkey DESC) = 1 THEN c_custkey END AS last FROM customer)
+GROUP BY kind, c_custkey % 7 > 2""")
+def jsonl_reread(spark, sf):
+    """SRC-16: written lines of which some are blank, broken or without a key; of a key the last one stays."""
+    path, k = scratch(spark, "lines"), F.col("c_custkey")
+    good = F.to_json(F.struct((k % 1000).alias("id"), k.alias("value")))
+    line = F.when(k % 7 == 0, "  ").when(k % 7 == 1, F.concat(F.lit('{"id": '), k.cast("string"))).when(k % 7 == 2, F.to_json(F.struct(k.alias("value")))).otherwise(good)
+    table(spark, sf, "customer").repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").select(line.alias("value")).write.text(path)
+    rows, problems = files.read_lines(spark, path, "id long, value long", "id")
+    told = problems.groupBy(F.col("problem").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("newest"))
+    return told.unionByName(rows.agg(F.lit("row").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("newest")))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.scans import laid_out, running, written
+
 from .html import paint_ranges, split_blocks, visible_text
 
 PAGE = "path string, page int, text string, status string"
@@ -144,6 +146,19 @@ def read_rows(spark: SparkSession, path: str, schema: str, splits: tuple[str, ..
     return rows.where(F.col("split").isin(*splits)) if splits else rows.where("split <> 'test'")
 
 
+def read_lines(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-16: JSON lines as rows of ``schema``, of one ``key`` the last written (files by name, lines by number); and what is no row: (file, line, problem, text),
+    where a problem is ``blank``, ``bad`` (no object, or not of the schema) or ``no key``. Lines are read and numbered once, files of any size by parts."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    numbered = running(laid_out(lines, ["file"], ["_start", "_at"]), ["file"], {"line": ("count", None)})
+    parsed = numbered.withColumn("_row", F.from_json("text", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    blank = F.col("text").rlike(r"^\s*$")
+    problem = F.when(blank, "blank").when(F.col("_row").isNull() | F.col("_row._bad").isNotNull() | ~F.ltrim("text").startswith("{"), "bad").when(F.col(f"_row.{key}").isNull(), "no key")
+    told = written(parsed.select("file", "line", "text", "_row", problem.alias("problem")), "lines")
+    rows = told.where("problem IS NULL").groupBy(F.col(f"_row.{key}").alias("_key")).agg(F.max_by("_row", F.struct("file", "line")).alias("_row")).select("_row.*").drop("_bad")
+    return rows, told.where("problem IS NOT NULL").select("file", "line", "problem", "text")
+
+
 def audit(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """SRC-19, SET-02: a manifest (path, sha256, committed) against files (path, sha256): ok, changed, missing, local only, unlisted."""
     m, f = manifest.alias("m"), files.alias("f")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.sources import content, sinks
+from ledgerloom.sources import files as sources
 from ledgerloom.streaming import listing
 
 
@@ -117,3 +118,12 @@ def test_planned_batches_are_kept(tmp_path):
     again = listing.ListingReader(options)  # a driver that begins anew
     assert again.latestOffset() == {"a": 3} and [p.page for p in again.partitions({"a": 2}, {"a": 3})] == [10]
     assert [r[3] for r in again.read(listing.Page("a", 10))] == ["10"]
+
+
+def test_json_lines_are_read_again(spark, tmp_path):
+    first = ['{"id": "a", "v": 1}', "", '{"id": "b", "v": 2}', "{broken", '"text"', "[1]", '{"v": 3}', '{"id": "c", "v": "no number"}', "   "]
+    (tmp_path / "1.jsonl").write_text("\n".join(first) + "\n")
+    (tmp_path / "2.jsonl").write_text('{"id": "a", "v": 9, "more": 1}\n{"id": "a", "v": 8}\n')
+    rows, problems = sources.read_lines(spark, str(tmp_path), "id string, v int", "id")
+    assert sorted(map(tuple, rows.collect())) == [("a", 8), ("b", 2)]
+    assert sorted((r.file.rsplit("/")[-1], r.line, r.problem) for r in problems.collect()) == [("1.jsonl", n, p) for n, p in ((2, "blank"), (4, "bad"), (5, "bad"), (6, "bad"), (7, "no key"), (8, "bad"), (9, "blank"))]
