@@ -116,3 +116,14 @@ PHRASES = ("{}", "Licensed under the {}.", "Released under the {}.", "This work
 
 #: Names and sentences that are no family's: they teach the unknown class what notices have in common.
 OTHERS = ("Example Custom Terms", "terms of this agreement", "driver license", "fishing license", "software license agreement", "company policy", "public authority", "version 2.0 of the protocol", "general public", "permission of the owner", "laws of the country", "free trial", "commons", "the file", "source code", "Another Public License 2.0", "Example Public License, version 1.0", "Common Public License", "European Union Public Licence", "Artistic License 2.0", "Academic Free License", "Open Software License 3.0", "Public License 2.0", "Vendor License")
+
+#: Paragraphs of other licences, and of none: they teach the unknown class what families share with them, and no sentence of theirs is a family's template.
+OTHER_PASSAGES = (
+    'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.',
+    "You can obtain a copy of the license at usr/src/OPENSOLARIS.LICENSE or http://www.opensolaris.org/os/licensing. See the License for the specific language governing permissions and limitations under the License.",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "Redistribution and use of this software in source and binary forms, with or without modification, are not permitted without the prior written permission of the owner.",
+    "This software is confidential and proprietary. Redistribution in source or binary form, with or without modification, is prohibited.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission, subsequent versions of the EUPL; You may not use this work except in compliance with the Licence.",
+)

@@ -1,9 +1,9 @@
 """Operator 9: licence scan by a trained paragraph classifier.
 
 Sparse multinomial logistic regression over word n-grams (one to three words) tells licence families and "unknown" apart. It is trained on
-notices made from phrases, family names and paragraphs of the licences (whole, in parts, with words left out), and on ordinary
-paragraphs of at most ``sample`` documents. A validation part sets the temperature of its probabilities and the least
-probability of all families together at which a paragraph is believed to be a notice. The classifier names the family; the closest of
+notices made from phrases, family names and paragraphs of the licences (whole, in parts, with words left out), on paragraphs of other
+licences, and on ordinary paragraphs of at most ``sample`` documents. A validation part sets the temperature of its probabilities and the least
+probability of a family at which a paragraph is believed to be its notice. The classifier names the family; the closest of
 that family's paragraphs and names (Myers' word distance) confirms it if it is close enough. Every paragraph (line) of every whole text is scanned; one in which no n-gram of the
 vocabulary occurs has the unknown class's score alone, and costs only the lookups.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, sample_texts, slices
 from .decontamination import SEPARATORS, Pieces, edit_distance
 from .hashing import WordHasher, runs
-from .licence_texts import NAMES, OTHERS, PASSAGES, PHRASES
+from .licence_texts import NAMES, OTHER_PASSAGES, OTHERS, PASSAGES, PHRASES
 
 SCHEMA = "doc_id long, paragraph int, family string, probability double, template string, distance double, confirmed boolean"
 UNKNOWN = "unknown"
@@ -113,6 +113,14 @@ def notices(seed: int = 7) -> tuple[list[str], list[str]]:
                     add(part, family)
             for _ in range(3):
                 add(passage, family)
+    for passage in OTHER_PASSAGES:
+        words = passage.split()
+        for _ in range(8):
+            a, b = sorted(rng.sample(range(len(words) + 1), 2))
+            if b - a > len(words) // 2:
+                add(" ".join(w for w in words[a:b] if rng.random() > 0.08), UNKNOWN)
+        for _ in range(3):
+            add(passage, UNKNOWN)
     return texts, classes
 
 
@@ -159,7 +167,7 @@ def fit(texts: list[str], classes: list[str], ordinary: list[str], rounds: int =
     model = LicenceModel(families, keys, weights, bias)
     scale = np.geomspace(0.5, 8, 25)
     model.temperature = float(min(scale, key=lambda s: -np.log(probability(z[held] / s)[np.arange(held.sum()), y[held]] + 1e-12).mean())) if held.any() else 1.0
-    mass = 1 - probability(z[held & (y == len(families) - 1)] / model.temperature)[:, -1]
+    mass = probability(z[held & (y == len(families) - 1)] / model.temperature)[:, :-1].max(1, initial=0)
     model.least = float(max(0.5, np.quantile(mass, 0.999) if len(mass) else 0.5))
     return model
 
@@ -174,14 +182,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     return fit(texts, classes, [p for p, own in zip(ordinary, words, strict=True) if not any(own.issuperset(n) for n in names)])
 
 
+def _sentences(passage: str) -> list[str]:
+    return re.split(r"(?<=\.)\s+", passage)
+
+
 class Templates:
     """What a family's paragraphs are compared with."""
 
     def __init__(self, grams: Grams):
         self.of: dict[str, list[tuple[str, list[int]]]] = {}
+        foreign = {tuple(grams.words(x)) for p in OTHER_PASSAGES for x in _sentences(p)}
         for family, names in NAMES.items():
             passages = PASSAGES.get(family, ())
-            sentences = [x for p in passages for x in re.split(r"(?<=\.)\s+", p) if x not in passages and len(x.split()) >= SENTENCE]
+            sentences = [x for p in passages for x in _sentences(p) if x not in passages and len(x.split()) >= SENTENCE and tuple(grams.words(x)) not in foreign]
             self.of[family] = [(t, w) for t in (*passages, *sentences, *names) if (w := grams.words(t))]
 
     def closest(self, family: str, words: list[int]) -> tuple[str, float]:
@@ -249,7 +262,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
             for first, last in wrapped.spans(words, at, blocks):
                 text = "\n".join(paragraphs.slice(first, last - first + 1).to_pylist())
                 rows, logits = model.logits(grams, pa.array([text]))
-                if len(rows) and 1 - (p := model.probabilities(logits)[0])[-1] >= model.least and (row := judge(p, grams.words(text)))[-1]:
+                if len(rows) and (p := model.probabilities(logits)[0])[:-1].max() >= model.least and (row := judge(p, grams.words(text)))[-1]:
                     sure[first, last] = row
             for (first, last), row in sorted(sure.items(), key=lambda x: (x[1][3], x[0][0] - x[0][1], x[0])):
                 if not any(lines[i][-1] and lines[i][-2] <= row[-2] for i in range(first, last + 1) if i in lines):
@@ -263,7 +276,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
                 paragraphs, ends = lines.flatten(), np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False))
                 rows, logits = model.logits(grams, paragraphs)
                 p = model.probabilities(logits) if len(rows) else np.zeros((0, len(model.bias)))
-                sure = np.flatnonzero(1 - p[:, -1] >= model.least)
+                sure = np.flatnonzero(p[:, :-1].max(1, initial=0) >= model.least)
                 found = {int(rows[i]): judge(p[i], grams.words(paragraphs[int(rows[i])].as_py())) for i in sure.tolist()}
                 joined(paragraphs, ends, found)
                 ids, out = batch.column("doc_id").to_pylist(), []
