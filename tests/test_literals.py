@@ -451,6 +451,20 @@ def test_politeness(spark):
     assert {tuple(r) for r in crawl.job_states(events).collect()} == {("a", "done", 2), ("b", None, 1), ("c", "error", 1)}
 
 
+def test_links_against_their_base(spark):
+    from ledgerloom.sources import html as H
+
+    rows = [
+        (1, '<base target="x"><BASE href="/files/"><a href="a.pdf">x</a><img src="../b.png"><a href="a.pdf"></a><a href="//o.org/c"></a>', "https://h.org/p/q.html"),
+        (2, '<a href="?n=2">x</a><a href="https://o.org/d">y</a><a href="http://[bad">z</a>', "https://h.org/p/q.html"),
+        (3, '<a href="e">x</a>', None), (4, None, "https://h.org"),
+    ]
+    df = spark.createDataFrame(rows, "id int, html string, url string")
+    got = {r.id: r.u for r in df.select("id", H.resolved_files(F.col("html"), F.col("url")).alias("u")).collect()}
+    assert got[1] == ["https://h.org/files/a.pdf", "https://o.org/c", "https://h.org/b.png"]
+    assert got[2] == ["https://h.org/p/q.html?n=2", "https://o.org/d"] and got[3] == ["e"] and not got[4]
+
+
 def test_plan_tables():
     from ledgerloom.operators import documents as D
 
