@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import retrieval, views
 from ledgerloom.session import scratch, table
 from ledgerloom.sources import content, files, html
 from ledgerloom.sources.sinks import VersionedTable
@@ -185,3 +186,40 @@ def jsonl_reread(spark, sf):
     rows, problems = files.read_lines(spark, path, "id long, value long", "id")
     told = problems.groupBy(F.col("problem").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("newest"))
     return told.unionByName(rows.agg(F.lit("row").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("newest")))
+
+
+@query("""SELECT c_custkey AS id, 'first' AS value FROM customer WHERE c_custkey % 4 > 0 UNION ALL SELECT c_custkey, 'second' FROM customer WHERE c_custkey % 4 = 0""")
+def insert_new_only(spark, sf):
+    """SNK-10: the second write brings only the ids that the first lacks."""
+    target, c = VersionedTable(spark, scratch(spark, "inserted")), table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    target.insert_new(c.where("id % 4 > 0").withColumn("value", F.lit("first")), ["id"])
+    target.insert_new(c.withColumn("value", F.lit("second")), ["id"])
+    return target.read()
+
+
+@query("""SELECT o_orderkey AS id, o_orderpriority AS method FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '3-MEDIUM')""")
+def delete_by_method(spark, sf):
+    """SNK-03: facts of some methods go, the others stay."""
+    target = VersionedTable(spark, scratch(spark, "deleted"))
+    target.replace(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("method")))
+    target.delete(method=["1-URGENT", "3-MEDIUM"])
+    return target.read()
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'x "' || c_mktsegment || '", y' END AS note FROM customer""")
+def csv_scan(spark, sf):
+    """SRC-13: written and read as CSV: strings with quotes and commas, trimmed, nulls as empty ones."""
+    path, c = scratch(spark, "csv"), table(spark, sf, "customer")
+    note = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit('　x "'), "c_mktsegment", F.lit('", y ')))
+    c.select(F.col("c_custkey").alias("id"), F.concat(F.lit(" "), "c_name", F.lit("\u00a0")).alias("name"), note.alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    return files.read_strings(spark, path, escape='"')
+
+
+@query("""SELECT doc_id || '::c0' AS chunk_id, CAST(doc_id AS DOUBLE) / 2 AS score, CASE WHEN doc_id % 2 = 0 THEN 'bm25' ELSE 'dense' END AS backend, substr(text, 1, 200) AS text, '{"lang":"' || lang || '"' || CASE WHEN doc_id % 3 > 0 THEN ',"source":"' || source || '"' ELSE '' END || '}' AS metadata
+FROM documents WHERE length(text) BETWEEN 1 AND 800""")
+def hit_rows(spark, sf):
+    """RET-06: hits with the beginning of their text and what of the metadata they have."""
+    docs = table(spark, sf, "documents").where(F.length("text").between(1, 800))
+    chunks = retrieval.chunks(docs, "doc_id", "text", 800, 100).join(docs.select("doc_id", "lang", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source")), "doc_id")
+    hits = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("::c0")).alias("chunk_id"), (F.col("doc_id") * 0.5).alias("score"), F.when(F.col("doc_id") % 2 == 0, "bm25").otherwise("dense").alias("backend"))
+    return views.hit_rows(hits, chunks, ["lang", "source"])

@@ -134,10 +134,10 @@ def load_documents(files: DataFrame, ocr=None) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PAGE)
 
 
-def read_strings(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-13: CSV with a header, all strings, cleaned."""
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    return raw.select(*[F.coalesce(F.regexp_replace(F.translate(F.col(f"`{c}`"), "　 ", "  "), r"^\s+|\s+$", ""), F.lit("")).alias(c.lstrip("﻿")) for c in raw.columns])
+def read_strings(spark: SparkSession, path: str, escape: str = '"') -> DataFrame:
+    """SRC-13: CSV with a header, all strings, cleaned; a quote within a value is written twice (or after ``escape``)."""
+    raw = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", escape).csv(path)
+    return raw.select(*[F.coalesce(F.regexp_replace(F.translate(F.col(f"`{c}`"), "　\u00a0", "  "), r"^\s+|\s+$", ""), F.lit("")).alias(c.lstrip("﻿")) for c in raw.columns])
 
 
 def read_rows(spark: SparkSession, path: str, schema: str, splits: tuple[str, ...] | None = None) -> DataFrame:
