@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import written
+
 # The kinds that a model may name for each table.
 KINDS = {
     "plans": ("catalog_total", "rules_total", "tm", "public_exam", "college_exam_plan", "available_exam", "special_veteran", "special_minority"),
@@ -98,6 +100,32 @@ def cache_misses(requests: DataFrame, cache: DataFrame, keys: Sequence[str] = ("
     return requests.dropDuplicates(list(keys)).join(cache.select(*keys), list(keys), "left_anti")
 
 
+ANSWERS = "backend string, sha256 string, answer string"
+
+
+def cached_answers(requests: DataFrame, table, backend: str, model: Callable[[str], str], content: str = "content") -> DataFrame:
+    """SNK-12: ``requests`` with ``sha256`` and ``answer``: each distinct content is asked for once for each backend, ever: answers go to ``table`` (a versioned table of
+    ANSWERS), and those there are not asked for again. Where the model fails the answer is NULL, and the next run asks again."""
+
+    @F.pandas_udf("string")
+    def answer(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            try:
+                return model(text)
+            except Exception:  # noqa: BLE001 a request's failure is a result
+                return None
+
+        return texts.map(one)
+
+    own = requests.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
+    asked = own.where(F.col(content).isNotNull()).select(F.lit(backend).alias("backend"), "sha256", F.col(content).alias("_content"))
+    fresh = cache_misses(asked, table.read(ANSWERS)).select("backend", "sha256", answer("_content").alias("answer"))
+    fresh = written(fresh, "answers").where("answer IS NOT NULL")  # a write that is tried again asks nothing again
+    if not fresh.isEmpty():
+        table.insert_new(fresh, ["backend", "sha256"])
+    return own.join(table.read(ANSWERS).where(F.col("backend") == backend).select("sha256", "answer"), "sha256", "left").select(*own.columns, "answer")
+
+
 def gold_rows(templates: DataFrame, subjects: DataFrame, reviews: DataFrame) -> DataFrame:
     """EVL-03: a question for each template (template, text with {name}, operation, split) and subject of its group (group, id, name, value); a review (id) of
     its id replaces the text or, as ``drop``, removes it."""

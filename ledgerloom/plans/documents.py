@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import retrieval, views
+from ledgerloom.operators import model, retrieval, views
 from ledgerloom.session import scratch, table
 from ledgerloom.sources import content, files, html
 from ledgerloom.sources.sinks import VersionedTable
@@ -223,3 +223,12 @@ def hit_rows(spark, sf):
     chunks = retrieval.chunks(docs, "doc_id", "text", 800, 100).join(docs.select("doc_id", "lang", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source")), "doc_id")
     hits = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("::c0")).alias("chunk_id"), (F.col("doc_id") * 0.5).alias("score"), F.when(F.col("doc_id") % 2 == 0, "bm25").otherwise("dense").alias("backend"))
     return views.hit_rows(hits, chunks, ["lang", "source"])
+
+
+@query("""SELECT doc_id, sha256(source || lang) AS sha256, upper(source || lang) AS answer FROM documents""")
+def cached_answers(spark, sf):
+    """SNK-12: the second run finds the first one's answers, and asks for the rest."""
+    cache = VersionedTable(spark, scratch(spark, "cache"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat("source", "lang").alias("content"))
+    model.cached_answers(d.where("doc_id % 2 = 0"), cache, "upper", str.upper)
+    return model.cached_answers(d, cache, "upper", str.upper).drop("content")

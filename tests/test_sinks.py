@@ -127,3 +127,26 @@ def test_json_lines_are_read_again(spark, tmp_path):
     rows, problems = sources.read_lines(spark, str(tmp_path), "id string, v int", "id")
     assert sorted(map(tuple, rows.collect())) == [("a", 8), ("b", 2)]
     assert sorted((r.file.rsplit("/")[-1], r.line, r.problem) for r in problems.collect()) == [("1.jsonl", n, p) for n, p in ((2, "blank"), (4, "bad"), (5, "bad"), (6, "bad"), (7, "no key"), (8, "bad"), (9, "blank"))]
+
+
+def test_answers_are_asked_for_once(spark, tmp_path):
+    from ledgerloom.operators import model
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def ask(text):
+        if text == "fails" and not (calls / "fails").exists():
+            (calls / "fails").touch()
+            raise ValueError
+        (calls / f"{text}-{len(list(calls.iterdir()))}").touch()
+        return text[::-1]
+
+    cache = sinks.VersionedTable(spark, f"file://{tmp_path}/cache")
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "fails")], "id int, content string").coalesce(1)
+    run = lambda rows, backend: {r.id: r.answer for r in model.cached_answers(rows, cache, backend, ask).collect()}
+    assert run(df, "x") == {1: "ba", 2: "ba", 3: None, 4: None}
+    assert run(df, "x") == {1: "ba", 2: "ba", 3: None, 4: "sliaf"}  # only what failed is asked for again
+    assert run(df.where("id = 1"), "y") == {1: "ba"} and run(df.limit(0), "y") == {}
+    assert sorted(p.name.split("-")[0] for p in calls.iterdir()) == ["ab", "ab", "fails", "fails"]
+    assert cache.read().count() == 3
