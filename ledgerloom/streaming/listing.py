@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 ENTRY = "school string, page int, position int, key string, title string, digest string"
@@ -131,12 +131,21 @@ def entries(spark: SparkSession, path: str, progress: str, budget: int) -> DataF
 def run(spark: SparkSession, path: str, target: str, state: str, budget: int = 20, ttl: timedelta | None = timedelta(days=400)) -> dict:
     """One run: at most ``budget`` pages of each school, its entries with their status appended to ``target``. ``state`` holds the run's progress; what
     happened is returned. Entries without a key are left out."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)  # for this query alone
+    try:
+        query = _started(spark, path, target, state, budget, ttl)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return {"batches": len(query.recentProgress), "rows": sum(p.numInputRows for p in query.recentProgress)}
+
+
+def _started(spark: SparkSession, path: str, target: str, state: str, budget: int, ttl: timedelta | None) -> StreamingQuery:
     stream = entries(spark, path, f"{state}/progress/taken.json", budget).where("key IS NOT NULL")
     told = stream.groupBy("school", "key").transformWithStateInPandas(Known(ttl), outputStructType=SEEN, outputMode="append", timeMode="processingTime" if ttl else "none")
-    query = told.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return {"batches": len(query.recentProgress), "rows": sum(p.numInputRows for p in query.recentProgress)}
+    return told.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
 
 
 def dry_run(spark: SparkSession, path: str, state: str, budget: int = 20) -> DataFrame:
