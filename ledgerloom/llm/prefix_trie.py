@@ -50,11 +50,11 @@ def number_turns(conversations: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), text("role").alias("role"), text("text").alias("text")).where("conv_id is not null")
     turns = turns.select("*", F.xxhash64("role", "text").alias("item"), F.octet_length("text").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"))
-    return laid_out(turns, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("role"), F.substring("text", 1, 64), F.col("item"), F.col("row")]).drop("turn", "row")
+    return laid_out(turns, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("role"), F.substring("text", 1, 64), F.col("item"), F.col("row")], sized=False).drop("turn", "row")
 
 
 def positions(turns: DataFrame) -> DataFrame:
-    return materialize(running(turns.drop("role", "text"), ["conv_id"], {"pos": ("count", None)}).drop("part"), "positions")
+    return materialize(running(turns.drop("role", "text"), ["conv_id"], {"pos": ("count", None)}, sized=False).drop("part"), "positions")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +135,7 @@ def fingerprints(steps: DataFrame, prime: int, block: int) -> DataFrame:
     scanned = materialize(scanned.drop("item"), "scanned")
     long = scanned.where(F.col("total") > block)
     ends = long.groupBy("conv_id", "block").agg(F.max_by("fp", "depth").cast("decimal(20,0)").alias("sum"))
-    ends = running(ends, ["conv_id"], {"upto": ("sum", "sum")}, part="block", place="block").select("conv_id", "block", ((F.col("upto") - F.col("sum")) % prime).cast("long").alias("carry"))
+    ends = running(ends, ["conv_id"], {"upto": ("sum", "sum")}, part="block", place="block", sized=False).select("conv_id", "block", ((F.col("upto") - F.col("sum")) % prime).cast("long").alias("carry"))
     more = lambda c: ((F.col(c) + F.col("carry")) % prime).alias(c)
     columns = [c for c in scanned.columns if c not in ("pfp", "fp")]
     carried = long.join(ends, ["conv_id", "block"]).select(*columns, more("pfp"), more("fp"))
@@ -167,7 +167,7 @@ def split(rows: DataFrame, bad: DataFrame, turns: DataFrame) -> DataFrame:
     marks = materialize(members.join(classes, what).select("conv_id", "depth", "new"), "marks")
     later = marks.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("new").alias("above"))
     marked = rows.join(marks, ["conv_id", "depth"], "left").join(later, ["conv_id", "depth"], "left")
-    ran = running(materialize(marked, "marked"), ["conv_id"], {"newest": ("last", "new"), "newest_above": ("last", "above")}, part="block", place="depth")
+    ran = running(materialize(marked, "marked"), ["conv_id"], {"newest": ("last", "new"), "newest_above": ("last", "above")}, part="block", place="depth", sized=False)
     return ran.select(*[c for c in rows.columns if c not in ("tag", "ptag")], F.coalesce("newest", "tag").alias("tag"), F.coalesce("newest_above", "ptag").alias("ptag"))
 
 
@@ -229,7 +229,7 @@ def nodes_of(steps: DataFrame, roster: DataFrame, turns: DataFrame, prime: int =
 
     owned = nodes.select("conv_id", "depth", (F.col("n_children") == 0).cast("long").alias("leaf"), "saved")
     path = rows.select("conv_id", *KEY, (-F.col("block")).alias("part"), (-F.col("depth")).alias("up")).join(owned, ["conv_id", "depth"], "left").fillna(0, ["leaf", "saved"])
-    path = running(path, ["conv_id"], {"n_leaves": ("sum", "leaf"), "saved_tokens": ("sum", "saved")}, part="part", place="up")
+    path = running(path, ["conv_id"], {"n_leaves": ("sum", "leaf"), "saved_tokens": ("sum", "saved")}, part="part", place="up", sized=False)
     below = path.groupBy(*KEY).agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
     full = nodes.join(below, KEY).join(end_digests(rows.where("depth = total")), KEY, "left")
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("fp").alias("pfp"), F.col("tag").alias("ptag"), F.col("conv_id").alias("parent_conv_id"))

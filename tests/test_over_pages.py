@@ -165,3 +165,11 @@ def test_table_blocks_equal_a_pass(spark, size):
     for r in sorted(blocks.table_blocks(df, size).collect(), key=lambda r: (r.section, r.number)):
         got[r.table].append(r.text)
     assert got == want
+
+
+def test_parts_are_bounded(spark):
+    """A window of one task holds 2^16 rows of a key at most, and partitions follow the rows."""
+    laid = scans.laid_out(spark.range(200_000).selectExpr("1 AS k", "id"), ["k"], ["id"])
+    assert laid.groupBy("k", "part").count().agg({"count": "max"}).first()[0] <= 1 << 16
+    ran = scans.running(laid, ["k"], {"n": ("count", None), "last": ("last", "id")})
+    assert ran.where("n = id + 1 AND last = id").count() == 200_000
