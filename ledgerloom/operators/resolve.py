@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import written
+
+ASKED = ("school", "college", "code", "mode")
+#: Tasks over which the facts of one pool are dealt.
+SPREAD = 16
+
 
 def resolve_references(references: DataFrame, programs: DataFrame) -> DataFrame:
     """JON-07: school equal, any college key equal (or none asked), code equal, or its prefix for a pool; then the mode.
@@ -14,25 +20,42 @@ def resolve_references(references: DataFrame, programs: DataFrame) -> DataFrame:
     references: fact, school, college, code, mode, pool. Without a program: unresolved; several without a pool: ambiguous; a pool
     needs a college. One row for each program found, or one with a status.
     """
+    facts = references.select("fact", F.coalesce("pool", F.lit(False)).alias("pool"), *ASKED).distinct()
+    # What is asked is resolved once, however many facts ask it; pairs of facts and programs are made last and are not moved.
+    asked = written(facts.select("pool", *ASKED).distinct().select(F.monotonically_increasing_id().alias("ask"), "pool", *ASKED), "asked")
     college = F.col("r.college").isNull() | F.col("r.college").isin(F.col("p.college_id"), F.col("p.college_code"), F.col("p.college_name"))
     mode = F.col("r.mode").isNull() | (F.col("r.mode") == F.col("p.mode"))
     p = programs.alias("p")
     # A pool meets its programs by school, college and the code's first characters (as many as it has): all equalities.
-    exact = references.where(~F.coalesce("pool", F.lit(False))).alias("r")
-    found = exact.join(p, (F.col("r.school") == F.col("p.school")) & (F.col("r.code") == F.col("p.code")) & college & mode).select("r.fact", F.lit(False).alias("pool"), "p.program")
+    exact = asked.where("NOT pool").alias("r")
+    found = exact.join(p, (F.col("r.school") == F.col("p.school")) & (F.col("r.code") == F.col("p.code")) & college & mode).select("r.ask", "p.program")
     keys = F.array_distinct(F.array_compact(F.array(*[F.col(c).cast("string") for c in ("college_id", "college_code", "college_name")])))
-    sizes = [r[0] for r in references.where("pool AND code IS NOT NULL").select(F.length("code")).distinct().collect()]  # lengths of codes: few
+    sizes = [r[0] for r in asked.where("pool AND code IS NOT NULL").select(F.length("code")).distinct().collect()]  # lengths of codes: few
     if sizes:
         named = programs.select("program", "school", "mode", "code", F.explode(keys).alias("college")).select("*", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("size"))
         named = named.where(F.length("code") >= F.col("size")).withColumn("prefix", F.expr("substring(code, 1, size)")).alias("p")
-        pools = references.where("pool AND college IS NOT NULL").alias("r")
+        pools = asked.where("pool AND college IS NOT NULL").alias("r")
         same = (F.col("r.school") == F.col("p.school")) & (F.col("r.college") == F.col("p.college")) & (F.col("r.code") == F.col("p.prefix")) & (F.length("r.code") == F.col("p.size"))
-        found = found.unionByName(pools.join(named, same & mode).select("r.fact", F.lit(True).alias("pool"), "p.program").distinct())
-    counts = found.groupBy("fact").agg(F.count("program").alias("n"))
-    status = F.when(F.col("n").isNull(), "unresolved").when((F.col("n") > 1) & ~F.coalesce("pool", F.lit(False)), "ambiguous").otherwise("resolved")
-    judged = references.select("fact", "pool").distinct().join(counts, "fact", "left").withColumn("status", status)
-    one = judged.join(found.select("fact", "program"), "fact", "left").select("fact", "status", F.when(F.col("status") == "resolved", F.col("program")).alias("program"))
-    return one.distinct()
+        found = found.unionByName(pools.join(named, same & mode).select("r.ask", "p.program").distinct())
+    found = written(found, "found")
+    counts = found.groupBy("ask").agg(F.count("program").alias("n"))
+    match = F.lit(True)
+    for c in ("pool", *ASKED):
+        match = match & F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}"))
+    known = facts.alias("f").join(asked.join(counts, "ask", "left").alias("a"), match).select("f.fact", "f.pool", "a.ask", F.coalesce("a.n", F.lit(0)).alias("n"))
+    n = F.sum("n").over(Window.partitionBy("fact"))
+    status = F.when(F.col("n") == 0, "unresolved").when((F.col("n") > 1) & ~F.col("pool"), "ambiguous").otherwise("resolved")
+    known = known.withColumns({"asks": F.count(F.lit(1)).over(Window.partitionBy("fact")), "n": n}).withColumn("status", status)
+    judged = written(known, "judged")
+    plain = judged.where("status <> 'resolved'").select("fact", "status", F.lit(None).cast(programs.schema["program"].dataType).alias("program"))
+    # A pool's programs are many and asked for by many facts: its facts are dealt over SPREAD tasks.
+    spread = F.when(F.col("pool"), F.pmod(F.xxhash64("fact"), F.lit(SPREAD)).cast("int")).otherwise(0)
+    own = found.join(asked.select("ask", "pool"), "ask").select("ask", "program", F.explode(F.when(F.col("pool"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("spread"))
+    resolved = judged.where("status = 'resolved'").withColumn("spread", spread)
+    one = resolved.where("asks = 1").join(own, ["ask", "spread"]).select("fact", "status", "program")
+    # Facts that ask several things have the programs of all, each once.
+    several = resolved.where("asks > 1").select("fact", "status").distinct().join(judged.select("fact", "ask"), "fact").join(found, "ask").select("fact", "status", "program")
+    return one.unionByName(several.distinct()).unionByName(plain.distinct())
 
 
 def first_by_key(rows: DataFrame, key: Sequence[str], order: str = "id") -> DataFrame:

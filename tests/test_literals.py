@@ -472,3 +472,12 @@ def test_plan_tables():
     assert [x[:4] for x in D.plan_table(rows)] == [("catalog", "081200", 48, False), ("quota", "081200", 17, False), ("catalog", "081200", 3, True)]
     own = [[*rows[0], "推免人数"], ["软件", "081200", "48（17）", "16"]]
     assert [x[:3] for x in D.plan_table(own)] == [("catalog", "081200", 48), ("quota", "081200", 16)]
+
+
+def test_facts_that_ask_alike_are_resolved_once(spark):
+    """Only what differs in the references meets the programs; each fact still has all programs of its pool."""
+    programs = spark.createDataFrame([(i, "s", "010", "010", "c", f"0812{i:02}", "full") for i in range(20)], "program int, school string, college_id string, college_code string, college_name string, code string, mode string")
+    refs = spark.range(300).selectExpr("id AS fact", "'s' AS school", "'c' AS college", "'0812' AS code", "CAST(NULL AS string) AS mode", "true AS pool")
+    got = resolve.resolve_references(refs, programs)
+    assert {(r.fact, r.program) for r in got.collect()} == {(f, p) for f in range(300) for p in range(20)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union"), "pairs of facts and programs are not exchanged again"
